@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quakeloom.llm.decontaminate import find_benchmark_passages
 from quakeloom.llm.exact_dedup import exact_dedup
+from quakeloom.llm.ngram_join import jaccard_components
 from quakeloom.llm.packing import pack
 from quakeloom.llm.token_counts import count_section_tokens
 
@@ -35,12 +36,17 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
         "op5_exact_dedup": op5_exact_dedup,
         "op8_packing": op8_packing,
         "op9_decontamination": op9_decontamination,
+        "op10_ngram_join": op10_ngram_join,
     }
 
 
