@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quakeloom.llm.decontaminate import find_benchmark_passages
 from quakeloom.llm.exact_dedup import exact_dedup
+from quakeloom.llm.language_id import held_out, identify, train
 from quakeloom.llm.ngram_join import jaccard_components
 from quakeloom.llm.packing import pack
 from quakeloom.llm.token_counts import count_section_tokens
@@ -27,6 +28,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("full_hash")).alias("text_sha256"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    out = identify(docs, train(docs.filter(~held_out(F.col("doc_id")))))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
@@ -44,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_language_id": op6_language_id,
         "op8_packing": op8_packing,
         "op9_decontamination": op9_decontamination,
         "op10_ngram_join": op10_ngram_join,
