@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quakeloom.llm import lm_scoring
 from quakeloom.llm.decontaminate import find_benchmark_passages
 from quakeloom.llm.exact_dedup import exact_dedup
 from quakeloom.llm.language_id import held_out, identify, train
@@ -19,6 +20,15 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    kept_out = lm_scoring.held_out(F.col("doc_id"))
+    training = docs.filter(~kept_out)
+    words = lm_scoring.count_words(training)
+    out = lm_scoring.score(docs, words, lm_scoring.train(training, words))
+    return out.select("doc_id", kept_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_section_tokens(_read(spark, sf_dir, "documents"))
 
@@ -49,6 +59,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op2_token_counts": op2_token_counts,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_language_id": op6_language_id,
