@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quakeloom.llm import lm_scoring
 from quakeloom.llm.decontaminate import find_benchmark_passages
 from quakeloom.llm.exact_dedup import exact_dedup
+from quakeloom.llm.html_text import extract_main_text
 from quakeloom.llm.language_id import held_out, identify, train
 from quakeloom.llm.ngram_join import jaccard_components
 from quakeloom.llm.packing import pack
@@ -33,6 +34,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_section_tokens(_read(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_read(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(_read(spark, sf_dir, "documents"), digest_all=True)
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("full_hash")).alias("text_sha256"))
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
         "op2_token_counts": op2_token_counts,
+        "op3_html_extraction": op3_html_extraction,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_language_id": op6_language_id,
         "op8_packing": op8_packing,
