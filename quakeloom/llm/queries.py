@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeloom.llm import lm_scoring
+from quakeloom.llm.chat_format import format_chats
 from quakeloom.llm.decontaminate import find_benchmark_passages
 from quakeloom.llm.exact_dedup import exact_dedup
 from quakeloom.llm.html_text import extract_main_text
@@ -49,6 +50,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(_read(spark, sf_dir, "conversations"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_html_extraction": op3_html_extraction,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_language_id": op6_language_id,
+        "op7_chat_format": op7_chat_format,
         "op8_packing": op8_packing,
         "op9_decontamination": op9_decontamination,
         "op10_ngram_join": op10_ngram_join,
