@@ -15,6 +15,7 @@ from quakeloom.llm.html_text import extract_main_text
 from quakeloom.llm.language_id import held_out, identify, train
 from quakeloom.llm.ngram_join import jaccard_components
 from quakeloom.llm.packing import pack
+from quakeloom.llm.suffix_dedup import repeated_passages
 from quakeloom.llm.token_counts import count_section_tokens
 
 
@@ -39,6 +40,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_read(spark, sf_dir, "pages"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(_read(spark, sf_dir, "documents"), digest_all=True)
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("full_hash")).alias("text_sha256"))
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lm_scoring": op1_lm_scoring,
         "op2_token_counts": op2_token_counts,
         "op3_html_extraction": op3_html_extraction,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_language_id": op6_language_id,
         "op7_chat_format": op7_chat_format,
