@@ -202,6 +202,32 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return base.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
 
 
+def keep_languages(docs: DataFrame, model: Model | None, text_col: str = "text", langs: list[str] | None = None, min_score: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose text is in no known language: those that :func:`identify` calls ``und``, scores
+    under ``min_score``, or, with ``langs``, gives another language. Columns and their order stay; no row moves.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        scorer = _Scorer(model) if model else None
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for lo, hi, buf, offs in slabs(batch.column(place)):
+                keep[lo:hi] = _has_letter(buf, offs)
+                if scorer:
+                    bits = scorer.score(buf, offs)
+                    share = 1 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
+                    keep[lo:hi] &= share >= min_score
+                    if langs is not None:
+                        keep[lo:hi] &= np.isin(np.array(model.langs)[bits.argmin(axis=1)], langs)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema) if model else docs.filter("false")
+
+
 def held_out(doc_id: Column, parts: int = 3) -> Column:
     """Whether a document is kept from training: crc32 of its id as text, modulo ``parts``, is 1."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == 1, F.lit(False))
