@@ -1 +1 @@
-
+"""Column expressions shared by the operators."""

@@ -1 +1 @@
-
+"""Operators: each takes DataFrames and parameters and gives a DataFrame; none collects."""
