@@ -41,10 +41,13 @@ def channel_snr(samples: DataFrame, noise, signal) -> DataFrame:
     return out.withColumn("snr", F.col("signal_rms") / (F.col("noise_rms") + EPS32))
 
 
-def block_metrics(samples: DataFrame, noise, signal, block: int = 50, min_z: float = 5.0) -> DataFrame:
-    """Per block of channels: range, count, median SNR, robust z of the block envelope's peak, and whether it is detected."""
+def block_metrics(samples: DataFrame, noise, signal, block: int = 50, min_z: float = 5.0, carried: list[str] | None = None) -> DataFrame:
+    """Per block of channels: range, count, median SNR, robust z of the block envelope's peak, and whether it is detected.
+
+    ``noise`` and ``signal`` are conditions on sample and the ``carried`` columns, which depend on sample alone.
+    """
     rows = samples.withColumn("block_id", F.floor(F.col("channel") / block))
-    env = rows.groupBy("block_id", "sample").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("value"))
+    env = rows.groupBy("block_id", "sample", *(carried or [])).agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("value"))
     peak = env.filter(signal).groupBy("block_id").agg(F.max("value").alias("value"))
     z = robust_z(peak, env.filter(noise), ["block_id"]).select("block_id", F.col("z").alias("peak_robust_z"))
     snr = channel_snr(samples, noise, signal).withColumn("block_id", F.floor(F.col("channel") / block))

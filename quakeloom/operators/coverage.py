@@ -19,12 +19,13 @@ def configuration_census(headers: DataFrame, source: str, columns: list[str], nu
 
 
 def uniform_sample(rows: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
-    """Up to ``k`` rows of each group, evenly spread over its order: those at round(i * (n - 1) / (k - 1)), half to even."""
+    """Up to ``k`` rows of each group, evenly spread over its order: those at round(i * (n - 1) / (k - 1)), half to even,
+    with the group's size as file_count."""
     numbered = rows.withColumn("pos__", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n__"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("file_count"))
     i = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    spot = F.bround(F.col("i__") * (F.col("n__") - 1) / max(1, k - 1)).cast("int")
-    wanted = sizes.select(*keys, "n__", i.alias("i__")).select(*keys, spot.alias("pos__")).distinct()
+    spot = F.bround(F.col("i__") * (F.col("file_count") - 1) / max(1, k - 1)).cast("int")
+    wanted = sizes.select(*keys, "file_count", i.alias("i__")).select(*keys, "file_count", spot.alias("pos__")).distinct()
     return numbered.join(wanted, [*keys, "pos__"]).drop("pos__")
 
 

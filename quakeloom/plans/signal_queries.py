@@ -1,2 +1,75 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Signal kernels over vectors as short traces at 100 samples a second."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quakeloom.operators import detection, signal
+from quakeloom.functions.scalar import brune_ratio
+
+FS = 100.0
+
+
+def _traces(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+
+
+def bandpass(spark: SparkSession, d: str) -> DataFrame:
+    return _traces(spark, d).select("vec_id", signal.bandpass(F.col("v"), 5.0, 20.0, FS).alias("filtered"))
+
+
+def welch_psd(spark: SparkSession, d: str) -> DataFrame:
+    return signal.median_spectrum(_traces(spark, d), "v", FS, 32, ["label"])
+
+
+def multitaper(spark: SparkSession, d: str) -> DataFrame:
+    return _traces(spark, d).select("vec_id", signal.multitaper(F.col("v")).alias("amplitude"))
+
+
+def resample(spark: SparkSession, d: str) -> DataFrame:
+    return _traces(spark, d).select("vec_id", signal.resample(F.col("v"), 2).alias("resampled"))
+
+
+def interpolate(spark: SparkSession, d: str) -> DataFrame:
+    """Values halfway between samples, 32 of them; rounded."""
+    grid = signal.on_grid(F.col("v"), F.lit(0.0), F.lit(FS), 0.005, 0.325)
+    return _traces(spark, d).select("vec_id", F.posexplode(grid).alias("k", "x")).select("vec_id", "k", F.round("x", 6).alias("x"))
+
+
+def brune_fit(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    f = F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: 2.0 + i * 0.4)
+    corner = (k % 30 + 8).cast("double")
+    r = F.transform(f, lambda x: brune_ratio(x, F.lit(1.7), corner, F.lit(45.0)))
+    fit = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", signal.corner_fit(f, r, 5.0, 60.0, 45.0).alias("fit"))
+    return fit.select("p_partkey", F.round("fit.corner_hz", 3).alias("corner_hz"), F.round("fit.omega_ratio", 3).alias("omega_ratio"), "fit.points", "fit.status")
+
+
+def hard_negative_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """Peaks of vectors against the next vector of another label in id order, within 8 samples, summed up."""
+    from pyspark.sql import Window
+
+    t = _traces(spark, d)
+    pairs = t.select("v", F.lead("v").over(Window.partitionBy(F.floor(F.col("vec_id") / 100)).orderBy("vec_id")).alias("w")).filter("w is not null")
+    c = pairs.select(signal.lagged_peak(F.col("v"), F.col("w"), FS, 0.08).alias("p")).select(F.col("p.correlation").alias("c")).filter("c is not null")
+    q = lambda x: F.round(F.percentile("c", x), 6)
+    return c.agg(F.count("*").alias("channel_count"), F.round(F.median("c"), 6).alias("median"), q(0.9).alias("p90"), q(0.95).alias("p95"), F.round(F.max("c"), 6).alias("maximum"), F.round(F.avg((F.col("c") >= 0.3).cast("double")), 6).alias("fraction_above"))
+
+
+def detection_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = _traces(spark, d).select(F.col("vec_id").alias("sample"), F.when(F.col("label") < 5, -1.0).otherwise(1.0).alias("t"), F.posexplode("v").alias("channel", "value"))
+    out = detection.detection_summary(s, detection.DetectionOptions(noise=(-2.0, 0.0), signal=(0.0, 2.0), block=8, min_z=2.5))
+    return out.withColumns({c: F.round(c, 6) for c, x in out.dtypes if x == "double"})
+
+
+QUERIES = {f.__name__: f for f in (bandpass, welch_psd, multitaper, resample, interpolate, brune_fit, hard_negative_baseline, detection_summary)}
+SQL = {
+    "interpolate": "SELECT vec_id, k::INT AS k, round((embedding[k + 1]::DOUBLE + embedding[k + 2]::DOUBLE) / 2, 6) AS x FROM embeddings, (SELECT unnest(range(0, 32)) AS k)",
+    "brune_fit": "SELECT p_partkey, round((p_partkey % 30 + 8)::DOUBLE, 3) AS corner_hz, 1.7::DOUBLE AS omega_ratio, 138 AS points, 'PASS' AS status FROM part",
+    "hard_negative_baseline": """WITH z AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x - list_avg(embedding::DOUBLE[])) AS z FROM embeddings),
+p AS (SELECT z AS a, lead(z) OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) AS b, vec_id FROM z),
+c AS (SELECT vec_id, max(list_dot_product(a[1 + greatest(k, 0):64 + least(k, 0)], b[1 + greatest(-k, 0):64 - greatest(k, 0)]) / sqrt(list_dot_product(a, a) * list_dot_product(b, b))) AS c
+  FROM p, (SELECT unnest(range(-8, 9)) AS k) WHERE b IS NOT NULL GROUP BY 1)
+SELECT count(*) AS channel_count, round(median(c), 6) AS median, round(quantile_cont(c, 0.9), 6) AS p90, round(quantile_cont(c, 0.95), 6) AS p95, round(max(c), 6) AS maximum, round(avg((c >= 0.3::DOUBLE)::INT), 6) AS fraction_above FROM c""",
+}

@@ -50,7 +50,11 @@ if __name__ == "__main__":
     sqls = e.oracle_sql()
     for name in sys.argv[2:] or list(sqls):
         t = time.time()
-        got = e.queries()[name](spark, sys.argv[1]).toPandas()
+        try:
+            got = e.queries()[name](spark, sys.argv[1]).toPandas()
+        except Exception as x:  # the others still run
+            print(name, "FAILED", str(x)[:600], flush=True)
+            continue
         s = time.time() - t
         print(name, len(got), f"{s:.1f} s", (difference(got, oracle(sqls[name], sys.argv[1])) or "same") if name in sqls else "no SQL", flush=True)
         if name not in sqls:
