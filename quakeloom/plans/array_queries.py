@@ -95,11 +95,11 @@ SELECT sample, round(value, 6) AS envelope, round((value - med) / (CASE WHEN mad
     "channel_snr": _N + "SELECT channel, round(noise_rms, 6) AS noise_rms, round(signal_rms, 6) AS signal_rms, round(snr, 6) AS snr FROM n",
     "block_metrics": _B + "SELECT * FROM b",
     "detected_fraction": _B + "SELECT count(*) AS block_count, round(avg(detected::DOUBLE), 6) AS detected_block_fraction FROM b",
-    "adjacent_correlation": _V + "SELECT a.channel, round(corr(a.x, b.x), 6) AS correlation FROM s a JOIN s b ON a.sample = b.sample AND b.channel = a.channel + 1 WHERE NOT a.noise GROUP BY 1",
+    "adjacent_correlation": _V + "SELECT a.channel, round(corr(a.x, b.x), 6) + 0.0::DOUBLE AS correlation FROM s a JOIN s b ON a.sample = b.sample AND b.channel = a.channel + 1 WHERE NOT a.noise GROUP BY 1",
     "spearman_fingerprint": _V
     + """, p AS (SELECT label, channel, round(log10(greatest(avg(x * x), 1e-6::DOUBLE)), 4) AS v FROM s GROUP BY 1, 2),
 r AS (SELECT label, channel, rank() OVER (PARTITION BY label ORDER BY v) + (count(*) OVER (PARTITION BY label, v) - 1) / 2 AS r FROM p)
-SELECT a.label AS a, b.label AS b, round(corr(a.r, b.r), 6) AS spearman FROM r a JOIN r b ON a.channel = b.channel AND a.label < b.label GROUP BY 1, 2""",
+SELECT a.label AS a, b.label AS b, round(corr(a.r, b.r), 6) + 0.0::DOUBLE AS spearman FROM r a JOIN r b ON a.channel = b.channel AND a.label < b.label GROUP BY 1, 2""",
     "usable_ranges": _N
     + """, u AS (SELECT channel, channel - row_number() OVER (ORDER BY channel) AS g FROM n WHERE round(snr, 6) >= 1.0)
 SELECT min(channel) * 0.5::DOUBLE AS first_hz, max(channel) * 0.5::DOUBLE AS last_hz, count(*) AS bins FROM u GROUP BY g HAVING count(*) >= 2""",

@@ -104,8 +104,8 @@ o AS (SELECT e.*, 6371008.8::DOUBLE * cos(radians(s.latitude)) * radians(e.longi
   1000 * (e.depth_km - s.depth_km) AS down_m, e.magnitude - s.magnitude AS magnitude_difference, e.event_id = s.event_id AS is_seed FROM e, s),
 h AS (SELECT *, sqrt(east_m * east_m + north_m * north_m) AS hd FROM o), k AS (SELECT *, sqrt(hd * hd + down_m * down_m) AS dd FROM h)
 SELECT event_id::VARCHAR AS event_id, origin_time, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, round(depth_km, 6) AS depth_km, round(magnitude, 6) AS magnitude,
-  round(east_m, 6) AS east_m, round(north_m, 6) AS north_m, round(down_m, 6) AS down_m, round(hd, 6) AS horizontal_distance_m, round(dd, 6) AS distance_3d_m,
-  round(magnitude_difference, 6) AS magnitude_difference, is_seed, CASE WHEN is_seed THEN 'seed' ELSE 'waveform_test_required' END AS nomination_status
+  round(east_m, 6) + 0.0::DOUBLE AS east_m, round(north_m, 6) + 0.0::DOUBLE AS north_m, round(down_m, 6) + 0.0::DOUBLE AS down_m, round(hd, 6) AS horizontal_distance_m, round(dd, 6) AS distance_3d_m,
+  round(magnitude_difference, 6) + 0.0::DOUBLE AS magnitude_difference, is_seed, CASE WHEN is_seed THEN 'seed' ELSE 'waveform_test_required' END AS nomination_status
 FROM k WHERE is_seed OR (round(dd, 6) <= 120 AND round(abs(magnitude_difference), 6) <= 0.7::DOUBLE)""",
     "exact_id_crosswalk": _WALK + "SELECT event_id, decision, external_sequence_id, external_quality, external_match_type, external_role, diagnostic_outcome FROM w",
     "validation_population": _WALK

@@ -119,7 +119,7 @@ _P = """
 WITH v AS (SELECT vec_id::VARCHAR AS id, label::VARCHAR AS label, vec_id % 10 <> 0 AS avail, embedding::DOUBLE[] AS e FROM embeddings),
 z AS (SELECT id, label, avail, list_transform(e, lambda x: x - list_avg(e)) AS z FROM v),
 n AS (SELECT *, sqrt(list_dot_product(z, z)) AS nn FROM z),
-p AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.z, b.z) / (a.nn * b.nn), 6) AS score FROM n a JOIN n b ON a.id < b.id)
+p AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.z, b.z) / (a.nn * b.nn), 6) + 0.0::DOUBLE AS score FROM n a JOIN n b ON a.id < b.id)
 """
 _S = _P + """,
 e AS (SELECT a AS ev, b AS anc, score FROM p UNION ALL SELECT b, a, score FROM p),
@@ -153,7 +153,7 @@ WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, lead(embedding::DOUBL
 s AS (SELECT label, vec_id, k, e[k * 16 + 1:k * 16 + 16] AS a, o[k * 16 + 1:k * 16 + 16] AS b FROM v, (SELECT unnest(range(0, 4)) AS k) WHERE o IS NOT NULL),
 q AS (SELECT label, vec_id, k, list_transform(a, lambda x: x - list_avg(a)) AS a, list_transform(b, lambda x: x - list_avg(b)) AS b FROM s),
 m AS (SELECT 'label_' || label AS pair_name, (k * 16) || '.0-' || (k * 16 + 16) || '.0Hz' AS band, vec_id % 4 AS station,
-  round(list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b)), 6) AS correlation, vec_id % 3 <> 0 AS usable FROM q),
+  round(list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b)), 6) + 0.0::DOUBLE AS correlation, vec_id % 3 <> 0 AS usable FROM q),
 sp AS (SELECT pair_name, band FROM (SELECT DISTINCT pair_name FROM m), (SELECT unnest(['0.0-16.0Hz', '16.0-32.0Hz', '32.0-48.0Hz', '48.0-64.0Hz']) AS band)),
 bs AS (SELECT sp.pair_name, sp.band, count(correlation) AS usable_components, count(DISTINCT station) AS usable_stations, median(correlation) AS med,
   min(correlation) AS lo, quantile_cont(correlation, 0.1) AS p10 FROM sp LEFT JOIN (SELECT * FROM m WHERE usable) u ON u.pair_name = sp.pair_name AND u.band = sp.band GROUP BY 1, 2)
@@ -201,7 +201,7 @@ WITH v AS (SELECT vec_id::VARCHAR AS id, embedding::DOUBLE[] AS e FROM embedding
 z AS (SELECT id, list_transform(e, lambda x: x - list_avg(e)) AS z FROM v), n AS (SELECT *, sqrt(list_dot_product(z, z)) AS nn FROM z),
 l AS (SELECT a.id AS a, b.id AS b, k, list_dot_product(a.z[1 + greatest(k, 0):64 + least(k, 0)], b.z[1 + greatest(-k, 0):64 - greatest(k, 0)]) / (a.nn * b.nn) AS s
       FROM n a JOIN n b ON a.id < b.id, (SELECT unnest(range(-8, 9)) AS k))
-SELECT a, b, round(s, 6) AS score, k AS lag FROM l QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY s DESC, k) = 1""",
+SELECT a, b, round(s, 6) + 0.0::DOUBLE AS score, k AS lag FROM l QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY s DESC, k) = 1""",
     "pair_band_summary": _M + "SELECT pair_name, band, usable_components, usable_stations, round(med, 6) AS median_correlation, round(lo, 6) AS minimum_correlation, round(p10, 6) AS p10_correlation FROM bs",
     "pair_decision": _M
     + """, w AS (SELECT pair_name, min(usable_components) AS mc, min(usable_stations) AS ms, min(med) AS weak FROM bs GROUP BY 1),

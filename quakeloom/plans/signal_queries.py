@@ -65,7 +65,7 @@ def detection_summary(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (bandpass, welch_psd, multitaper, resample, interpolate, brune_fit, hard_negative_baseline, detection_summary)}
 SQL = {
-    "interpolate": "SELECT vec_id, k::INT AS k, round((embedding[k + 1]::DOUBLE + embedding[k + 2]::DOUBLE) / 2, 6) AS x FROM embeddings, (SELECT unnest(range(0, 32)) AS k)",
+    "interpolate": "SELECT vec_id, k::INT AS k, round((embedding[k + 1]::DOUBLE + embedding[k + 2]::DOUBLE) / 2, 6) + 0.0::DOUBLE AS x FROM embeddings, (SELECT unnest(range(0, 32)) AS k)",
     "brune_fit": "SELECT p_partkey, round((p_partkey % 30 + 8)::DOUBLE, 3) AS corner_hz, 1.7::DOUBLE AS omega_ratio, 138 AS points, 'PASS' AS status FROM part",
     "hard_negative_baseline": """WITH z AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x - list_avg(embedding::DOUBLE[])) AS z FROM embeddings),
 p AS (SELECT z AS a, lead(z) OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) AS b, vec_id FROM z),
