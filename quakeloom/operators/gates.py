@@ -59,3 +59,15 @@ def ledger(statuses: DataFrame, required: list[str]) -> DataFrame:
 def provenance_gate(rows: DataFrame, hash_col: str) -> DataFrame:
     """PASS if all rows with a hash have the same one."""
     return rows.agg(F.countDistinct(hash_col).alias("hashes")).withColumn("status", F.when(F.col("hashes") == 1, PASS).otherwise(STOP))
+
+
+def population_gate(population: DataFrame, min_targets: int = 3, min_families: int = 2) -> DataFrame:
+    """PASS if a validation population has enough target events and neighbour families."""
+    target = F.col("validation_role") == "target_positive"
+    counts = population.agg(F.count(F.when(target, 1)).alias("target_events"), F.countDistinct(F.when(~target, F.col("sequence_id"))).alias("neighbour_families"))
+    return counts.withColumn("status", F.when((F.col("target_events") >= min_targets) & (F.col("neighbour_families") >= min_families), PASS).otherwise(STOP))
+
+
+def timeline(rows: DataFrame, status: str, size: str) -> DataFrame:
+    """Rows and summed sizes by status; a missing size counts as 1."""
+    return rows.fillna(1.0, [size]).groupBy(status).agg(F.count("*").alias("n"), F.sum(size).alias("total"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeloom.operators import detection, signal
 from quakeloom.functions.scalar import brune_ratio
+from quakeloom.operators import compare, detection, pairs, signal
 
 FS = 100.0
 
@@ -63,7 +63,33 @@ def detection_summary(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c, x in out.dtypes if x == "double"})
 
 
-QUERIES = {f.__name__: f for f in (bandpass, welch_psd, multitaper, resample, interpolate, brune_fit, hard_negative_baseline, detection_summary)}
+#: Windows and bands that fit traces of 64 samples.
+SHORT = compare.CompareOptions(noise=(-0.3, 0.0), signal=(0.0, 0.3), bands=((5.0, 20.0), (10.0, 40.0)), max_lag_s=0.05, pair=pairs.PairOptions(min_snr=0.5, min_components=1, min_stations=1))
+
+
+def _windowed(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as traces of events of ten vectors each, five stations with two channels."""
+    k = F.col("vec_id")
+    t = _traces(spark, d).select(
+        F.floor(k / 10).cast("string").alias("event_id"), F.lit("BP").alias("network"), (F.floor(k % 10 / 2)).cast("string").alias("station"), F.lit("").alias("location"), (k % 2).cast("string").alias("channel"),
+        F.lit(FS).alias("sampling_rate"), F.lit(-0.32).alias("start_epoch_s"), F.size("v").alias("npts"), k.cast("int").alias("stream_order"), F.col("v").alias("samples"),
+    )
+    origins = t.select("event_id", F.lit(0.0).alias("origin_epoch_s")).distinct()
+    return compare.windowed_traces(t, origins, SHORT)
+
+
+def waveform_pair_metrics(spark: SparkSession, d: str) -> DataFrame:
+    w = _windowed(spark, d)
+    events = w.select("event_id").distinct().filter("event_id <> '0'")
+    return compare.pair_metrics(w, events.select(F.col("event_id").alias("pair_name"), F.lit("0").alias("a"), F.col("event_id").alias("b")), FS, SHORT)
+
+
+def single_anchor_scoring(spark: SparkSession, d: str) -> DataFrame:
+    shortlist = _traces(spark, d).select(F.floor(F.col("vec_id") / 10).cast("string").alias("event_id")).distinct()
+    return compare.score_shortlist(waveform_pair_metrics(spark, d), shortlist, "0", SHORT)
+
+
+QUERIES = {f.__name__: f for f in (bandpass, welch_psd, multitaper, resample, interpolate, brune_fit, hard_negative_baseline, detection_summary, waveform_pair_metrics, single_anchor_scoring)}
 SQL = {
     "interpolate": "SELECT vec_id, k::INT AS k, round((embedding[k + 1]::DOUBLE + embedding[k + 2]::DOUBLE) / 2, 6) + 0.0::DOUBLE AS x FROM embeddings, (SELECT unnest(range(0, 32)) AS k)",
     "brune_fit": "SELECT p_partkey, round((p_partkey % 30 + 8)::DOUBLE, 3) AS corner_hz, 1.7::DOUBLE AS omega_ratio, 138 AS points, 'PASS' AS status FROM part",
