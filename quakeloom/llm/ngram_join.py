@@ -93,8 +93,18 @@ def _rarity(docs: DataFrame, size: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table["counts"]]) if len(table) else np.zeros(COUNTERS, np.uint32)
 
 
+def _common_in_prefix(percent: int) -> int:
+    """Shingles that the prefixes of two linked, different sets must have in common, at least.
+
+    Such sets share at least percent / (100 - percent) shingles, and prefixes of n - least overlap + k
+    hold k of them for any k up to that; three leave few pairs that meet by chance.
+    """
+    return max(1, min(3, percent // max(1, 100 - percent)))
+
+
 def _describe(size: int, percent: int, shared):
     """Documents to set size, set hashes, group signatures, mean rarity, and the necessary prefix in order of rarity."""
+    common = _common_in_prefix(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -112,7 +122,7 @@ def _describe(size: int, percent: int, shared):
                     keys.append(signed(mix((least * _ROW).sum(axis=1, dtype=np.uint64))).tolist())
                     c = counts[(s >> _SHIFT).astype(np.int64)]
                     rare.append(float((1.0 / c).mean()))
-                    need = len(s) - -(-percent * len(s) // 100) + 1
+                    need = len(s) - -(-percent * len(s) // 100) + common
                     prefix.append(signed(s[np.lexsort((s, c))[:need]]).tolist())
                 u64 = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
@@ -135,17 +145,18 @@ def _meet(percent: int):
     """Postings sorted by (token, grp) to pairs of different groups that share a prefix token and may hold a link.
 
     A group's rows of a token are one: its least and greatest set size and the most shingles that may
-    still follow the token. The last token of a batch waits for the next batch.
+    stand before and after the token. The last token of a batch waits for the next batch.
     """
 
-    def pairs(token, grp, least, most, follow) -> Iterator[pa.RecordBatch]:
+    def pairs(token, grp, least, most, before, follow) -> Iterator[pa.RecordBatch]:
         for d in range(1, len(token)):
             i = np.flatnonzero(token[:-d] == token[d:])
             if not len(i):
                 break
             j = i + d
             fits = (100 * most[j] >= percent * least[i]) & (100 * most[i] >= percent * least[j])
-            room = 1 + np.minimum(follow[i], follow[j]) >= _least_overlap(least[i], least[j], percent)
+            room = np.minimum(before[i], before[j]) + 1 + np.minimum(follow[i], follow[j])
+            room = room >= _least_overlap(least[i], least[j], percent)
             i, j = i[fits & room], j[fits & room]
             if len(i):
                 yield pa.RecordBatch.from_arrays(
@@ -159,7 +170,7 @@ def _meet(percent: int):
                 if not batch.num_rows:
                     continue
                 token, grp, n, pos = (batch.column(k).to_numpy() for k in range(4))
-                rows = [token, grp, n, n, n - pos - 1]
+                rows = [token, grp, n, n, pos, n - pos - 1]
                 if held is not None:
                     rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
                 new = np.flatnonzero(np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])]))
@@ -169,12 +180,13 @@ def _meet(percent: int):
                     np.minimum.reduceat(rows[2], new),
                     np.maximum.reduceat(rows[3], new),
                     np.maximum.reduceat(rows[4], new),
+                    np.maximum.reduceat(rows[5], new),
                 ]
                 cut = int(np.searchsorted(rows[0], rows[0][-1]))
                 held = [x[cut:] for x in rows]
                 rows = [x[:cut] for x in rows]
             else:
-                rows, held = held or [np.zeros(0, np.int64)] * 5, None
+                rows, held = held or [np.zeros(0, np.int64)] * 6, None
             shared = np.zeros(len(rows[0]) + 1, bool)
             shared[1:-1] = rows[0][1:] == rows[0][:-1]
             several = shared[1:] | shared[:-1]
@@ -267,7 +279,8 @@ def jaccard_components(
         .select("token", "grp", "n", F.col("pos").cast("long").alias("pos"))
     )
     spread = postings.repartition("token").sortWithinPartitions("token", "grp")
-    met = materialise(spread.mapInArrow(_meet(percent), "g long, h long").distinct(), "groups-met")
+    met = spread.mapInArrow(_meet(percent), "g long, h long").groupBy("g", "h").agg(F.count("*").alias("shared"))
+    met = materialise(met.filter(F.col("shared") >= _common_in_prefix(percent)).select("g", "h"), "groups-met")
 
     pivots = grouped.groupBy("grp").agg(F.min(F.struct("rare", "node", "n")).alias("p"), F.count("*").alias("members"))
     pivots = materialise(pivots.select("grp", F.col("p.node").alias("pivot"), F.col("p.n").alias("n"), "members"), "pivots")

@@ -14,8 +14,8 @@ from quakeloom.llm._text import NONSPACE, mix, signed, slabs, word_hashes
 
 #: Words of the gram whose hash selects a position.
 GRAM = 8
-#: Places of the filter for shared positions; its size does not depend on the data.
-_BITS = 1 << 21
+#: Places of the filter for shared positions: 8 MB of bits, whatever the data.
+_BITS = 1 << 26
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,13 +66,14 @@ def _contexts(size: int, window: int, shared):
     """Selected positions that may be shared, with ``size`` words on each side as 16-bit hashes; the left ones nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shared.value).astype(bool)
+        wanted = shared.value
         reach = np.arange(size)
         for batch in batches:
             for lo, _, buf, offs in slabs(batch.column(1)):
                 w, at = word_hashes(buf, offs, NONSPACE)
                 pos, h = anchors(w, at, GRAM, window)
-                kept = wanted[(h & np.uint64(_BITS - 1)).astype(np.int64)]
+                place = (h & np.uint64(_BITS - 1)).astype(np.int64)
+                kept = (wanted[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
                 pos, h = pos[kept], h[kept]
                 short = np.maximum(w & np.uint64(0xFFFF), np.uint64(1)).astype(">u2")
                 for k in range(0, max(1, len(pos)), 20_000):
@@ -174,58 +175,40 @@ def _suffix_order(rows: DataFrame, side: str, size: int, name: str) -> DataFrame
     )
 
 
-def _spans(size: int):
-    """Positions with both extensions to spans known to repeat (w null), and windows around the position to be confirmed."""
+def _windows(size: int):
+    """Positions with both reaches to the windows that begin before and end after them: (doc_id, start, hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-            pos, n = t["pos"].to_numpy(), t["n"].to_numpy()
-            many_r, many_l = (t[c].to_numpy(zero_copy_only=False) for c in ("many_r", "many_l"))
-            r = np.minimum(t["r"].to_numpy(), n - pos)
-            left = np.minimum(t["l"].to_numpy(), pos)
-            words = np.concatenate([_matrix(t["left"], size)[:, ::-1], _matrix(t["right"], size)], axis=1).astype(np.uint64)
-            doc, start, stop, low, key = [], [], [], [], []
-            ids = t["doc_id"].to_numpy()
-
-            def add(mask, a, b, first, doc=doc, start=start, stop=stop, low=low, key=key, ids=ids):
-                doc.append(ids[mask])
-                start.append(a[mask])
-                stop.append(b[mask])
-                low.append(first[mask])
-                key.append(np.zeros(int(mask.sum()), np.uint64))
-
-            whole_r, whole_l = many_r & (r >= size), many_l & (left >= size)
-            add(whole_r, pos, pos + size, t["low_r"].to_numpy())
-            add(whole_l, pos - size, pos, t["low_l"].to_numpy())
-            # windows that begin before the position and end after it
-            for s in range(1, size):
-                rows = ~(whole_r & whole_l) & (left >= s) & (r >= size - s)
-                if rows.any():
-                    h = np.zeros(int(rows.sum()), np.uint64)
-                    for j in range(size - s, 2 * size - s):
-                        h = mix(h * _STEP + words[rows, j] + np.uint64(1))
-                    doc.append(ids[rows])
-                    start.append(pos[rows] - s)
-                    stop.append(pos[rows] - s + size)
-                    low.append(ids[rows])
-                    key.append(np.maximum(h, np.uint64(1)))
-            cat = lambda x: np.concatenate(x)
-            key = cat(key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cat(doc)), pa.array(cat(start)), pa.array(cat(stop)), pa.array(cat(low)), pa.array(signed(key), mask=key == 0)],
-                names=["doc_id", "start", "stop", "low", "w"],
-            )
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2000):
+                batch = whole.slice(k, 2000)
+                doc, pos, r, left = (batch.column(c).to_numpy() for c in ("doc_id", "pos", "r", "l"))
+                words = np.concatenate([_matrix(batch.column("left"), size)[:, ::-1], _matrix(batch.column("right"), size)], axis=1).astype(np.uint64)
+                docs, starts, keys = [], [], []
+                for s in range(1, size):
+                    rows = np.flatnonzero((left >= s) & (r >= size - s))
+                    if len(rows):
+                        h = np.zeros(len(rows), np.uint64)
+                        for j in range(size - s, 2 * size - s):
+                            h = mix(h * _STEP + words[rows, j] + np.uint64(1))
+                        docs.append(doc[rows])
+                        starts.append(pos[rows] - s)
+                        keys.append(h)
+                if docs:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(starts)), pa.array(signed(np.concatenate(keys)))], names=["doc_id", "start", "w"])
 
     return run
 
 
 def _filter_bits(shared: DataFrame) -> np.ndarray:
-    """A bit for each place that holds a shared position; 2**18 bytes whatever the data."""
-    places = shared.select(F.col("h").bitwiseAND(F.lit(_BITS - 1)).cast("int").alias("b")).distinct().toArrow()["b"].to_numpy()
-    bits = np.zeros(_BITS, np.uint8)
-    bits[places] = 1
-    return np.packbits(bits)
+    """A bit for each place that holds a shared position; 8 MB whatever the data."""
+    place = F.col("h").bitwiseAND(F.lit(_BITS - 1)) + 1
+    rows = shared.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).toArrow()
+    out = np.zeros(_BITS // 8, np.uint8)
+    for b, bits in zip(rows["b"].to_pylist(), rows["bits"], strict=True):
+        part = np.frombuffer(bits.as_buffer(), np.uint8)
+        out[(b - 1) * 4096 : (b - 1) * 4096 + len(part)] = part
+    return out
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
@@ -253,26 +236,33 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     bits = spark.sparkContext.broadcast(_filter_bits(shared))
     ddl = "h long, doc_id long, pos long, n long, right binary, left binary"
     rows = base.mapInArrow(_contexts(min_words, window, bits), ddl)
-    rows = materialise(rows, "positions")
+    rows = materialise(rows.withColumn("kr", F.xxhash64("h", "right")).withColumn("kl", F.xxhash64("h", "left")), "positions")
     right = _suffix_order(rows, "right", min_words, "suffixes")
     left = _suffix_order(rows, "left", min_words, "prefixes")
-    side = lambda df, s: df.select(F.col("key").alias(f"k{s}"), F.col("low").alias(f"low_{s}"), F.col("several").alias(f"many_{s}"), F.col("alike").cast("long").alias(s))
-    extended = (
-        rows.withColumn("kr", F.xxhash64("h", "right"))
-        .withColumn("kl", F.xxhash64("h", "left"))
-        .join(side(right, "r"), "kr")
-        .filter("many_r or r > 0")
-        .join(side(left, "l"), "kl")
-        .filter(f"many_r or many_l or r + l >= {min_words}")
-        .select("doc_id", "pos", "n", "right", "left", "low_r", "many_r", "r", "low_l", "many_l", "l")
-    )
-    spans = materialise(extended.mapInArrow(_spans(min_words), "doc_id long, start long, stop long, low long, w long"), "spans")
-    confirmed = (
-        spans.filter("w is not null").groupBy("w").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("w", "a")
-    )
-    sure = spans.filter("w is null").select("doc_id", "start", "stop", "low").unionByName(
-        spans.filter("w is not null").drop("low").join(confirmed, "w").select("doc_id", "start", "stop", F.col("a").alias("low"))
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        return df.select(F.col("key").alias(f"k{s}"), F.col("low").alias(f"low_{s}"), F.col("several").alias(f"many_{s}"), F.col("alike").cast("long").alias(s))
+
+    # contexts stay behind: positions carry their keys only
+    extended = rows.select("doc_id", "pos", "n", "kr", "kl").join(side(right, "r"), "kr").join(side(left, "l"), "kl")
+    extended = extended.withColumn("r", F.least(F.col("r"), F.col("n") - F.col("pos"))).withColumn("l", F.least("l", "pos"))
+    extended = extended.withColumn("whole_r", F.col("many_r") & (F.col("r") >= min_words)).withColumn("whole_l", F.col("many_l") & (F.col("l") >= min_words))
+    extended = materialise(extended.filter(f"whole_r or whole_l or r + l >= {min_words}"), "extended")
+
+    span = lambda a, b, low: F.struct(a.alias("start"), b.alias("stop"), low.alias("low"))
+    known = F.array_compact(
+        F.array(
+            F.when(F.col("whole_r"), span(F.col("pos"), F.col("pos") + min_words, F.col("low_r"))),
+            F.when(F.col("whole_l"), span(F.col("pos") - min_words, F.col("pos"), F.col("low_l"))),
+        )
     )
+    sure = extended.select("doc_id", F.explode(known).alias("s")).select("doc_id", "s.start", "s.stop", "s.low")
+
+    open_rows = extended.filter(f"not (whole_r and whole_l) and l > 0 and r > 0 and r + l >= {min_words}").select("doc_id", "pos", "r", "l", "kr", "kl")
+    open_rows = open_rows.join(right.select(F.col("key").alias("kr"), F.col("ctx").alias("right")), "kr").join(left.select(F.col("key").alias("kl"), F.col("ctx").alias("left")), "kl")
+    windows = materialise(open_rows.drop("kr", "kl").mapInArrow(_windows(min_words), "doc_id long, start long, w long"), "windows")
+    confirmed = windows.groupBy("w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("w", "low")
+    sure = sure.unionByName(windows.join(confirmed, "w").select("doc_id", "start", (F.col("start") + min_words).alias("stop"), "low"))
     return _merged(sure.distinct())
 
 
