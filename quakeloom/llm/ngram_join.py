@@ -200,30 +200,144 @@ def _and_end(batches):
     yield None
 
 
+def _both_sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of the texts x and y of each row (a, b, x, y)."""
+    sets = [[s for _, _, buf, offs in slabs(batch.column(k)) for s in shingle_sets(buf, offs, size)] for k in (2, 3)]
+    return zip(*sets, strict=True)
+
+
 def _verify(size: int, percent: int):
-    """Pairs with both texts to those that are linked."""
+    """Pairs with both texts to those that have ``percent`` of their union in common, with the sizes of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [[s for _, _, buf, offs in slabs(batch.column(k)) for s in shingle_sets(buf, offs, size)] for k in (2, 3)]
-            linked = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(*sets, strict=True)):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                linked[k] = common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
-            kept = batch.filter(pa.array(linked))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+            common, union = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for k, (x, y) in enumerate(_both_sets(batch, size)):
+                common[k] = len(np.intersect1d(x, y, assume_unique=True))
+                union[k] = len(x) + len(y) - common[k]
+            alike = (common > 0) & (100 * common >= percent * union)
+            kept = batch.filter(pa.array(alike))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(common[alike]), pa.array(union[alike])], names=["a", "b", "both", "either"])
 
     return run
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b) of document ids those whose texts are linked."""
+def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) of document ids with the texts x and y."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     texts = mark_buckets(docs, bucket(F.col("doc_id")), needed, "needed").filter("needed").select("doc_id", "text")
     # the ids of representatives are distinct unless the table repeats an id; then any of its texts may speak for it
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(size, percent), "a long, b long")
+    return pairs.join(left, "a").join(right, "b")
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b) of document ids those alike by ``percent``: a, b, and the sizes of intersection (both) and union (either)."""
+    return _with_texts(pairs, docs).select("a", "b", "x", "y").mapInArrow(_verify(size, percent), "a long, b long, both long, either long")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b) of document ids those whose texts are linked."""
+    return _alike(pairs, docs, size, percent).select("a", "b")
+
+
+def _differences(size: int, percent: int, shared):
+    """(node a, pivot b, both texts) to a, its set size n, whether it is linked to the pivot, and its difference from it.
+
+    The difference holds the shingles in one of the two sets only, rarest first. A place in it from
+    which a linked partner's common shingles can no longer begin is left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            n, linked, total, kept = [], [], [], []
+            for x, y in _both_sets(batch, size):
+                d = np.setxor1d(x, y, assume_unique=True)
+                d = d[np.lexsort((d, counts[(d >> _SHIFT).astype(np.int64)]))]
+                least = max(1, -(-(len(d) - (100 - percent) * len(x) // percent) // 2))
+                n.append(len(x))
+                linked.append(len(d) <= _most_apart(len(x), len(y), percent))
+                total.append(len(d))
+                kept.append(signed(d[: max(0, len(d) - least + 1)]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), pa.array(total, pa.int64()), pa.array(kept, pa.list_(pa.int64()))],
+                names=["a", "b", "n", "linked", "total", "difference"],
+            )
+
+    return run
+
+
+def _most_apart(n, m, percent: int):
+    """Most shingles that linked sets of n and m do not share: (100 - percent) * (n + m) / (100 + percent), rounded down."""
+    return (100 - percent) * (n + m) // (100 + percent)
+
+
+def _meet_inside(percent: int):
+    """Differences' shingles sorted by (grp, token) to pairs of nodes of different components that may be linked.
+
+    Sets at distances p and q from a pivot, whose differences have c shingles in common, are p + q - 2c
+    apart. So linked ones have c at least (p + q - most apart) / 2, and the first of these stands where
+    at least that many follow in both. Where that is none, both are linked to the pivot itself.
+    """
+
+    def pairs(grp, token, comp, node, n, total, pos) -> Iterator[pa.RecordBatch]:
+        i, d = np.arange(len(grp)), 0
+        while len(i):
+            d += 1
+            i = i[i + d < len(grp)]
+            i = i[(token[i] == token[i + d]) & (grp[i] == grp[i + d])]
+            j = i + d
+            least = np.maximum(1, -(-(total[i] + total[j] - _most_apart(n[i], n[j], percent)) // 2))
+            ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            ok &= np.minimum(total[i] - pos[i], total[j] - pos[j]) >= least
+            if ok.any():
+                x, y = node[i[ok]], node[j[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _and_end(batches):
+            if batch is None:
+                rows, held = held, None
+            elif batch.num_rows:
+                rows = [batch.column(k).to_numpy() for k in range(7)]
+                if held is not None:
+                    rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+                cut = int(((rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])).argmax())  # the last shingle may go on
+                rows, held = [x[:cut] for x in rows], [x[cut:] for x in rows]
+            else:
+                continue
+            if rows is not None:
+                yield from pairs(*rows)
+
+    return run
+
+
+def _inside(grouped: DataFrame, links: DataFrame, docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
+    """Links (a, b) inside groups that ``links`` do not yet connect as a whole, so that none is missing there.
+
+    A group's members are compared by their differences from its most central node: they have few
+    shingles in common with each other's, where their whole sets have nearly all.
+    """
+    own = _grouped(grouped.withColumnRenamed("grp", "family"), components(links)).withColumnRenamed("grp", "comp")
+    lead = own.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("rare", "node", "comp")).alias("p"))
+    lead = lead.filter("lo <> hi").select("family", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp"))
+    star = own.join(lead, "family").filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "comp", "pivot_comp", F.col("family").alias("grp"))
+    star = materialise(star, "stars")
+    ddl = "a long, b long, n long, linked boolean, total long, difference array<long>"
+    texts = _with_texts(star.select("a", "b"), docs).select("a", "b", "x", "y")
+    apart = materialise(texts.mapInArrow(_differences(size, percent, counts), ddl), "differences")
+    label = F.when(F.col("linked"), F.col("pivot_comp")).otherwise(F.col("comp"))
+    rows = (
+        apart.join(star.drop("b"), "a")
+        .select("grp", label.alias("comp"), F.col("a").alias("node"), "n", "total", F.posexplode("difference").alias("pos", "token"))
+        .select("grp", "token", "comp", "node", "n", "total", F.col("pos").cast("long").alias("pos"))
+    )
+    met = rows.repartition("grp", "token").sortWithinPartitions("grp", "token").mapInArrow(_meet_inside(percent), "a long, b long").distinct()
+    near = apart.filter("linked").select("a", "b")
+    return near.unionByName(_linked(materialise(met, "met-inside"), docs, size, percent))
 
 
 def jaccard_components(
@@ -236,15 +350,16 @@ def jaccard_components(
 
     1. Equal sets are one node. 2. Nodes whose least shingles agree under several orders are proposed
     as a group; each is verified against the group's most central node, the one of the most common
-    shingles, and what is linked forms the groups of the matrix. 3. The matrix holds each group's
+    shingles, and what is similar, if not linked, forms the groups of the matrix. Links inside a group
+    are found by the members' differences from its central node. 3. The matrix holds each group's
     union of necessary prefix shingles, rarest first over all documents; groups that share one, with
     sizes and places that leave room for enough common shingles, may hold a link. Of those, central
     nodes are verified first; 4. if groups of several nodes are still apart, each node of the smaller
     is a query: the shingles it has in common with the other group's whole union bound its overlap with
     every member, and only groups whose bound reaches the threshold are opened and verified.
 
-    Links between different groups are complete: none is lost by a cap. No group is gathered: all steps
-    are joins and pre-aggregated groupings by shingle, node or group.
+    Links between different components are complete: none is lost by a cap. No group is gathered: all
+    steps are joins and pre-aggregated groupings by shingle, node or group.
 
     Null or wordless text has an empty set, no links, and its own id. Null ids never link. Rows that
     repeat an id are one document if their texts are equal; else each text is a node under that id.
@@ -262,16 +377,19 @@ def jaccard_components(
     )
 
     proposed = nodes.select("node", "n", "rare", F.posexplode("keys").alias("band", "key"))
+    loose = max(1, 2 * percent - 100)  # what two documents have in common at least that are linked to a third
     central = proposed.groupBy("band", "key").agg(F.min(F.struct("rare", "node", "n")).alias("c"))
     pairs = (
         proposed.join(central, ["band", "key"])
-        .filter("node <> c.node and 100 * least(n, c.n) >= {0} * greatest(n, c.n)".format(percent))
+        .filter("node <> c.node and 100 * least(n, c.n) >= {0} * greatest(n, c.n)".format(loose))
         .select(F.col("node").alias("a"), F.col("c.node").alias("b"))
         .distinct()
     )
-    links = materialise(_linked(materialise(pairs, "proposed"), base, size, percent), "links")
+    alike = materialise(_alike(materialise(pairs, "proposed"), base, size, loose), "alike")
+    links = alike.filter(f"100 * both >= {percent} * either").select("a", "b")
 
-    grouped = _grouped(nodes, components(links))
+    grouped = _grouped(nodes, components(alike.select("a", "b")))
+    links = materialise(links.unionByName(_inside(grouped, links, base, size, percent, counts)), "links")
     postings = (
         described.select("doc_id", "prefix")
         .join(grouped.select(F.col("node").alias("doc_id"), "n", "grp"), "doc_id")
@@ -292,12 +410,12 @@ def jaccard_components(
     links2 = materialise(links.unionByName(_linked(materialise(by_pivot, "by-pivot"), base, size, percent)), "links")
 
     grouped2 = _grouped(nodes, components(links2))
-    root = grouped.select("grp", "node").join(grouped2.select("node", F.col("grp").alias("root")), "node").select("grp", "root").distinct()
+    root = grouped.select("grp", "node").join(grouped2.select("node", F.col("grp").alias("root")), "node").groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     apart = materialise(
         ends.filter("ma > 1 or mb > 1")
-        .join(root.select(F.col("grp").alias("g"), F.col("root").alias("rg")), "g")
-        .join(root.select(F.col("grp").alias("h"), F.col("root").alias("rh")), "h")
-        .filter("rg <> rh")
+        .join(root.select(F.col("grp").alias("g"), F.col("lo").alias("lg"), F.col("hi").alias("hg")), "g")
+        .join(root.select(F.col("grp").alias("h"), F.col("lo").alias("lh"), F.col("hi").alias("hh")), "h")
+        .filter("not (lg = hg and lh = hh and lg = lh)")
         .select(F.when(F.col("ma") <= F.col("mb"), F.col("g")).otherwise(F.col("h")).alias("small"), F.when(F.col("ma") <= F.col("mb"), F.col("h")).otherwise(F.col("g")).alias("large")),
         "apart",
     )

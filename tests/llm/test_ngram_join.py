@@ -59,7 +59,7 @@ def families(seed=5):
     return [(10 + k, docs[i]) for k, i in enumerate(order)]
 
 
-@pytest.mark.parametrize("size,percent", [(4, 85)])
+@pytest.mark.parametrize("size,percent", [(4, 85), (5, 80), (3, 60)])
 def test_against_brute_force(spark, size, percent):
     docs = families(size)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
