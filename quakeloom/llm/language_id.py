@@ -17,6 +17,10 @@ from quakeloom.llm._text import slabs
 ORDER = 4
 #: What a process keeps of code lengths it has worked out; beyond it the table starts anew.
 KEPT = 1 << 20
+#: No text of a language needs more bits a byte than the bytes as they are, but for the first few.
+RAW, SLACK = 8.0, 64.0
+#: Lengths of prefixes, as powers of two, for which bounds are learned; the last holds for all longer texts.
+LEAST, MOST = 3, 6
 
 
 def _grams(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -87,23 +91,27 @@ class Model:
         return out
 
 
-def train(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 600, chars_per_doc: int = 20_000
-) -> Model | None:
-    """Fit context trees on a bounded sample of labelled rows: of each language the ``docs_per_lang`` rows with the
-    least hash of their id, ``chars_per_doc`` characters of each at most. Rows without label or text are left out.
-    None if nothing is left. What reaches the driver is bounded by the sample, not by ``docs``.
-    """
+def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int, chars_per_doc: int) -> DataFrame:
     base = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull())
     w = Window.partitionBy("lang").orderBy(F.xxhash64("i"), "i")
     chosen = base.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= docs_per_lang).select("i", "lang")
     # at most docs_per_lang rows of each of the languages there are: small enough to send everywhere
-    sample = (
+    return (
         docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"))
         .filter(F.length("text") > 0)
         .join(F.broadcast(chosen), "i")
         .select("lang", F.substring("text", 1, chars_per_doc).alias("text"))
     )
+
+
+def train(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 600, chars_per_doc: int = 20_000
+) -> Model | None:
+    """Fit context trees on a bounded sample of labelled rows: of each language the ``docs_per_lang`` rows with the
+    least hash of their id, ``chars_per_doc`` characters of each at most. Rows without label or text are left out.
+    None if nothing is left. What reaches the driver is bounded by the sample, not by ``docs``.
+    """
+    sample = _sample(docs, id_col, text_col, lang_col, docs_per_lang, chars_per_doc)
     table = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not len(table):
         return None
@@ -147,6 +155,50 @@ class _Scorer:
         self.index, self.bits_of = pd.Index(grams), bits[first]
 
 
+def rate_limits(
+    docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 600, chars_per_doc: int = 20_000, margin: float = 1.25
+) -> np.ndarray | None:
+    """Most bits a byte of a text in each language of ``model`` (rows), for texts from 2**LEAST to 2**MOST bytes up (columns).
+
+    Learned from labelled rows that ``model`` was not fitted on, bounded as in :func:`train`: the median rate of a
+    language's prefixes of that length, times the largest ratio of a rate to its language's median (over all
+    languages, as capitals, lists and the like are rare in each), times ``margin``; never above RAW. A language
+    without labelled rows has the median of all; without any row the bound is RAW. None if ``model`` is None.
+    """
+    if model is None:
+        return None
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(shared.value)
+        for batch in batches:
+            for _, _, buf, offs in slabs(batch.column(1)):
+                kind, parts = [], []
+                for lo, hi in zip(offs[:-1], offs[1:], strict=True):
+                    sizes = [(k, 1 << k) for k in range(LEAST, MOST + 1) if 1 << k <= hi - lo]
+                    for k, n in [*sizes, *([(sizes[-1][0], hi - lo)] if sizes else [])]:
+                        kind.append(k)
+                        parts.append(buf[lo : lo + n])
+                if parts:
+                    ends = np.cumsum([0, *map(len, parts)])
+                    bits = scorer.score(np.concatenate(parts), ends)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(bits.argmin(axis=1), pa.int32()), pa.array(kind, pa.int32()), pa.array(bits.min(axis=1) / np.diff(ends))], names=["l", "k", "rate"]
+                    )
+
+    rates = _sample(docs, id_col, text_col, lang_col, docs_per_lang, chars_per_doc).mapInArrow(run, "l int, k int, rate double")
+    middle, ratio = np.full((len(model.langs), MOST + 1 - LEAST), np.nan), np.full(MOST + 1 - LEAST, np.nan)
+    for r in rates.groupBy("l", "k").agg(F.median("rate").alias("middle"), F.max("rate").alias("top")).collect():
+        middle[r.l, r.k - LEAST] = r.middle
+        ratio[r.k - LEAST] = np.fmax(ratio[r.k - LEAST], r.top / max(r.middle, 1e-9))
+    known = ~np.isnan(ratio)
+    limits = np.full(middle.shape, RAW)
+    if known.any():
+        seen = middle[:, known]
+        limits[:, known] = np.minimum(np.where(np.isnan(seen), np.nanmedian(seen, axis=0), seen) * ratio[known] * margin, RAW)
+    return limits
+
+
 _LATIN = np.zeros(256, bool)
 _LATIN[65:91] = _LATIN[97:123] = True
 
@@ -202,9 +254,13 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return base.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
 
 
-def keep_languages(docs: DataFrame, model: Model | None, text_col: str = "text", langs: list[str] | None = None, min_score: float = 0.5) -> DataFrame:
+def keep_languages(
+    docs: DataFrame, model: Model | None, text_col: str = "text", langs: list[str] | None = None, min_score: float = 0.5, limits: np.ndarray | None = None
+) -> DataFrame:
     """``docs`` without the rows whose text is in no known language: those that :func:`identify` calls ``und``, scores
-    under ``min_score``, or, with ``langs``, gives another language. Columns and their order stay; no row moves.
+    under ``min_score``, or, with ``langs``, gives another language. The score only tells which language is nearest;
+    with ``limits`` of :func:`rate_limits` a text also goes if its exact code is longer than that language's bound
+    for its length, by more than SLACK bits. Columns and their order stay; no row moves.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -221,6 +277,10 @@ def keep_languages(docs: DataFrame, model: Model | None, text_col: str = "text",
                     bits = scorer.score(buf, offs)
                     share = 1 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
                     keep[lo:hi] &= share >= min_score
+                    if limits is not None:
+                        size = np.diff(offs)
+                        k = (np.frexp(size)[1] - 1).clip(LEAST, MOST) - LEAST
+                        keep[lo:hi] &= bits.min(axis=1) <= limits[bits.argmin(axis=1), k] * size + SLACK
                     if langs is not None:
                         keep[lo:hi] &= np.isin(np.array(model.langs)[bits.argmin(axis=1)], langs)
             yield batch.filter(pa.array(keep))

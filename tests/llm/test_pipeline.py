@@ -45,3 +45,27 @@ def test_each_stage_against_brute_force(spark):
             want = {i for i, x in before.items() if not hit(words(x))}
         assert after == want, name
         docs = out
+
+
+def test_texts_of_no_learned_language_go(spark):
+    import base64
+    import random
+
+    rnd = random.Random(3)
+    letters = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    bad = [
+        "Wczoraj wieczorem poszliśmy do kina, żeby zobaczyć nowy film, który wszyscy chwalili, ale był bardzo nudny.",
+        "Suomen kesä on lyhyt mutta valoisa, ja monet ihmiset viettävät sen mökillä järven rannalla kalastaen ja saunoen.",
+        "昨天晚上我们去看了一部非常好看的电影，然后回家吃饭。",
+        base64.b64encode(rnd.randbytes(300)).decode(),
+        letters(200),
+        " ".join(letters(rnd.randint(2, 9)) for _ in range(40)),
+    ]
+    good = ["The it of ensh.", "Is that for and with the.", "La é le de de.", "Und die das in den.", "De la que el."]
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    extra = [(900_000 + k, x, None, "x", len(x)) for k, x in enumerate(bad + good)]
+    before = {r.doc_id for r in docs.select("doc_id").collect()}
+    out = corpus_pipeline.identify_language(spark, docs.unionByName(spark.createDataFrame(extra, docs.schema)), d)
+    after = {r.doc_id for r in out.select("doc_id").collect()}
+    assert after == before | {900_000 + k for k in range(len(bad), len(bad + good))}
