@@ -29,6 +29,11 @@ CHROME_WORDS = set(
     "disclaimer comment comments commentlist disqus respond replies discussion share sharing social related recommended recommendations "
     "popular trending search skip hidden".split()
 )
+# Of these, words that name adverts, and words that name what stays surroundings even if it holds article elements.
+AD_WORDS = set("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion promoted".split())
+APART_WORDS = AD_WORDS | set("comment comments commentlist disqus respond replies discussion related recommended recommendations popular trending".split())
+# Words that make a name say how a page is laid out, as in has-sidebar or menu-open.
+STATE_WORDS = set("has with without no not layout open opened enabled disabled toggled".split())
 # Words in class, id, role or itemprop that name a main text.
 ARTICLE_WORDS = set("article articlebody story post entry maincontent main".split())
 # Elements without content or end tag.
@@ -47,10 +52,17 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "select", "canvas")}
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]*/\Z")
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _WORD = re.compile(r"\w+")
 _SPACE = re.compile(r"\s+")
 
 
+# How much an element is surroundings: not, by a form, by a name, by its kind or a name of APART_WORDS, never shown.
+# An article element within the second or third is a main text all the same, a main element also within the fourth.
+SHOWN, FORM, NAMED, APART, HIDDEN = range(5)
+
+
 @dataclass(frozen=True)
 class BlockRules:
     """Thresholds of the first pass: characters, share of stop words, share of characters within links."""
@@ -67,39 +79,59 @@ class BlockRules:
 class _Block:
     text: str
     link_chars: int
-    chrome: bool
+    chrome: int
     article: bool
     heading: bool
     label: str = ""
 
 
-def _attributes(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element's attributes name surroundings, and whether they name a main text."""
+def _attributes(tag: str, attrs: str) -> tuple[int, bool, str]:
+    """How much an element's attributes name surroundings, whether they name a main text, and main or article if they say that it is one."""
     if not attrs or tag in ("html", "body"):
-        return False, False
+        return SHOWN, False, ""
     words: set[str] = set()
+    states: set[str] = set()
+    kind = ""
     for name, *value in _ATTR.findall(attrs):
         value = "".join(value)
         name = name.lower()
         if name == "hidden" and not value or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, False
+            return HIDDEN, False, ""
+        if name == "role" and value.lower() in ("main", "article"):
+            kind = value.lower()
+        elif name == "itemprop" and value.lower() == "articlebody":
+            kind = kind or "article"
         if name in ("class", "id", "role", "itemprop"):
-            words.update(x.lower() for x in _PARTS.findall(value))
-            words.update(value.lower().split())
-    article = bool(words & ARTICLE_WORDS)
-    return bool(words & CHROME_WORDS) and tag not in ("article", "main") or bool(words & {"comment", "comments", "commentlist", "ad", "ads", "sponsored"}), article
+            for token in value.split():
+                parts = {x.lower() for x in _PARTS.findall(token)}
+                (states if parts & STATE_WORDS else words).update(parts, [token.lower()])
+    article = bool((words | states) & ARTICLE_WORDS)
+    if tag in ("article", "main"):
+        words &= {"comment", "comments", "commentlist", "ad", "ads", "sponsored"}
+    return APART if words & APART_WORDS else NAMED if words & CHROME_WORDS else SHOWN, article, kind
+
+
+def _inline(tag: str, attrs: str) -> int:
+    """How much an inline element is surroundings: a custom element by any name, another only if it is hidden or an advert."""
+    named = _attributes(tag, attrs)[0]
+    if named == HIDDEN or "-" in tag or not named:
+        return named
+    names = {x.lower() for n, *value in _ATTR.findall(attrs) if n.lower() in ("class", "id", "role") for t in "".join(value).split() if not STATE_WORDS & {x.lower() for x in _PARTS.findall(t)} for x in (*_PARTS.findall(t), t)}
+    return APART if names & AD_WORDS else SHOWN
 
 
 def blocks(page: str) -> list[_Block]:
     """The page's blocks of visible text in order. Unclosed and stray tags are tolerated."""
     found: list[_Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open block elements: name, in surroundings, in a main text
+    stack: list[tuple[str, int, bool, bool]] = []  # open block elements, and inline ones in surroundings: name, how much in surroundings, in a main text, inline
     parts: list[str] = []
     links = link_depth = 0
     heading = False
 
     def text(piece: str) -> None:
         nonlocal links
+        if stack and stack[-1][3]:
+            return
         piece = html.unescape(piece)
         parts.append(piece)
         if link_depth:
@@ -109,7 +141,7 @@ def blocks(page: str) -> list[_Block]:
         nonlocal links, parts
         joined = _SPACE.sub(" ", "".join(parts)).strip()
         if joined:
-            _, chrome, article = stack[-1] if stack else ("", False, False)
+            _, chrome, article, _ = next((x for x in reversed(stack) if not x[3]), ("", SHOWN, False, False))
             found.append(_Block(joined, links, chrome, article, heading))
         parts, links = [], 0
 
@@ -127,7 +159,8 @@ def blocks(page: str) -> list[_Block]:
         if m["tag"] is None:
             continue
         tag, ending = m["tag"].lower(), bool(m["end"])
-        if not ending and tag in _RAW_END and not m["attrs"].endswith("/"):
+        closed = m["attrs"].endswith("/") and not _UNQUOTED.search(m["attrs"])
+        if not ending and tag in _RAW_END and not closed:
             stop = _RAW_END[tag].search(page, at)
             at = stop.end() if stop else n if tag in ("script", "style") else at
             parts.append(" " if tag == "title" else "")
@@ -137,10 +170,27 @@ def blocks(page: str) -> list[_Block]:
         elif tag == "br":
             parts.append(" ")
         if tag not in BLOCK_TAGS and tag not in HIDDEN_TAGS:
-            # a span or a custom element may still name surroundings
+            # a span may still name an advert, a custom element any surroundings
+            if tag in VOID_TAGS or closed:
+                continue
+            first = next((k for k in range(len(stack) - 1, -1, -1) if not stack[k][3] or "-" in stack[k][0]), -1)
+            if ending:
+                for k in range(len(stack) - 1, -1 if "-" in tag else max(first - 1, -1), -1):
+                    if stack[k][0] == tag and stack[k][3]:
+                        if "-" in tag:
+                            close()
+                        del stack[k:]
+                        break
+                continue
+            own = _inline(tag, m["attrs"])
+            if own or any(x[0] == tag and x[3] for x in stack):
+                if own and "-" in tag:
+                    close()
+                chrome, article = (stack[-1][1], stack[-1][2]) if stack else (SHOWN, False)
+                stack.append((tag, max(chrome, own), article, True))
             continue
         close()
-        if tag == "hr":
+        if tag in VOID_TAGS or closed:
             continue
         if ending:
             for k in range(len(stack) - 1, -1, -1):
@@ -149,17 +199,25 @@ def blocks(page: str) -> list[_Block]:
                     break
             heading = False
             continue
-        if tag == "p" or tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            while stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
+        last = len(stack)
+        while last and stack[last - 1][3] and "-" not in stack[last - 1][0]:
+            last -= 1
+        if last and stack[last - 1][0] == "p" or last and stack[last - 1][0] in _HEADINGS and tag in ("p", *_HEADINGS):
+            del stack[last:]  # inline elements end with the paragraph
+        if tag == "p" or tag in _HEADINGS:
+            while stack and stack[-1][0] in ("p", *_HEADINGS):
                 stack.pop()
         elif stack and stack[-1][0] == "p":
             stack.pop()
-        chrome, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        named_chrome, named_article = _attributes(tag, m["attrs"])
-        article_here = article or tag in ("article", "main") or named_article
-        page_header = tag == "header" and not article
-        chrome = chrome or tag in CHROME_TAGS or tag in HIDDEN_TAGS or page_header or named_chrome and not (named_article and not article)
-        stack.append((tag, chrome, article_here))
+        chrome, article = (stack[-1][1], stack[-1][2]) if stack else (SHOWN, False)
+        named, named_article, kind = _attributes(tag, m["attrs"])
+        kind = tag if tag in ("article", "main") else kind
+        if kind and chrome <= (APART if kind == "main" else NAMED):
+            chrome = SHOWN
+        own = HIDDEN if tag in HIDDEN_TAGS else FORM if tag == "form" else APART if tag in CHROME_TAGS or tag == "header" and not article else SHOWN
+        if named == HIDDEN or named and not (named == NAMED and named_article and not article):
+            own = max(own, named)
+        stack.append((tag, max(chrome, own), article or bool(kind) or named_article, False))
         heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
         link_depth = 0
     close()
@@ -183,8 +241,20 @@ def _first_pass(b: _Block, rules: BlockRules) -> str:
 
 
 def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
-    """The main text of one page, its blocks in order, one space between; empty if there is none."""
+    """The main text of one page, its blocks in order, one space between; empty if there is none.
+
+    A form is surroundings unless nothing is left without it: then it is around the whole page.
+    """
     found = blocks(page or "")
+    text = _joined(found, rules)
+    if not text and any(b.chrome == FORM for b in found):
+        for b in found:
+            b.chrome = SHOWN if b.chrome == FORM else b.chrome
+        text = _joined(found, rules)
+    return text
+
+
+def _joined(found: list[_Block], rules: BlockRules) -> str:
     for b in found:
         b.label = _first_pass(b, rules)
     decided = [k for k, b in enumerate(found) if b.label in ("good", "bad")]

@@ -45,3 +45,31 @@ def test_whole_articles_of_the_table(spark):
         inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         want = re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?(b|i|em|strong|a)\b[^>]*>", "", inner)))).strip()
         assert main_text(r.html) == want
+
+
+P = re.sub(r"\s+", " ", PROSE).strip()
+
+
+def test_wrappers_around_the_main_text():
+    for wrapper in ('div class="page has-sidebar"', 'div class="sidebar-right"', 'div id="menu-open"', "form action=/x/", 'div class="layout-sidebar"'):
+        name = wrapper.split()[0]
+        for tag in ("article", "main"):
+            page = f'<body><{wrapper}><nav>{PROSE}</nav><{tag}><p>{PROSE}</p></{tag}><div class="left-sidebar"><p>{PROSE}</p></div></{name}></body>'
+            assert main_text(page) == P, (wrapper, tag)
+    assert main_text(f"<body><form><nav>{PROSE}</nav><div>{PROSE}</div></form></body>") == P
+    for apart in ("comments", "related-posts"):
+        assert main_text(f'<article><p>One</p></article><div class="{apart}"><article><p>{PROSE}</p></article></div>') == "One"
+    assert main_text(f"<article><p>One</p></article><aside><article>{PROSE}</article></aside>") == "One"
+
+
+def test_void_and_self_closed_elements():
+    for x in ("<embed src=x>", "<svg/>", "<canvas />", '<iframe src="x"/>', '<script src="x"/>', '<div class="ad"/>'):
+        assert main_text(f"<article><p>One</p>{x}<p>Two</p></article>") == "One Two", x
+    assert main_text("<article><p>One</p><div class=ad data-u=/x/>no</div><p>Two</p></article>") == "One Two"
+
+
+def test_inline_and_custom_elements():
+    assert main_text('<article><p>One <span class="ad">buy <span>now</span> here</span>two</p><p>Three</article>') == "One two Three"
+    assert main_text('<article><p>One <span class="ad">buy<p>Two <i hidden>no</i>three</article>') == "One Two three"
+    assert main_text(f'<article><p>One</p><x-box class="sidebar">a<p>{PROSE}</p>b</x-box><p>Two</article>') == "One Two"
+    assert main_text('<article><p>One <span class="comment">two</span> <em class="notice">three</em></p></article>') == "One two three"
