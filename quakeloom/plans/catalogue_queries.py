@@ -73,7 +73,9 @@ def coverage_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 
 def population_gate(spark: SparkSession, d: str) -> DataFrame:
-    return gates.population_gate(validation_population(spark, d), 3, 1)
+    docs, labels = _shortlist(spark, d)
+    walk = crosswalk.exact_id_crosswalk(docs, labels, "target", NEIGHBOURS)
+    return gates.population_gate(crosswalk.validation_population(labels, walk, "target", NEIGHBOURS), 3, 1)
 
 
 def timeline(spark: SparkSession, d: str) -> DataFrame:

@@ -26,3 +26,13 @@ def test_query(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_population_gate_reads_whole_documents(spark, monkeypatch):
+    from quakeloom.plans import catalogue_queries
+
+    seen, walk = [], catalogue_queries.crosswalk.exact_id_crosswalk
+    monkeypatch.setattr(catalogue_queries.crosswalk, "exact_id_crosswalk", lambda docs, *a: seen.append(docs.count()) or walk(docs, *a))
+    d = "/root/testdata/sf0.001"
+    catalogue_queries.population_gate(spark, d)
+    assert seen == [spark.read.parquet(f"{d}/documents.parquet").count()]
