@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeloom.llm._scale import drop_ids, materialise
+from quakeloom.llm._scale import ROW, drop_rows, lean, materialise, numbered
 from quakeloom.llm._text import WORDISH, mix, signed, slabs, word_hashes
 
 _BITS = 1 << 20
@@ -114,7 +114,7 @@ def _blocks(spark: SparkSession, windows: DataFrame, docs: DataFrame, size: int,
             k = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(seen[k], pa.int64())], names=["k", "n"])
 
-        found = docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+        found = docs.select("text").mapInArrow(lean(count), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros(len(vocab), np.int64)
         counts[found["k"].to_numpy()] = found["n"].to_numpy()
         yield _Block(table["window"].to_numpy().view(np.uint64), words, sizes, vocab, counts)
@@ -136,7 +136,7 @@ def find_benchmark_passages(
     consecutive words of an item; an item with fewer words is one window. A window must be contained
     whole, so its one necessary word, the rarest over all documents, is the prefix it is joined by; a
     hit must leave room in the document for the words before and after it, and is verified word by
-    word. A document's word inside any verified window is hit.
+    word, words being told apart by their 64-bit hashes. A document's word inside any verified window is hit.
 
     Windows are searched in blocks of about ``block_windows``, each broadcast (88 bytes a window) for
     one scan of the documents, so no broadcast grows with the data. Null or wordless documents have no
@@ -146,7 +146,7 @@ def find_benchmark_passages(
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     named = items.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("item_id"), F.col(item_text_col).alias("text"))
-    windows = materialise(named.mapInArrow(_windows(size), "item_id string, window long, words array<long>").distinct(), "item-windows")
+    windows = materialise(named.mapInArrow(lean(_windows(size)), "item_id string, window long, words array<long>").distinct(), "item-windows")
     kind = base.schema["doc_id"].dataType.simpleString()
     ddl = f"row long, doc_id {kind}, n_words long, first array<int>, last array<int>, windows array<long>"
 
@@ -161,11 +161,14 @@ def find_benchmark_passages(
                     if own is not None:
                         start, win = own.find(w, at)
                         text = np.searchsorted(at, start, "right") - 1
-                        for k in np.unique(text):
-                            mine = text == k
-                            s = start[mine] - at[k]
-                            firsts[k], lasts[k] = _union(s, s + own.sizes[win[mine]])
-                            keys[k] = np.unique(signed(own.keys[win[mine]])).tolist()
+                        order = np.argsort(text, kind="stable")
+                        start, win, text = start[order], win[order], text[order]
+                        runs = np.flatnonzero(np.diff(text, prepend=-1))
+                        for a, b in zip(runs, np.append(runs[1:], len(text)), strict=True):
+                            k = text[a]
+                            s = start[a:b] - at[k]
+                            firsts[k], lasts[k] = _union(s, s + own.sizes[win[a:b]])
+                            keys[k] = np.unique(signed(own.keys[win[a:b]])).tolist()
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.arange(row, row + n), pa.int64()),
@@ -182,9 +185,9 @@ def find_benchmark_passages(
         return run
 
     scans = [
-        materialise(base.mapInArrow(found(spark.sparkContext.broadcast(b)), ddl), "passages")
+        materialise(base.mapInArrow(lean(found(spark.sparkContext.broadcast(b))), ddl), "passages")
         for b in _blocks(spark, windows, base, size, block_windows)
-    ] or [materialise(base.mapInArrow(found(None), ddl), "passages")]
+    ] or [materialise(base.mapInArrow(lean(found(None)), ddl), "passages")]
     if len(scans) == 1:
         hits = scans[0].withColumn("n_hit", F.aggregate(F.zip_with("first", "last", lambda a, b: b - a), F.lit(0), lambda a, b: a + b).cast("long"))
     else:
@@ -231,7 +234,11 @@ def _over_blocks(scans: list[DataFrame]) -> DataFrame:
     return words.groupBy("row").agg(F.count("*").alias("n_hit"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that hold a window of an item; columns as they were."""
-    found = find_benchmark_passages(docs, items, id_col, text_col, **options).filter("contaminated").select("doc_id")
-    return drop_ids(docs, materialise(found.distinct(), "contaminated"), id_col)
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the documents that hold a window of an item; columns as they were.
+
+    Each row is judged by its own text, whatever other rows share its id, null or not.
+    """
+    rows = numbered(docs)
+    found = find_benchmark_passages(rows, items, ROW, text_col, **options).filter("contaminated").select("doc_id")
+    return drop_rows(rows, materialise(found, "contaminated"))

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quakeloom.llm._scale import lean
+
 # Elements that end a block of text.
 BLOCK_TAGS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -298,4 +300,4 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             )
 
     kinds = [base.schema[c].dataType.simpleString() for c in ("page_id", "url")]
-    return base.mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
+    return base.mapInArrow(lean(run), f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")

@@ -11,12 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakeloom.llm._text import slabs
+from quakeloom.llm._scale import lean
+from quakeloom.llm._text import LOWER, slabs
 
 #: Longest context in bytes; a tree node is a context and the byte after it.
 ORDER = 4
 #: What a process keeps of code lengths it has worked out; beyond it the table starts anew.
-KEPT = 1 << 20
+KEPT = 1 << 19
 #: No text of a language needs more bits a byte than the bytes as they are, but for the first few.
 RAW, SLACK = 8.0, 64.0
 #: Lengths of prefixes, as powers of two, for which bounds are learned; the last holds for all longer texts.
@@ -24,7 +25,8 @@ LEAST, MOST = 3, 6
 
 
 def _grams(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """For each byte, it (low 8 bits) and the ORDER bytes before it; before a text stand zero bytes."""
+    """For each byte, A-Z folded, it (low 8 bits) and the ORDER bytes before it; before a text stand zero bytes."""
+    buf = LOWER[buf]
     g = np.zeros(len(buf), np.uint64)
     starts = offs[:-1][np.diff(offs) > 0]
     at = np.arange(len(buf)) - np.repeat(starts, np.diff(np.append(starts, len(buf)))) if len(buf) else g.astype(np.int64)
@@ -93,8 +95,12 @@ class Model:
 
 def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int, chars_per_doc: int) -> DataFrame:
     base = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull())
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("i"), "i")
-    chosen = base.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= docs_per_lang).select("i", "lang")
+    # in two levels, so that a frequent language is no one task's work: of each of 64 parts the least hashes, then of these
+    base = base.withColumn("h", F.xxhash64("i"))
+    for keys in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
+        w = Window.partitionBy(*keys).orderBy("h", "i")
+        base = base.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= docs_per_lang).drop("r")
+    chosen = base.select("i", "lang")
     # at most docs_per_lang rows of each of the languages there are: small enough to send everywhere
     return (
         docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"))
@@ -108,11 +114,12 @@ def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 600, chars_per_doc: int = 20_000
 ) -> Model | None:
     """Fit context trees on a bounded sample of labelled rows: of each language the ``docs_per_lang`` rows with the
-    least hash of their id, ``chars_per_doc`` characters of each at most. Rows without label or text are left out.
+    least hash of their id, ``chars_per_doc`` characters of each at most. Rows without label, text or id are left out;
+    of rows that repeat an id, up to ``docs_per_lang`` count, each as often as the id is repeated.
     None if nothing is left. What reaches the driver is bounded by the sample, not by ``docs``.
     """
     sample = _sample(docs, id_col, text_col, lang_col, docs_per_lang, chars_per_doc)
-    table = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    table = sample.mapInArrow(lean(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not len(table):
         return None
     codes, langs = pd.factorize(table["lang"].to_numpy(zero_copy_only=False), sort=True)
@@ -186,7 +193,7 @@ def rate_limits(
                         [pa.array(bits.argmin(axis=1), pa.int32()), pa.array(kind, pa.int32()), pa.array(bits.min(axis=1) / np.diff(ends))], names=["l", "k", "rate"]
                     )
 
-    rates = _sample(docs, id_col, text_col, lang_col, docs_per_lang, chars_per_doc).mapInArrow(run, "l int, k int, rate double")
+    rates = _sample(docs, id_col, text_col, lang_col, docs_per_lang, chars_per_doc).mapInArrow(lean(run), "l int, k int, rate double")
     middle, ratio = np.full((len(model.langs), MOST + 1 - LEAST), np.nan), np.full(MOST + 1 - LEAST, np.nan)
     for r in rates.groupBy("l", "k").agg(F.median("rate").alias("middle"), F.max("rate").alias("top")).collect():
         middle[r.l, r.k - LEAST] = r.middle
@@ -251,7 +258,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 )
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    return base.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
+    return base.mapInArrow(lean(run), f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
 
 
 def keep_languages(
@@ -285,7 +292,7 @@ def keep_languages(
                         keep[lo:hi] &= np.isin(np.array(model.langs)[bits.argmin(axis=1)], langs)
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema) if model else docs.filter("false")
+    return docs.mapInArrow(lean(run), docs.schema) if model else docs.filter("false")
 
 
 def held_out(doc_id: Column, parts: int = 3) -> Column:

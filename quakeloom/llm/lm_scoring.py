@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quakeloom.llm._scale import materialise
+from quakeloom.llm._scale import lean, materialise
 from quakeloom.llm._text import NONSPACE, signed, slabs, word_hashes
 
 #: The hash that stands for the end of a text; no word is hashed to it but by chance.
@@ -187,7 +187,7 @@ def _add(table: pa.Table) -> pa.Table:
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word hash, n) of all tokens of all texts."""
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(_count, "word long, n long")
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(_count), "word long, n long")
     return materialise(found.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
@@ -219,7 +219,7 @@ def train(docs: DataFrame, words: DataFrame, text_col: str = "text", opts: LmOpt
     )
     ddl = "tasks long, stretch long, seen long, vectors binary"
     shared = spark.sparkContext.broadcast(model)
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(_nce(shared, opts), ddl)
+    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(_nce(shared, opts)), ddl)
     table = parts.groupBy("stretch", "tasks").applyInArrow(_add, ddl).groupBy("stretch").applyInArrow(_add, ddl).toArrow().sort_by("stretch")
     if len(table):
         flat = np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in table["vectors"]]) / table["seen"][0].as_py()
@@ -285,7 +285,7 @@ def score(docs: DataFrame, words: DataFrame, model: LmModel, id_col: str = "doc_
 
     kind = base.schema["doc_id"].dataType.simpleString()
     ddl = f"row long, doc_id {kind}, n_tokens long, n_known long, single double, joint double, rare array<long>, seen array<long>"
-    rows = materialise(base.mapInArrow(run, ddl), "scored")
+    rows = materialise(base.mapInArrow(lean(run), ddl), "scored")
     end = F.lit(int(np.array([END]).view(np.int64)[0]))
     count = F.coalesce(F.col("n"), F.lit(0))
     rare = (

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quakeloom.llm._graph import components
-from quakeloom.llm._scale import bucket, drop_ids, mark_buckets, materialise
+from quakeloom.llm._scale import ROW, bucket, drop_rows, lean, mark_buckets, materialise, numbered
 from quakeloom.llm._text import NONSPACE, mix, signed, slabs, word_hashes
 
 #: Counters of the rarity table, by the leading bits of a shingle's hash: 1 MB whatever the data.
@@ -88,7 +88,7 @@ def _add(table: pa.Table) -> pa.Table:
 def _rarity(docs: DataFrame, size: int) -> np.ndarray:
     """How many shingles of all documents fall on each counter; added up 512 tasks at a time."""
     ddl = "tasks long, stretch long, counts binary"
-    parts = docs.select("text").mapInArrow(_count(size), ddl).groupBy("stretch", "tasks").applyInArrow(_add, ddl)
+    parts = docs.select("text").mapInArrow(lean(_count(size)), ddl).groupBy("stretch", "tasks").applyInArrow(_add, ddl)
     table = parts.groupBy("stretch").applyInArrow(_add, ddl).toArrow().sort_by("stretch")
     return np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table["counts"]]) if len(table) else np.zeros(COUNTERS, np.uint32)
 
@@ -234,7 +234,7 @@ def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _alike(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b) of document ids those alike by ``percent``: a, b, and the sizes of intersection (both) and union (either)."""
-    return _with_texts(pairs, docs).select("a", "b", "x", "y").mapInArrow(_verify(size, percent), "a long, b long, both long, either long")
+    return _with_texts(pairs, docs).select("a", "b", "x", "y").mapInArrow(lean(_verify(size, percent)), "a long, b long, both long, either long")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -328,14 +328,14 @@ def _inside(grouped: DataFrame, links: DataFrame, docs: DataFrame, size: int, pe
     star = materialise(star, "stars")
     ddl = "a long, b long, n long, linked boolean, total long, difference array<long>"
     texts = _with_texts(star.select("a", "b"), docs).select("a", "b", "x", "y")
-    apart = materialise(texts.mapInArrow(_differences(size, percent, counts), ddl), "differences")
+    apart = materialise(texts.mapInArrow(lean(_differences(size, percent, counts)), ddl), "differences")
     label = F.when(F.col("linked"), F.col("pivot_comp")).otherwise(F.col("comp"))
     rows = (
         apart.join(star.drop("b"), "a")
         .select("grp", label.alias("comp"), F.col("a").alias("node"), "n", "total", F.posexplode("difference").alias("pos", "token"))
         .select("grp", "token", "comp", "node", "n", "total", F.col("pos").cast("long").alias("pos"))
     )
-    met = rows.repartition("grp", "token").sortWithinPartitions("grp", "token").mapInArrow(_meet_inside(percent), "a long, b long").distinct()
+    met = rows.repartition("grp", "token").sortWithinPartitions("grp", "token").mapInArrow(lean(_meet_inside(percent)), "a long, b long").distinct()
     near = apart.filter("linked").select("a", "b")
     return near.unionByName(_linked(materialise(met, "met-inside"), docs, size, percent))
 
@@ -368,7 +368,7 @@ def jaccard_components(
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(_rarity(base, size))
     ddl = "doc_id long, n long, a long, b long, keys array<long>, rare double, prefix array<long>"
-    described = materialise(base.mapInArrow(_describe(size, percent, counts), ddl), "shingled")
+    described = materialise(base.mapInArrow(lean(_describe(size, percent, counts)), ddl), "shingled")
     sets = described.filter("n > 0 and doc_id is not null")
     nodes = materialise(
         sets.groupBy("n", "a", "b").agg(F.min(F.struct("doc_id", "keys", "rare")).alias("x"))
@@ -397,7 +397,7 @@ def jaccard_components(
         .select("token", "grp", "n", F.col("pos").cast("long").alias("pos"))
     )
     spread = postings.repartition("token").sortWithinPartitions("token", "grp")
-    met = spread.mapInArrow(_meet(percent), "g long, h long").groupBy("g", "h").agg(F.count("*").alias("shared"))
+    met = spread.mapInArrow(lean(_meet(percent)), "g long, h long").groupBy("g", "h").agg(F.count("*").alias("shared"))
     met = materialise(met.filter(F.col("shared") >= _common_in_prefix(percent)).select("g", "h"), "groups-met")
 
     pivots = grouped.groupBy("grp").agg(F.min(F.struct("rare", "node", "n")).alias("p"), F.count("*").alias("members"))
@@ -479,7 +479,7 @@ def _open(apart: DataFrame, grouped: DataFrame, docs: DataFrame, size: int, perc
     members = materialise(grouped.join(groups, "grp", "left_semi").select("node", "grp", "n"), "members")
     texts = mark_buckets(docs, bucket(F.col("doc_id")), members.select("node"), "needed").filter("needed")
     texts = texts.select(F.col("doc_id").alias("node"), "text").join(members.select("node"), "node", "left_semi")
-    tokens = texts.mapInArrow(_shingles(size), "node long, tokens array<long>").join(members, "node")
+    tokens = texts.mapInArrow(lean(_shingles(size)), "node long, tokens array<long>").join(members, "node")
     tokens = materialise(tokens.dropDuplicates(["node"]), "tokens")
 
     queries = apart.join(tokens.select(F.col("grp").alias("small"), F.col("node").alias("q"), F.col("n").alias("nq"), "tokens"), "small")
@@ -506,10 +506,16 @@ def _open(apart: DataFrame, grouped: DataFrame, docs: DataFrame, size: int, perc
         .groupBy(F.col("grp").alias("large"), part("node", "members").alias("block_m"))
         .agg(F.collect_list(F.struct("node", "tokens")).alias("members"))
     )
-    return blocks_q.join(blocks_m, "large").select("queries", "members").mapInArrow(_search(percent), "a long, b long")
+    return blocks_q.join(blocks_m, "large").select("queries", "members").mapInArrow(lean(_search(percent)), "a long, b long")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with the least id of each component only; columns as they were. Wordless documents stay."""
-    gone = jaccard_components(docs, id_col, text_col, size, percent).filter("doc_id <> component_id").select("doc_id")
-    return drop_ids(docs, materialise(gone.distinct(), "near-dropped"), id_col)
+    """``docs`` with one row of each component only, that with the least id; columns as they were. Wordless documents stay.
+
+    Rows are the documents, whatever ids they share; a null id comes before all others, of equal ids the first row stays.
+    """
+    rows = numbered(docs)
+    found = jaccard_components(rows, ROW, text_col, size, percent)
+    ids = rows.select(F.col(ROW).alias("doc_id"), F.col(id_col).alias("id"))
+    kept = found.join(ids, "doc_id").groupBy("component_id").agg(F.min(F.struct("id", "doc_id")).alias("k")).select(F.col("k.doc_id").alias("doc_id"))
+    return drop_rows(rows, materialise(found.select("doc_id").join(kept, "doc_id", "left_anti"), "near-dropped"))

@@ -11,16 +11,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quakeloom.llm._scale import materialise
+from quakeloom.llm._scale import lean, materialise
 from quakeloom.llm._text import slabs
 from quakeloom.llm.tokenizer import default_path, encoder
 
 #: A document's piece before it has a place: id, first token, tokens of the document, ids.
-Piece = tuple[int | None, int, int, np.ndarray]
+Piece = tuple[object, int, int, np.ndarray]
 
 _FIELDS = [
-    ("doc_id", pa.int64()),
     ("start", pa.int64()),
     ("length", pa.int64()),
     ("ids_crc32", pa.int64()),
@@ -29,14 +29,15 @@ _FIELDS = [
     ("offset", pa.int64()),
     ("ids", pa.binary()),
 ]
-_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+_DDL = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 class _Out:
     """Placed pieces, column by column. Ids leave as bytes where they are wanted or not yet placed for good."""
 
-    def __init__(self, base: int, with_ids: bool):
+    def __init__(self, base: int, with_ids: bool, id_type: pa.DataType):
         self.base, self.with_ids, self.made, self.rows = base, with_ids, 0, []
+        self.fields = [("doc_id", id_type), *_FIELDS]
 
     def sequence(self, pieces: list[Piece], number: int | None = None) -> None:
         """A whole sequence; with ``number`` given (below 0) an unfinished one for the next merge."""
@@ -50,8 +51,8 @@ class _Out:
 
     def batch(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
-        cols = list(zip(*rows, strict=True)) if rows else [()] * len(_FIELDS)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
+        cols = list(zip(*rows, strict=True)) if rows else [()] * len(self.fields)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, self.fields, strict=True)], names=[n for n, _ in self.fields])
 
 
 def _cut(pieces: list[Piece], size: int) -> Iterator[list[Piece]]:
@@ -124,16 +125,19 @@ def pack(
     merged with those of ``merge`` - 1 others, and what a merge leaves is cut into sequences of powers
     of two, which need no padding.
 
-    Null text is empty (only ``end_id``); null ids stay null; repeated rows are packed as often as they
-    stand; an empty table gives no rows. Memory of a task: one slab of texts, the open windows, and the
-    longest document. A task that is run again gives the same pieces, and the table of placed pieces is
+    Null text is empty (only ``end_id``); null ids stay null, ids keep their type; repeated rows are packed
+    as often as they stand; an empty table gives no rows. Memory of a task: the Arrow batches in and out,
+    one slab of texts, the open windows, and the longest document. A task that is run again gives the same pieces, and the table of placed pieces is
     written before the remainders are merged.
     """
     path = tokenizer_path or default_path()
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    ddl = _DDL.format(id=base.schema["doc_id"].dataType.simpleString())
+    id_type = to_arrow_type(base.schema["doc_id"].dataType)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, opened = encoder(path), _Open(window, open_windows)
-        out = _Out(TaskContext.get().partitionId() << 32, with_ids)
+        out = _Out(TaskContext.get().partitionId() << 32, with_ids, id_type)
         for batch in batches:
             ids_of = batch.column(0).to_pylist()
             for lo, _, buf, offs in slabs(batch.column(1)):
@@ -155,7 +159,7 @@ def pack(
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).sort_by([("sequence_id", "descending"), ("offset", "ascending")])
         rows = table.to_pylist()
-        out = _Out((1 << 62) + ((-1 - rows[0]["sequence_id"]) // merge << 20), with_ids)
+        out = _Out((1 << 62) + ((-1 - rows[0]["sequence_id"]) // merge << 20), with_ids, id_type)
         pieces = [(r["doc_id"], r["start"], r["doc_tokens"], np.frombuffer(r["ids"], "<u4")) for r in rows]
         for run in _cut(pieces, window):
             left = sum(len(p[3]) for p in run)
@@ -169,12 +173,11 @@ def pack(
                 run, left = [p for r in tail for p in r], left - part
         yield out.batch()
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = materialise(base.mapInArrow(placed, _DDL), "packed")
+    pieces = materialise(base.mapInArrow(lean(placed), ddl), "packed")
     rest = (
         pieces.filter("sequence_id < 0")
         .groupBy(F.floor((-1 - F.col("sequence_id")) / F.lit(merge)).alias("g"))
-        .applyInArrow(merged_group(merged), _DDL)
+        .applyInArrow(merged_group(merged), ddl)
     )
     out = pieces.filter("sequence_id >= 0").unionByName(rest)
     return out if with_ids else out.drop("ids")
@@ -184,6 +187,6 @@ def merged_group(f):
     """A grouped function from one on batches; a group holds under one window from each of ``merge`` partitions."""
 
     def run(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(f(iter(table.select([n for n, _ in _FIELDS]).to_batches()))))
+        return pa.Table.from_batches(list(f(iter(table.select(["doc_id", *(n for n, _ in _FIELDS)]).to_batches()))))
 
     return run

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quakeloom.llm._scale import materialise
+from quakeloom.llm._scale import lean, materialise
 from quakeloom.llm._text import NONSPACE, mix, signed, slabs, word_hashes
 
 #: Words of the gram whose hash selects a position.
@@ -166,8 +166,8 @@ def _suffix_order(rows: DataFrame, side: str, size: int, name: str) -> DataFrame
     distinct = rows.groupBy("h", F.col(side).alias("ctx")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     distinct = distinct.select("h", "ctx", F.xxhash64("h", "ctx").alias("key"), "low", (F.col("low") != F.col("high")).alias("several"))
     ordered = distinct.repartitionByRange("h", "ctx").sortWithinPartitions("h", "ctx")
-    table = materialise(ordered.mapInArrow(_compare(size), _SORTED), name)
-    edges = table.filter("edge").drop("alike", "edge").coalesce(1).sortWithinPartitions("h", "ctx").mapInArrow(_compare(size), _SORTED)
+    table = materialise(ordered.mapInArrow(lean(_compare(size)), _SORTED), name)
+    edges = table.filter("edge").drop("alike", "edge").coalesce(1).sortWithinPartitions("h", "ctx").mapInArrow(lean(_compare(size)), _SORTED)
     edges = edges.select("key", F.col("alike").alias("across"))  # two rows of each task, whatever the data
     return (
         table.join(F.broadcast(edges), "key", "left")
@@ -229,13 +229,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     window = min_words - GRAM + 1
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull())
-    found = base.mapInArrow(_positions(window), "h long, doc_id long")
+    found = base.mapInArrow(lean(_positions(window)), "h long, doc_id long")
     shared = materialise(
         found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h"), "shared-positions"
     )
     bits = spark.sparkContext.broadcast(_filter_bits(shared))
     ddl = "h long, doc_id long, pos long, n long, right binary, left binary"
-    rows = base.mapInArrow(_contexts(min_words, window, bits), ddl)
+    rows = base.mapInArrow(lean(_contexts(min_words, window, bits)), ddl)
     rows = materialise(rows.withColumn("kr", F.xxhash64("h", "right")).withColumn("kl", F.xxhash64("h", "left")), "positions")
     right = _suffix_order(rows, "right", min_words, "suffixes")
     left = _suffix_order(rows, "left", min_words, "prefixes")
@@ -260,7 +260,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     open_rows = extended.filter(f"not (whole_r and whole_l) and l > 0 and r > 0 and r + l >= {min_words}").select("doc_id", "pos", "r", "l", "kr", "kl")
     open_rows = open_rows.join(right.select(F.col("key").alias("kr"), F.col("ctx").alias("right")), "kr").join(left.select(F.col("key").alias("kl"), F.col("ctx").alias("left")), "kl")
-    windows = materialise(open_rows.drop("kr", "kl").mapInArrow(_windows(min_words), "doc_id long, start long, w long"), "windows")
+    windows = materialise(open_rows.drop("kr", "kl").mapInArrow(lean(_windows(min_words)), "doc_id long, start long, w long"), "windows")
     confirmed = windows.groupBy("w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("w", "low")
     sure = sure.unionByName(windows.join(confirmed, "w").select("doc_id", "start", (F.col("start") + min_words).alias("stop"), "low"))
     return _merged(sure.distinct())
@@ -282,4 +282,4 @@ def _merged(spans: DataFrame) -> DataFrame:
             cols = zip(*out, strict=True) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start_word", "end_word", "n_words", "first_doc_id"])
 
-    return listed.mapInArrow(run, "doc_id long, start_word long, end_word long, n_words long, first_doc_id long")
+    return listed.mapInArrow(lean(run), "doc_id long, start_word long, end_word long, n_words long, first_doc_id long")

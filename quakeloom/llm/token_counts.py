@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quakeloom.llm._scale import lean
 from quakeloom.llm._text import slabs
 from quakeloom.llm.tokenizer import default_path, encoder
 
@@ -121,4 +122,4 @@ def count_section_tokens(
     cols = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
     cols += [F.col(sections_col).alias("sections")] if sections_col else []
     base = docs.select(*cols)
-    return base.mapInArrow(counted, _DDL.format(id=base.schema["doc_id"].dataType.simpleString()))
+    return base.mapInArrow(lean(counted), _DDL.format(id=base.schema["doc_id"].dataType.simpleString()))

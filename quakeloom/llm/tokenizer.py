@@ -2,7 +2,9 @@
 
 A byte-level BPE never merges across the pieces its splitting rule makes, so a piece's ids are the
 same wherever it stands. Texts are therefore split with numpy, each distinct piece is encoded once by
-the tokenizer and kept, and ids are gathered per text.
+the tokenizer and kept, and ids are gathered per text. Pieces are told apart by a 64-bit hash. Texts that
+hold the vocabulary's added tokens, or characters not assigned in Python's own tables, are left whole to
+the tokenizer, so ids are always those it gives as loaded.
 """
 
 from __future__ import annotations
@@ -16,16 +18,18 @@ import pandas as pd
 
 from quakeloom.llm._text import mix, powers
 
-#: Most pieces a process keeps; beyond that it starts anew. It bounds memory, not results.
-KEPT_PIECES = 1_000_000
+#: Most pieces a process keeps; beyond that it starts anew. It bounds memory (some 20 MB), not results.
+KEPT_PIECES = 400_000
 #: Places in the table of kept pieces; each piece has two, and one that finds both taken replaces another.
-TABLE = 1 << 21
+TABLE = 1 << 20
+#: Pieces encoded in one call; the tokenizer's own results are large.
+LOT = 4096
 
 # Unicode White_Space, and what may follow an apostrophe in the splitting rule.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
-_LETTER, _DIGIT, _OTHER, _SPACE = 0, 1, 2, 3
+_LETTER, _DIGIT, _OTHER, _SPACE, _UNKNOWN = 0, 1, 2, 3, 4
 
 
 @cache
@@ -37,6 +41,8 @@ def _classes() -> np.ndarray:
             kinds[c] = _LETTER
         elif k == "N":
             kinds[c] = _DIGIT
+        elif unicodedata.category(chr(c)) == "Cn":
+            kinds[c] = _UNKNOWN  # the tokenizer's table of characters may be newer than this one
     kinds[WHITE_SPACE] = _SPACE
     return kinds
 
@@ -86,7 +92,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -116,6 +122,9 @@ class Encoder:
             lead = np.zeros(len(buf) + 1, np.int64)
             np.cumsum((buf & 0xC0) != 0x80, out=lead[1:])
             at = lead[offs]
+        whole = self._whole(raw, offs, cps, at)
+        if len(whole):
+            return self._mixed(buf, offs, whole)
         starts = pieces(cps, at)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
@@ -138,6 +147,32 @@ class Encoder:
         ids = self.flat[np.repeat(begin - total[:-1], length) + np.arange(total[-1])]
         return ids, total[np.searchsorted(starts, at)]
 
+    def _whole(self, raw: bytes, offs: np.ndarray, cps: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Texts that the splitting rule alone may not do justice to."""
+        found = np.searchsorted(at, np.flatnonzero(_classes()[cps] == _UNKNOWN), "right") - 1
+        places = []
+        for token in self.added:
+            k = raw.find(token)
+            while k >= 0:
+                places.append(k)
+                k = raw.find(token, k + 1)
+        return np.unique(np.concatenate([found, np.searchsorted(offs, np.array(places, np.int64), "right") - 1]))
+
+    def _mixed(self, buf: np.ndarray, offs: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`encode`, but the texts ``whole`` are encoded one by one."""
+        ids, sizes, lo = [], [], 0
+        for k in [*whole.tolist(), len(offs) - 1]:
+            if k > lo:
+                part, at = self.encode(buf[offs[lo] : offs[k]], offs[lo : k + 1] - offs[lo])
+                ids.append(part)
+                sizes.append(np.diff(at))
+            if k < len(offs) - 1:
+                own = self.tokenizer.encode(buf[offs[k] : offs[k + 1]].tobytes().decode(), add_special_tokens=False).ids
+                ids.append(np.array(own, np.uint32))
+                sizes.append(np.array([len(own)]))
+            lo = k + 1
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
     def _slots(self, distinct, text, starts, ends, first) -> np.ndarray:
         """The kept slot of each distinct piece; pieces not kept are encoded now."""
         one = (distinct & np.uint64(TABLE - 1)).astype(np.int64)
@@ -146,10 +181,10 @@ class Encoder:
         new = np.flatnonzero(slot < 0)
         if len(new):
             where = first[new]
-            found = self.tokenizer.encode_batch(
-                [text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], add_special_tokens=False
-            )
-            ids = [x.ids for x in found]
+            spans = list(zip(starts[where].tolist(), ends[where].tolist(), strict=True))
+            ids = []
+            for k in range(0, len(spans), LOT):
+                ids += [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch([text[a:b] for a, b in spans[k : k + LOT]], add_special_tokens=False)]
             base = len(self.at) - 1
             slot[new] = np.arange(base, base + len(new))
             place = np.where(self.slots[one[new]] < 0, one[new], np.where(self.slots[two[new]] < 0, two[new], one[new]))
@@ -158,7 +193,7 @@ class Encoder:
             # of several put in one place the last write stands in both arrays alike
             ends_of = self.at[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
             self.at = np.concatenate([self.at, ends_of])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32)])
+            self.flat = np.concatenate([self.flat, *ids])
         return slot
 
 

@@ -81,7 +81,6 @@ def test_decontamination_against_brute_force(spark, block):
 
 def test_section_counts_add_up(spark):
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     texts = ["one two\nthree  four\n\n\nfive", "", None, "größe\nñandú 😀\n", "\n\n", "plain", "a\r\nb"]
     df = spark.createDataFrame([(k, x, 0) for k, x in enumerate(texts)], "doc_id long, text string, section int")
     rows = count_section_tokens(df).collect()

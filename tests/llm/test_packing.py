@@ -11,13 +11,15 @@ from quakeloom.llm.tokenizer import default_path, encoder
 
 ODD = [
     "", "'s", "it's they'll 'x 're''s  ' s", " \n\n a  b\t c'd", "a'sb don't  　x <|endoftext|> 12 345th ١٢ 😀😀'll ",
-    "   ", "x\n\n", "'", "a 's b", "x'", "'ve\n", None, "o'relly's '' 's", "ärger Ünder ñandú", "a b  c",
+    "   ", "x\n\n", "'", "a 's b", "x'", "'ve\n", "<|endoftext|>", "a<|endoftext|>b  <|endoftext|><|endof", "\u1c89'll go", "x \U0001ffff\u0378y's", None, "o'relly's '' 's", "ärger Ünder ñandú", "a b  c",
 ]
 
 
+TOKENIZER = Tokenizer.from_file(default_path())
+
+
 def reference(texts):
-    t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
+    t = TOKENIZER
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
@@ -66,6 +68,22 @@ def test_round_trip(spark):
     check(pack(df, with_ids=True, window=64, open_windows=2).collect(), docs, 64)
 
 
+def test_random_unicode_with_added_tokens(spark):
+    import random
+
+    r = random.Random(5)
+    parts = ["<|endoftext|>", "<|end", "'s", " 'll", "\u1c89", "\u0378", "é", "\u0301", "\u3000", "\n", "  ", "12", "٣", "ǅ", "😀", "of", "İ", "\u00a0", "\x00"]
+    texts = ["".join(r.choice(parts) if r.random() < 0.7 else chr(r.choice([r.randrange(32, 0xD800), r.randrange(0xE000, 0x11000)])) for _ in range(r.randint(0, 30))) for _ in range(400)]
+    for _, _, buf, offs in slabs(pa.array(texts, pa.string())):
+        ids, at = encoder(default_path()).encode(buf, offs)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == reference(texts)
+
+
+def test_ids_keep_their_type(spark):
+    df = spark.createDataFrame([("a", "one two"), (None, None)], "doc_id string, text string")
+    assert {(r.doc_id, r.doc_tokens) for r in pack(df).collect()} == {(None, 1), ("a", 3)}
+
+
 def test_empty_and_extra_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, ids string, start int")
     assert pack(df).count() == 0

@@ -20,7 +20,7 @@ def test_each_stage_against_brute_force(spark):
     items = [r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     for name, stage in corpus_pipeline.STAGES:
         before = {r.doc_id: r.text for r in docs.collect()}
-        out = corpus_pipeline.materialise(stage(spark, docs, d), "test")
+        out = corpus_pipeline.keep(stage(spark, docs, d), "test")
         if name == "packing":
             assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == set(before)
             break
@@ -69,3 +69,31 @@ def test_texts_of_no_learned_language_go(spark):
     out = corpus_pipeline.identify_language(spark, docs.unionByName(spark.createDataFrame(extra, docs.schema)), d)
     after = {r.doc_id for r in out.select("doc_id").collect()}
     assert after == before | {900_000 + k for k in range(len(bad), len(bad + good))}
+
+
+def test_rows_are_dropped_not_ids(spark):
+    from quakeloom.llm.decontaminate import drop_contaminated
+    from quakeloom.llm.exact_dedup import drop_exact_copies
+    from quakeloom.llm.ngram_join import drop_near_copies
+
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, "aa bb", "p"), (2, "aa  bb", "q"), (2, "unique text here", "r"), (None, "unique  text here", "s"), (None, "cc", "t"), (None, "cc", "u"), (3, text, "v"), (3, "dd", "w"), (3, "dd", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").coalesce(1)
+    kept = lambda out: sorted(r["row"] for r in out.collect())
+    out = drop_exact_copies(df)
+    assert out.columns == df.columns and kept(out) == ["q", "s", "t", "v", "w"]
+    assert kept(drop_near_copies(df)) == ["p", "s", "t", "v", "w"]
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    assert kept(drop_contaminated(df, items)) == sorted(set("pqrstuwx"))
+
+
+def test_working_tables_go(spark):
+    import os
+
+    from quakeloom.llm._scale import keep, materialise, shared_dir, working_tables
+
+    with working_tables(spark):
+        inner = materialise(spark.range(3), "inner")
+        path = inner.inputFiles()[0].removeprefix("file://")
+        outer = keep(inner.selectExpr("id + 1 as id"), "outer")
+    assert not os.path.exists(path) and outer.count() == 3 and shared_dir(spark)
