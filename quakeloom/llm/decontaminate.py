@@ -163,8 +163,8 @@ def find_benchmark_passages(
                         text = np.searchsorted(at, start, "right") - 1
                         order = np.argsort(text, kind="stable")
                         start, win, text = start[order], win[order], text[order]
-                        runs = np.flatnonzero(np.diff(text, prepend=-1))
-                        for a, b in zip(runs, np.append(runs[1:], len(text)), strict=True):
+                        runs = np.append(np.flatnonzero(np.diff(text, prepend=-1)), len(text))
+                        for a, b in zip(runs[:-1], runs[1:], strict=True):
                             k = text[a]
                             s = start[a:b] - at[k]
                             firsts[k], lasts[k] = _union(s, s + own.sizes[win[a:b]])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,7 @@ CHROME_WORDS = set(
 AD_WORDS = set("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion promoted".split())
 APART_WORDS = AD_WORDS | set("comment comments commentlist disqus respond replies discussion related recommended recommendations popular trending".split())
 # Words that make a name say how a page is laid out, as in has-sidebar or menu-open.
-STATE_WORDS = set("has with without no not layout open opened enabled disabled toggled".split())
+STATE_WORDS = set("has with without no not free layout open opened enabled disabled toggled".split())
 # Words in class, id, role or itemprop that name a main text.
 ARTICLE_WORDS = set("article articlebody story post entry maincontent main".split())
 # Elements without content or end tag.
@@ -48,9 +49,8 @@ STOP_WORDS = set(
     "el los las y del que en por con una para su al lo como más pero sus no se o".split()
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
-)
+# no tag reaches over another's "<", so a page without ">" is read once and not from every "<" to its end
+_TOKEN = re.compile(r"<(?P<special>!--|!\[CDATA\[)|<[!?][^<>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "select", "canvas")}
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -67,7 +67,11 @@ SHOWN, FORM, NAMED, APART, HIDDEN = range(5)
 
 @dataclass(frozen=True)
 class BlockRules:
-    """Thresholds of the first pass: characters, share of stop words, share of characters within links."""
+    """Thresholds of the first pass: characters, share of stop words, share of characters within links.
+
+    Elements and names are one feature: within a main text a middling share of stop words is enough, and
+    what has too few is ambiguous, not bad.
+    """
 
     short: int = 70
     long: int = 200
@@ -82,7 +86,7 @@ class _Block:
     text: str
     link_chars: int
     chrome: int
-    article: bool
+    main: int  # which main text element it is in; 0: none
     heading: bool
     label: str = ""
 
@@ -113,133 +117,165 @@ def _attributes(tag: str, attrs: str) -> tuple[int, bool, str]:
     return APART if words & APART_WORDS else NAMED if words & CHROME_WORDS else SHOWN, article, kind
 
 
-def _inline(tag: str, attrs: str) -> int:
-    """How much an inline element is surroundings: a custom element by any name, another only if it is hidden or an advert."""
+def _inline(attrs: str, tag: str) -> bool:
+    """Whether an inline element is hidden or an advert."""
+    if not attrs:
+        return False
     named = _attributes(tag, attrs)[0]
-    if named == HIDDEN or "-" in tag or not named:
-        return named
-    names = {x.lower() for n, *value in _ATTR.findall(attrs) if n.lower() in ("class", "id", "role") for t in "".join(value).split() if not STATE_WORDS & {x.lower() for x in _PARTS.findall(t)} for x in (*_PARTS.findall(t), t)}
-    return APART if names & AD_WORDS else SHOWN
-
-
-def blocks(page: str) -> list[_Block]:
-    """The page's blocks of visible text in order. Unclosed and stray tags are tolerated."""
-    found: list[_Block] = []
-    stack: list[tuple[str, int, bool, bool]] = []  # open block elements, and inline ones in surroundings: name, how much in surroundings, in a main text, inline
-    parts: list[str] = []
-    links = link_depth = 0
-    heading = False
-
-    def text(piece: str) -> None:
-        nonlocal links
-        if stack and stack[-1][3]:
+    if named in (SHOWN, HIDDEN):
+        return named == HIDDEN
+    names: set[str] = set()
+    for name, *value in _ATTR.findall(attrs):
+        if name.lower() in ("class", "id", "role"):
+            for token in "".join(value).split():
+                parts = {x.lower() for x in _PARTS.findall(token)}
+                if not parts & STATE_WORDS:
+                    names |= parts | {token.lower()}
+    return bool(names & AD_WORDS)
+
+
+class _Page:
+    """Reads a page once; ``found`` are its blocks of visible text in order. Unclosed and stray tags are tolerated."""
+
+    def __init__(self, page: str):
+        self.page, self.found = page, []
+        self.stack: list[tuple[str, int, int]] = []  # open block elements: name, how much surroundings, main text
+        self.opened: Counter[str] = Counter()
+        self.parts: list[str] = []
+        self.links = 0
+        self.in_link = self.heading = False
+        self.skipped, self.skip_depth, self.skip_below = "", 0, 0  # an inline element of surroundings
+        self.mains = 0
+        self._read()
+        self._close()
+
+    def _text(self, piece: str) -> None:
+        if self.skipped:
             return
         piece = html.unescape(piece)
-        parts.append(piece)
-        if link_depth:
-            links += len(_SPACE.sub("", piece))
-
-    def close() -> None:
-        nonlocal links, parts
-        joined = _SPACE.sub(" ", "".join(parts)).strip()
-        if joined:
-            _, chrome, article, _ = next((x for x in reversed(stack) if not x[3]), ("", SHOWN, False, False))
-            found.append(_Block(joined, links, chrome, article, heading))
-        parts, links = [], 0
-
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            text(page[at:])
-            break
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        if m["cdata"] is not None:
-            text(m["cdata"])
-        if m["tag"] is None:
-            continue
-        tag, ending = m["tag"].lower(), bool(m["end"])
-        closed = m["attrs"].endswith("/") and not _UNQUOTED.search(m["attrs"])
-        if not ending and tag in _RAW_END and not closed:
-            stop = _RAW_END[tag].search(page, at)
-            at = stop.end() if stop else n if tag in ("script", "style") else at
-            parts.append(" " if tag == "title" else "")
-            continue
-        if tag == "a":
-            link_depth = 0 if ending else 1
-        elif tag == "br":
-            parts.append(" ")
-        if tag not in BLOCK_TAGS and tag not in HIDDEN_TAGS:
-            # a span may still name an advert, a custom element any surroundings
-            if tag in VOID_TAGS or closed:
-                continue
-            first = next((k for k in range(len(stack) - 1, -1, -1) if not stack[k][3] or "-" in stack[k][0]), -1)
-            if ending:
-                for k in range(len(stack) - 1, -1 if "-" in tag else max(first - 1, -1), -1):
-                    if stack[k][0] == tag and stack[k][3]:
-                        if "-" in tag:
-                            close()
-                        del stack[k:]
-                        break
+        self.parts.append(piece)
+        if self.in_link:
+            self.links += len(_SPACE.sub("", piece))
+
+    def _close(self) -> None:
+        joined = _SPACE.sub(" ", "".join(self.parts)).strip()
+        _, chrome, main = self.stack[-1] if self.stack else ("", SHOWN, 0)
+        if joined and chrome < HIDDEN:
+            self.found.append(_Block(joined, self.links, chrome, main, self.heading))
+        self.parts, self.links = [], 0
+
+    def _pop(self) -> str:
+        tag = self.stack.pop()[0]
+        self.opened[tag] -= 1
+        if len(self.stack) < self.skip_below:
+            self.skipped = ""  # inline elements end with the block that holds them
+        return tag
+
+    def _read(self) -> None:
+        page, at, n = self.page, 0, len(self.page)
+        endless: set[str] = set()  # elements of raw text that no end tag follows any more
+        last_cdata = page.rfind("]]>")
+        while at < n:
+            m = _TOKEN.search(page, at)
+            if not m:
+                self._text(page[at:])
+                return
+            if m.start() > at:
+                self._text(page[at : m.start()])
+            at = m.end()
+            if m["special"] == "!--":
+                stop = page.find("-->", at)
+                at = stop + 3 if stop >= 0 else n
+            elif m["special"] and at <= last_cdata:
+                stop = page.find("]]>", at)
+                self._text(page[at:stop])
+                at = stop + 3
+            if m["tag"] is None:
                 continue
-            own = _inline(tag, m["attrs"])
-            if own or any(x[0] == tag and x[3] for x in stack):
-                if own and "-" in tag:
-                    close()
-                chrome, article = (stack[-1][1], stack[-1][2]) if stack else (SHOWN, False)
-                stack.append((tag, max(chrome, own), article, True))
-            continue
-        close()
-        if tag in VOID_TAGS or closed:
-            continue
-        if ending:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-            heading = False
-            continue
-        last = len(stack)
-        while last and stack[last - 1][3] and "-" not in stack[last - 1][0]:
-            last -= 1
-        if last and stack[last - 1][0] == "p" or last and stack[last - 1][0] in _HEADINGS and tag in ("p", *_HEADINGS):
-            del stack[last:]  # inline elements end with the paragraph
+            tag, attrs = m["tag"].lower(), m["attrs"]
+            closed = tag in VOID_TAGS or attrs.endswith("/") and not _UNQUOTED.search(attrs)
+            if m["end"]:
+                self._end(tag)
+            elif tag in _RAW_END and not closed:
+                stop = None if tag in endless else _RAW_END[tag].search(page, at)
+                if not stop:
+                    endless.add(tag)
+                at = stop.end() if stop else n if tag in ("script", "style") else at
+                self.parts.append(" " if tag == "title" else "")
+            else:
+                self._start(tag, attrs, closed)
+
+    def _start(self, tag: str, attrs: str, closed: bool) -> None:
+        if tag == "br":
+            self.parts.append(" ")
+        if tag not in BLOCK_TAGS and tag not in HIDDEN_TAGS and "-" not in tag:
+            if tag == self.skipped and not closed:
+                self.skip_depth += 1
+            if tag == "a":
+                self.in_link = True
+            elif not closed and not self.skipped and _inline(attrs, tag):  # a span may still name an advert
+                self.skipped, self.skip_depth, self.skip_below = tag, 1, len(self.stack)
+            return
+        self._close()
+        if closed:
+            return
         if tag == "p" or tag in _HEADINGS:
-            while stack and stack[-1][0] in ("p", *_HEADINGS):
-                stack.pop()
-        elif stack and stack[-1][0] == "p":
-            stack.pop()
-        chrome, article = (stack[-1][1], stack[-1][2]) if stack else (SHOWN, False)
-        named, named_article, kind = _attributes(tag, m["attrs"])
+            while self.stack and self.stack[-1][0] in ("p", *_HEADINGS):
+                self._pop()
+        elif "-" not in tag and self.stack and self.stack[-1][0] == "p":
+            self._pop()
+        _, chrome, main = self.stack[-1] if self.stack else ("", SHOWN, 0)
+        named, named_main, kind = _attributes(tag, attrs)
         kind = tag if tag in ("article", "main") else kind
         if kind and chrome <= (APART if kind == "main" else NAMED):
             chrome = SHOWN
-        own = HIDDEN if tag in HIDDEN_TAGS else FORM if tag == "form" else APART if tag in CHROME_TAGS or tag == "header" and not article else SHOWN
-        if named == HIDDEN or named and not (named == NAMED and named_article and not article):
+        own = HIDDEN if tag in HIDDEN_TAGS else FORM if tag == "form" else APART if tag in CHROME_TAGS or tag == "header" and not main else SHOWN
+        if named == HIDDEN or named and not (named == NAMED and named_main and not main):
             own = max(own, named)
-        stack.append((tag, max(chrome, own), article or bool(kind) or named_article, False))
-        heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        link_depth = 0
-    close()
-    return found
+        if (kind or named_main) and not main:
+            self.mains += 1
+            main = self.mains
+        self.stack.append((tag, max(chrome, own), main))
+        self.opened[tag] += 1
+        self.heading = tag in _HEADINGS
+        self.in_link = False
+
+    def _end(self, tag: str) -> None:
+        if tag == "a":
+            self.in_link = False
+        elif tag == self.skipped:
+            self.skip_depth -= 1
+            if not self.skip_depth:
+                self.skipped = ""
+            return
+        if tag not in BLOCK_TAGS and tag not in HIDDEN_TAGS and "-" not in tag:
+            return
+        self._close()
+        self.heading = False
+        if self.opened[tag]:
+            while self._pop() != tag:
+                pass
+
+
+def blocks(page: str) -> list[_Block]:
+    """The page's blocks of visible text in order, in time in proportion to its length."""
+    return _Page(page).found
 
 
 def _first_pass(b: _Block, rules: BlockRules) -> str:
     size = len(b.text)
     linked = b.link_chars / max(1, len(_SPACE.sub("", b.text)))
-    if b.chrome or linked > (rules.links_article if b.article else rules.links):
+    if b.chrome or linked > (rules.links_article if b.main else rules.links):
         return "bad"
-    if b.article:
-        return "good"
     if size < rules.short:
-        return "bad" if b.link_chars else "short"
+        return "bad" if b.link_chars and not b.main else "short"
     words = [w.lower() for w in _WORD.findall(b.text)]
     density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if density >= rules.stop_high:
-        return "good" if size > rules.long else "near"
-    return "near" if density >= rules.stop_low else "bad"
+        return "good" if size > rules.long or b.main else "near"
+    if density >= rules.stop_low:
+        return "good" if b.main else "near"
+    return "near" if b.main else "bad"
 
 
 def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
@@ -256,35 +292,61 @@ def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
     return text
 
 
+def _nearest(found: list[_Block]) -> list[tuple[int, str]]:
+    """For each block the distance and label of the last decided block before it that may speak for it.
+
+    For a block of a main text that is one of the same main text, decided by its words and links; for
+    another block any decided one. Distance 0 stands for none.
+    """
+    last: dict[int, int] = {}
+    out = []
+    for k, b in enumerate(found):
+        scope = b.main if b.main and not b.chrome else 0
+        i = last.get(scope)
+        out.append((0, "") if i is None else (k - i, found[i].label))
+        if b.label in ("good", "bad"):
+            last[0] = k
+            if scope:
+                last[scope] = k
+    return out
+
+
 def _joined(found: list[_Block], rules: BlockRules) -> str:
     for b in found:
         b.label = _first_pass(b, rules)
-    decided = [k for k, b in enumerate(found) if b.label in ("good", "bad")]
-    final = [b.label for b in found]
-    for k, b in enumerate(found):
+    before, after = _nearest(found), _nearest(found[::-1])[::-1]
+    good_seen = any(b.label == "good" for b in found)
+    final = []
+    for b, (far, one), (near, two) in zip(found, before, after, strict=True):
         if b.label in ("good", "bad"):
-            continue
-        before = max((i for i in decided if i < k), default=None)
-        after = min((i for i in decided if i > k), default=None)
-        sides = [found[i].label if i is not None else "bad" for i in (before, after)]
-        if sides[0] == sides[1]:
-            final[k] = sides[0]
-            if b.label == "near" and sides[0] == "bad" and not any(x.label == "good" for x in found):
-                final[k] = "good"  # a page of middling blocks only: they are its text
-        elif b.label == "near" or b.heading and sides[1] == "good":
-            final[k] = "good"
-        else:  # the nearer neighbour decides, the one before if equally near
-            final[k] = sides[0] if before is not None and (after is None or k - before <= after - k) else sides[1]
+            label = b.label
+        elif b.main and not far and not near:
+            label = "good"  # nothing in the main text is decided: it is what its element says
+        elif b.main:
+            label = one if far and (not near or far <= near) else two
+            label = "good" if b.label == "near" and "good" in (one, two) else label
+        else:
+            one, two = one or "bad", two or "bad"
+            if one == two:
+                # a page of middling blocks only: they are its text
+                label = "good" if b.label == "near" and one == "bad" and not good_seen else one
+            elif b.label == "near" or b.heading and two == "good":
+                label = "good"
+            else:  # the nearer neighbour decides, the one before if equally near
+                label = one if far and (not near or far <= near) else two
+        final.append(label)
     return " ".join(b.text for b, label in zip(found, final, strict=True) if label == "good")
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: BlockRules = BlockRules()) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars (code points).
 
-    First pass: a block within navigation, page header, footer, sidebar, form, advert, notice or reader
-    comments, or mostly of links, is bad; one within an article element is good; else its length and
-    share of stop words make it good, near, short or bad. Second pass: near and short blocks take the
-    label of the nearest decided blocks around them. The good blocks are the text.
+    First pass: a block mostly of links, or within navigation, page header, footer, sidebar, form, advert,
+    notice or reader comments, is bad; its length and share of stop words make any other good, near, short
+    or bad, where less is asked of a block within an article element. Second pass: near and short blocks
+    take the label of the nearest decided blocks around them, within an article of the nearest in it; an
+    article in which none is decided is text. The good blocks are the text. Reading and both passes take
+    time in proportion to the page's length, whatever its markup.
 
     Null html is empty, and text then is the empty string; ids and urls may be null or repeated; an
     empty table gives no rows. Each page is worked on alone, in batches.

@@ -73,3 +73,33 @@ def test_inline_and_custom_elements():
     assert main_text('<article><p>One <span class="ad">buy<p>Two <i hidden>no</i>three</article>') == "One Two three"
     assert main_text(f'<article><p>One</p><x-box class="sidebar">a<p>{PROSE}</p>b</x-box><p>Two</article>') == "One Two"
     assert main_text('<article><p>One <span class="comment">two</span> <em class="notice">three</em></p></article>') == "One two three"
+
+
+def test_neighbours_decide_within_a_main_text():
+    from quakeloom.llm.html_text import BlockRules, _joined, blocks
+
+    links = "".join(f'<li><a href="/{k}">Another story that may be read</a></li>' for k in range(4))
+    page = f"<article><h1>Title</h1><p>{PROSE}</p><p>Ti.</p><p>{'zq vx ' * 30}</p><ul>{links}</ul><p>More:</p><ul>{links}</ul></article>"
+    assert main_text(page) == f"Title {P} Ti. {('zq vx ' * 30).strip()}"
+    found = blocks(page)
+    _joined(found, BlockRules())
+    assert [b.label for b in found] == ["short", "good", "short", "near", *["bad"] * 4, "short", *["bad"] * 4]
+
+
+def test_pages_without_an_article_element():
+    nav = "<div>" + "".join(f'<a href="/{k}">Part {k}</a> ' for k in range(9)) + "</div>"
+    page = f"<body>{nav}<div><h2>A heading</h2><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p></div>{nav}{nav}<p>All rights reserved</p>{nav}</body>"
+    assert main_text(page) == f"A heading {P} Short one. {P}"
+    for lead in ("", "<p>Buy now</p>"):  # by names alone
+        page = f'<div class="menu">{PROSE}</div><div id="story"><p>{PROSE}</p><p>x</p></div><div class="comments">{lead}{PROSE}</div>'
+        assert main_text(page) == f"{P} x"
+
+
+def test_time_in_proportion_to_the_page():
+    import time
+
+    start = time.time()
+    for page in ("<b c " * 200_000, "<![CDATA[" * 100_000, "<!x" * 300_000, "<textarea>" * 100_000, "<div>" * 100_000 + "</section>" * 100_000, '<b "x\' ' * 150_000, "<p>x" * 100_000, "<div>" * 50_000 + "<span class=ad>x</b>" * 50_000):
+        main_text(page)
+    long = "word and the " * 200_000
+    assert main_text(f"<article><p>{long}</p></article>") == long.strip() and time.time() - start < 60
