@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quakeloom.llm._scale import lean, materialise
-from quakeloom.llm._text import NONSPACE, mix, signed, slabs, word_hashes
+from quakeloom.llm._text import NONSPACE, mix, powers, signed, slabs, word_hashes
 
 #: Words of the gram whose hash selects a position.
 GRAM = 8
@@ -62,8 +63,21 @@ def _positions(window: int):
     return run
 
 
-def _contexts(size: int, window: int, shared):
-    """Selected positions that may be shared, with ``size`` words on each side as 16-bit hashes; the left ones nearest first."""
+def _spans(w: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the words in each [start, end), made of whole word hashes."""
+    up, down = powers(len(w) + 1)
+    sums = np.zeros(len(w) + 1, np.uint64)
+    np.cumsum(w * up[: len(w)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
+
+
+def _contexts(size: int, window: int, bits: int, shared):
+    """Selected positions that may be shared, with ``size`` words on each side, the left ones nearest first.
+
+    Sides are ``bits`` of each word's hash, by which they are sorted, and a hash of all whole words, by
+    which they are told apart.
+    """
+    mask = np.uint64((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
@@ -75,7 +89,7 @@ def _contexts(size: int, window: int, shared):
                 place = (h & np.uint64(_BITS - 1)).astype(np.int64)
                 kept = (wanted[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
                 pos, h = pos[kept], h[kept]
-                short = np.maximum(w & np.uint64(0xFFFF), np.uint64(1)).astype(">u2")
+                short = np.maximum(w & mask, np.uint64(1)).astype(">u2")
                 for k in range(0, max(1, len(pos)), 20_000):
                     p, hh = pos[k : k + 20_000], h[k : k + 20_000]
                     text = np.searchsorted(at, p, "right") - 1
@@ -83,6 +97,8 @@ def _contexts(size: int, window: int, shared):
                     far, near = right >= at[text + 1][:, None], left < at[text][:, None]
                     r, left_words = short[np.where(far, 0, right)], short[np.where(near, 0, left)]
                     r[far] = left_words[near] = 0
+                    kr = mix(hh + _spans(w, p, np.minimum(p + size, at[text + 1])))
+                    kl = mix(~hh + _spans(w, np.maximum(p - size, at[text]), p))
                     fixed = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * size), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -92,8 +108,10 @@ def _contexts(size: int, window: int, shared):
                             pa.array(at[text + 1] - at[text]),
                             fixed(r),
                             fixed(left_words),
+                            pa.array(signed(kr)),
+                            pa.array(signed(kl)),
                         ],
-                        names=["h", "doc_id", "pos", "n", "right", "left"],
+                        names=["h", "doc_id", "pos", "n", "right", "left", "kr", "kl"],
                     )
 
     return run
@@ -122,9 +140,10 @@ def _compare(size: int):
         held, first = None, True
 
         def out(rows: pa.Table, alike: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
-            cols = [rows["h"], rows["ctx"], rows["key"], rows["low"], rows["several"]]
+            cols = [rows[c].combine_chunks() for c in ("h", "ctx", "key", "low", "several")]
+            cols[1] = pc.if_else(pa.array(edge), cols[1], pa.scalar(None, pa.binary()))  # the rest have been compared
             return pa.RecordBatch.from_arrays(
-                [c.combine_chunks() for c in cols] + [pa.array(alike.astype(np.int32)), pa.array(edge)], names=["h", "ctx", "key", "low", "several", "alike", "edge"]
+                cols + [pa.array(alike.astype(np.int32)), pa.array(edge)], names=["h", "ctx", "key", "low", "several", "alike", "edge"]
             )
 
         for batch in batches:
@@ -157,45 +176,50 @@ def _compare(size: int):
 _SORTED = "h long, ctx binary, key long, low long, several boolean, alike int, edge boolean"
 
 
-def _suffix_order(rows: DataFrame, side: str, size: int, name: str) -> DataFrame:
-    """(key, ctx, low, several, alike) of every distinct (h, ``side``): the words shared with the nearest suffix.
+def _suffix_order(rows: DataFrame, side: str, key: str, size: int, name: str) -> DataFrame:
+    """(key, low, several, alike) of every distinct side: the words that it may share with the nearest suffix.
 
     Equal suffixes are counted before they are sorted; the sort is by range of (h, content), so one
     frequent position is spread over tasks. Only first and last rows of tasks are compared in one.
     """
-    distinct = rows.groupBy("h", F.col(side).alias("ctx")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    distinct = distinct.select("h", "ctx", F.xxhash64("h", "ctx").alias("key"), "low", (F.col("low") != F.col("high")).alias("several"))
+    distinct = rows.groupBy("h", F.col(side).alias("ctx"), F.col(key).alias("key")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    distinct = distinct.select("h", "ctx", "key", "low", (F.col("low") != F.col("high")).alias("several"))
     ordered = distinct.repartitionByRange("h", "ctx").sortWithinPartitions("h", "ctx")
     table = materialise(ordered.mapInArrow(lean(_compare(size)), _SORTED), name)
     edges = table.filter("edge").drop("alike", "edge").coalesce(1).sortWithinPartitions("h", "ctx").mapInArrow(lean(_compare(size)), _SORTED)
     edges = edges.select("key", F.col("alike").alias("across"))  # two rows of each task, whatever the data
     return (
         table.join(F.broadcast(edges), "key", "left")
-        .select("key", "ctx", "low", "several", F.when(F.col("several"), size).otherwise(F.greatest("alike", F.coalesce("across", F.lit(0)))).alias("alike"))
+        .select("key", "low", "several", F.when(F.col("several"), size).otherwise(F.greatest("alike", F.coalesce("across", F.lit(0)))).alias("alike"))
     )
 
 
 def _windows(size: int):
-    """Positions with both reaches to the windows that begin before and end after them: (doc_id, start, hash)."""
+    """Texts with the ranges of starts that are asked for to (doc_id, start, hash) of each such window once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                batch = whole.slice(k, 2000)
-                doc, pos, r, left = (batch.column(c).to_numpy() for c in ("doc_id", "pos", "r", "l"))
-                words = np.concatenate([_matrix(batch.column("left"), size)[:, ::-1], _matrix(batch.column("right"), size)], axis=1).astype(np.uint64)
-                docs, starts, keys = [], [], []
-                for s in range(1, size):
-                    rows = np.flatnonzero((left >= s) & (r >= size - s))
-                    if len(rows):
-                        h = np.zeros(len(rows), np.uint64)
-                        for j in range(size - s, 2 * size - s):
-                            h = mix(h * _STEP + words[rows, j] + np.uint64(1))
-                        docs.append(doc[rows])
-                        starts.append(pos[rows] - s)
-                        keys.append(h)
-                if docs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(starts)), pa.array(signed(np.concatenate(keys)))], names=["doc_id", "start", "w"])
+        for batch in batches:
+            asked = batch.column(2)
+            for lo, hi, buf, offs in slabs(batch.column(1)):
+                w, at = word_hashes(buf, offs, NONSPACE)
+                text, starts = [], []
+                for k in range(hi - lo):
+                    ranges = asked[lo + k].values
+                    most = at[k + 1] - at[k] - size + 1  # starts that the text has
+                    if most <= 0:
+                        continue
+                    change = np.zeros(most + 1, np.int64)
+                    np.add.at(change, ranges.field("a").to_numpy().clip(0, most), 1)
+                    np.add.at(change, (ranges.field("b").to_numpy() + 1).clip(0, most), -1)
+                    own = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+                    text.append(np.full(len(own), k))
+                    starts.append(own)
+                if text:
+                    text, starts = np.concatenate(text), np.concatenate(starts)
+                    first = at[text] + starts
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(lo + text)), pa.array(starts), pa.array(signed(_spans(w, first, first + size)))], names=["doc_id", "start", "w"]
+                    )
 
     return run
 
@@ -211,7 +235,7 @@ def _filter_bits(shared: DataFrame) -> np.ndarray:
     return out
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, sort_bits: int = 16) -> DataFrame:
     """One row per maximal run of words of a document that is covered by windows of ``min_words`` found in other documents too.
 
     Columns: doc_id, start_word, end_word (exclusive), n_words, first_doc_id, the least id among documents
@@ -219,12 +243,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Suffixes are kept only at minimiser positions, so that any ``min_words`` words in common hold one.
     They are sorted by what follows and, apart from that, by what precedes; neighbours in either order
-    tell how far a match can reach right and left. Where a whole side of ``min_words`` words is shared
-    the span is certain; a window around the position, within both reaches, is confirmed by its own
-    hash among such windows of other documents, so that two halves from two documents do not count.
-
-    Null text is empty. Documents with null id are not compared. Rows with one id are one document. A
-    frequent passage is pre-aggregated by its content; no group is gathered; an empty table gives none.
+    tell how far a match may reach right and left, which is where words are compared by ``sort_bits`` of
+    their hashes (1 to 16). What is reported is told apart by 64-bit hashes made of whole word hashes: a side
+    of ``min_words`` words that several documents share, or a window within both reaches, hashed from its
+    text, that another document has too. So two halves from two documents do not count, and ``sort_bits``
+    changes what is looked at but not the result.
+
+    Ids are integers. Null text is empty. Documents with null id are not compared. Rows with one id are one
+    document. A frequent passage is pre-aggregated by its content; no group is gathered; an empty table gives none.
     """
     spark = docs.sparkSession
     window = min_words - GRAM + 1
@@ -234,17 +260,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h"), "shared-positions"
     )
     bits = spark.sparkContext.broadcast(_filter_bits(shared))
-    ddl = "h long, doc_id long, pos long, n long, right binary, left binary"
-    rows = base.mapInArrow(lean(_contexts(min_words, window, bits)), ddl)
-    rows = materialise(rows.withColumn("kr", F.xxhash64("h", "right")).withColumn("kl", F.xxhash64("h", "left")), "positions")
-    right = _suffix_order(rows, "right", min_words, "suffixes")
-    left = _suffix_order(rows, "left", min_words, "prefixes")
+    ddl = "h long, doc_id long, pos long, n long, right binary, left binary, kr long, kl long"
+    rows = materialise(base.mapInArrow(lean(_contexts(min_words, window, sort_bits, bits)), ddl), "positions")
+    right = _suffix_order(rows, "right", "kr", min_words, "suffixes")
+    left = _suffix_order(rows, "left", "kl", min_words, "prefixes")
 
     def side(df: DataFrame, s: str) -> DataFrame:
         return df.select(F.col("key").alias(f"k{s}"), F.col("low").alias(f"low_{s}"), F.col("several").alias(f"many_{s}"), F.col("alike").cast("long").alias(s))
 
     # contexts stay behind: positions carry their keys only
-    extended = rows.select("doc_id", "pos", "n", "kr", "kl").join(side(right, "r"), "kr").join(side(left, "l"), "kl")
+    extended = rows.select("h", "doc_id", "pos", "n", "kr", "kl").join(side(right, "r"), "kr").join(side(left, "l"), "kl")
     extended = extended.withColumn("r", F.least(F.col("r"), F.col("n") - F.col("pos"))).withColumn("l", F.least("l", "pos"))
     extended = extended.withColumn("whole_r", F.col("many_r") & (F.col("r") >= min_words)).withColumn("whole_l", F.col("many_l") & (F.col("l") >= min_words))
     extended = materialise(extended.filter(f"whole_r or whole_l or r + l >= {min_words}"), "extended")
@@ -258,10 +283,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     sure = extended.select("doc_id", F.explode(known).alias("s")).select("doc_id", "s.start", "s.stop", "s.low")
 
-    open_rows = extended.filter(f"not (whole_r and whole_l) and l > 0 and r > 0 and r + l >= {min_words}").select("doc_id", "pos", "r", "l", "kr", "kl")
-    open_rows = open_rows.join(right.select(F.col("key").alias("kr"), F.col("ctx").alias("right")), "kr").join(left.select(F.col("key").alias("kl"), F.col("ctx").alias("left")), "kl")
-    windows = materialise(open_rows.drop("kr", "kl").mapInArrow(lean(_windows(min_words)), "doc_id long, start long, w long"), "windows")
+    open_rows = extended.filter(f"not (whole_r and whole_l) and l > 0 and r > 0 and r + l >= {min_words}")
+    # the other holder of such a window may be shared whole on both sides; documents alike there for a whole side each way hold
+    # the same windows, so the first and last of them speak for all
+    whole = extended.filter("whole_r and whole_l").groupBy("h", "kr", "kl").agg(F.min(F.struct("doc_id", "pos", "r", "l")).alias("x"), F.max(F.struct("doc_id", "pos", "r", "l")).alias("y"))
+    whole = whole.join(open_rows.select("h").distinct(), "h", "left_semi").select(F.explode(F.array_distinct(F.array("x", "y"))).alias("x")).select("x.*")
+    asked = open_rows.select("doc_id", "pos", "r", "l").unionByName(whole)
+    asked = asked.groupBy("doc_id").agg(F.collect_set(F.struct((F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r") - min_words).alias("b"))).alias("asked"))
+    asked = materialise(asked, "asked")  # ranges of a document: one for each of its positions at most
+    texts = base.join(asked, "doc_id").select("doc_id", "text", "asked")
+    windows = materialise(texts.mapInArrow(lean(_windows(min_words)), "doc_id long, start long, w long"), "windows")
     confirmed = windows.groupBy("w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("w", "low")
+    confirmed = materialise(confirmed, "confirmed")  # aggregated before the join, so that a hot window's rows can be split there
     sure = sure.unionByName(windows.join(confirmed, "w").select("doc_id", "start", (F.col("start") + min_words).alias("stop"), "low"))
     return _merged(sure.distinct())
 
