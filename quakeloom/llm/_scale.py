@@ -51,7 +51,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 def _written(df: DataFrame, folder: str, name: str) -> DataFrame:
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -69,8 +69,11 @@ def working_tables(spark: SparkSession) -> Iterator[None]:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` as a written table with a number of its own in each row (``ROW``), which no later plan can change."""
-    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    """``docs`` as a written table with a number of its own in each row (``ROW``), which no later plan can change.
+
+    The table lasts, for what :func:`drop_rows` returns reads it.
+    """
+    return keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

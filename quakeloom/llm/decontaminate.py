@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeloom.llm._scale import ROW, drop_rows, lean, materialise, numbered
+from quakeloom.llm._scale import ROW, drop_rows, keep, lean, materialise, numbered, working_tables
 from quakeloom.llm._text import WORDISH, mix, signed, slabs, word_hashes
 
 _BITS = 1 << 20
@@ -240,5 +240,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     Each row is judged by its own text, whatever other rows share its id, null or not.
     """
     rows = numbered(docs)
-    found = find_benchmark_passages(rows, items, ROW, text_col, **options).filter("contaminated").select("doc_id")
-    return drop_rows(rows, materialise(found, "contaminated"))
+    with working_tables(docs.sparkSession):
+        gone = keep(find_benchmark_passages(rows, items, ROW, text_col, **options).filter("contaminated").select("doc_id"), "contaminated")
+    return drop_rows(rows, gone)

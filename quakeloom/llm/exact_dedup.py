@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quakeloom.llm._scale import ROW, bucket, drop_rows, mark_buckets, materialise, numbered
+from quakeloom.llm._scale import ROW, bucket, drop_rows, keep, mark_buckets, materialise, numbered, working_tables
 
 #: White space that does not count when texts are compared.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -74,5 +74,6 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Decisions are made and carried out on rows: a row stays or goes whatever other rows share its id, null or not.
     """
     rows = numbered(docs)
-    gone = exact_dedup(rows, id_col, text_col, row_col=ROW).filter(~F.col("kept")).select("row")
-    return drop_rows(rows, materialise(gone, "exact-dropped"))
+    with working_tables(docs.sparkSession):
+        gone = keep(exact_dedup(rows, id_col, text_col, row_col=ROW).filter(~F.col("kept")).select("row"), "exact-dropped")
+    return drop_rows(rows, gone)

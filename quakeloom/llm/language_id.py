@@ -18,10 +18,10 @@ from quakeloom.llm._text import LOWER, slabs
 ORDER = 4
 #: What a process keeps of code lengths it has worked out; beyond it the table starts anew.
 KEPT = 1 << 19
-#: No text of a language needs more bits a byte than the bytes as they are, but for the first few.
-RAW, SLACK = 8.0, 64.0
-#: Lengths of prefixes, as powers of two, for which bounds are learned; the last holds for all longer texts.
-LEAST, MOST = 3, 6
+#: Bits of a byte as it is.
+RAW = 8.0
+#: Bytes of the windows whose code lengths tell whether a text is language, and how many a text has at least.
+WINDOW, LEAST = 8, 8
 
 
 def _grams(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -136,6 +136,25 @@ class _Scorer:
         self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
 
     def score(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Code length of each text, a column for each language."""
+        return self._score(buf, offs)[0]
+
+    def quiet(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code lengths of each text as :meth:`score`, and bits a byte of the lower quartile of its windows under the nearest language.
+
+        A name, number or secret makes some windows of a text dear; what is no text of the language is dear
+        throughout. Texts of under ``LEAST`` windows have none.
+        """
+        bits, codes, each = self._score(buf, offs)
+        best, out = bits.argmin(axis=1), np.full(len(offs) - 1, np.nan)
+        for k, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+            n = (b - a) // WINDOW
+            if n >= LEAST:
+                rates = each[codes[a : a + n * WINDOW], best[k]].reshape(n, WINDOW).mean(axis=1)
+                out[k] = np.partition(rates, (n - 1) // 4)[(n - 1) // 4]
+        return bits, out
+
+    def _score(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         codes, distinct = pd.factorize(_grams(buf, offs))
         at = self.index.get_indexer(distinct)
         bits = self.bits_of[at] if len(self.bits_of) else np.zeros((len(distinct), len(self.model.langs)), np.float32)
@@ -150,7 +169,7 @@ class _Scorer:
             sums = np.zeros(len(codes) + 1)
             np.cumsum(bits[:, k][codes], out=sums[1:], dtype=np.float64)
             out[:, k] = sums[offs[1:]] - sums[offs[:-1]]
-        return out
+        return out, codes, bits
 
     def _keep(self) -> None:
         grams = np.concatenate([self.index.to_numpy(), *(x for x, _ in self.fresh)])
@@ -162,48 +181,28 @@ class _Scorer:
         self.index, self.bits_of = pd.Index(grams), bits[first]
 
 
-def rate_limits(
-    docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 600, chars_per_doc: int = 20_000, margin: float = 1.25
-) -> np.ndarray | None:
-    """Most bits a byte of a text in each language of ``model`` (rows), for texts from 2**LEAST to 2**MOST bytes up (columns).
+def rate_limit(
+    docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 600, chars_per_doc: int = 20_000, margin: float = 2.0
+) -> float:
+    """Most bits a byte in the quieter windows of a text (see ``_Scorer.quiet``) in a language of ``model``.
 
-    Learned from labelled rows that ``model`` was not fitted on, bounded as in :func:`train`: the median rate of a
-    language's prefixes of that length, times the largest ratio of a rate to its language's median (over all
-    languages, as capitals, lists and the like are rare in each), times ``margin``; never above RAW. A language
-    without labelled rows has the median of all; without any row the bound is RAW. None if ``model`` is None.
+    Learned from labelled rows that ``model`` was not fitted on, bounded as in :func:`train`: ``margin`` times
+    the highest; never above RAW, which also holds where there are none.
     """
     if model is None:
-        return None
+        return RAW
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
         for batch in batches:
             for _, _, buf, offs in slabs(batch.column(1)):
-                kind, parts = [], []
-                for lo, hi in zip(offs[:-1], offs[1:], strict=True):
-                    sizes = [(k, 1 << k) for k in range(LEAST, MOST + 1) if 1 << k <= hi - lo]
-                    for k, n in [*sizes, *([(sizes[-1][0], hi - lo)] if sizes else [])]:
-                        kind.append(k)
-                        parts.append(buf[lo : lo + n])
-                if parts:
-                    ends = np.cumsum([0, *map(len, parts)])
-                    bits = scorer.score(np.concatenate(parts), ends)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(bits.argmin(axis=1), pa.int32()), pa.array(kind, pa.int32()), pa.array(bits.min(axis=1) / np.diff(ends))], names=["l", "k", "rate"]
-                    )
-
-    rates = _sample(docs, id_col, text_col, lang_col, docs_per_lang, chars_per_doc).mapInArrow(lean(run), "l int, k int, rate double")
-    middle, ratio = np.full((len(model.langs), MOST + 1 - LEAST), np.nan), np.full(MOST + 1 - LEAST, np.nan)
-    for r in rates.groupBy("l", "k").agg(F.median("rate").alias("middle"), F.max("rate").alias("top")).collect():
-        middle[r.l, r.k - LEAST] = r.middle
-        ratio[r.k - LEAST] = np.fmax(ratio[r.k - LEAST], r.top / max(r.middle, 1e-9))
-    known = ~np.isnan(ratio)
-    limits = np.full(middle.shape, RAW)
-    if known.any():
-        seen = middle[:, known]
-        limits[:, known] = np.minimum(np.where(np.isnan(seen), np.nanmedian(seen, axis=0), seen) * ratio[known] * margin, RAW)
-    return limits
+                rate = scorer.quiet(buf, offs)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(rate[~np.isnan(rate)])], names=["rate"])
+
+    rates = _sample(docs, id_col, text_col, lang_col, docs_per_lang, chars_per_doc).mapInArrow(lean(run), "rate double")
+    top = rates.agg(F.max("rate")).first()[0]
+    return RAW if top is None else min(RAW, margin * top)
 
 
 _LATIN = np.zeros(256, bool)
@@ -262,12 +261,11 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 
 def keep_languages(
-    docs: DataFrame, model: Model | None, text_col: str = "text", langs: list[str] | None = None, min_score: float = 0.5, limits: np.ndarray | None = None
+    docs: DataFrame, model: Model | None, text_col: str = "text", langs: list[str] | None = None, min_score: float = 0.0, limit: float | None = None
 ) -> DataFrame:
     """``docs`` without the rows whose text is in no known language: those that :func:`identify` calls ``und``, scores
     under ``min_score``, or, with ``langs``, gives another language. The score only tells which language is nearest;
-    with ``limits`` of :func:`rate_limits` a text also goes if its exact code is longer than that language's bound
-    for its length, by more than SLACK bits. Columns and their order stay; no row moves.
+    with ``limit``, as of :func:`rate_limit`, a text also goes if its quieter windows cost more bits a byte. Texts of under 64 bytes are not held against it. Columns and their order stay; no row moves.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -281,13 +279,11 @@ def keep_languages(
             for lo, hi, buf, offs in slabs(batch.column(place)):
                 keep[lo:hi] = _has_letter(buf, offs)
                 if scorer:
-                    bits = scorer.score(buf, offs)
+                    bits, rate = scorer.quiet(buf, offs)
                     share = 1 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
                     keep[lo:hi] &= share >= min_score
-                    if limits is not None:
-                        size = np.diff(offs)
-                        k = (np.frexp(size)[1] - 1).clip(LEAST, MOST) - LEAST
-                        keep[lo:hi] &= bits.min(axis=1) <= limits[bits.argmin(axis=1), k] * size + SLACK
+                    if limit is not None:
+                        keep[lo:hi] &= ~(rate > limit)
                     if langs is not None:
                         keep[lo:hi] &= np.isin(np.array(model.langs)[bits.argmin(axis=1)], langs)
             yield batch.filter(pa.array(keep))

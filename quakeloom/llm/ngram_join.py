@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quakeloom.llm._graph import components
-from quakeloom.llm._scale import ROW, bucket, drop_rows, lean, mark_buckets, materialise, numbered
+from quakeloom.llm._scale import ROW, bucket, drop_rows, keep, lean, mark_buckets, materialise, numbered, working_tables
 from quakeloom.llm._text import NONSPACE, mix, signed, slabs, word_hashes
 
 #: Counters of the rarity table, by the leading bits of a shingle's hash: 1 MB whatever the data.
@@ -515,7 +515,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows are the documents, whatever ids they share; a null id comes before all others, of equal ids the first row stays.
     """
     rows = numbered(docs)
-    found = jaccard_components(rows, ROW, text_col, size, percent)
-    ids = rows.select(F.col(ROW).alias("doc_id"), F.col(id_col).alias("id"))
-    kept = found.join(ids, "doc_id").groupBy("component_id").agg(F.min(F.struct("id", "doc_id")).alias("k")).select(F.col("k.doc_id").alias("doc_id"))
-    return drop_rows(rows, materialise(found.select("doc_id").join(kept, "doc_id", "left_anti"), "near-dropped"))
+    with working_tables(docs.sparkSession):
+        found = materialise(jaccard_components(rows, ROW, text_col, size, percent), "components")
+        ids = rows.select(F.col(ROW).alias("doc_id"), F.col(id_col).alias("id"))
+        kept = found.join(ids, "doc_id").groupBy("component_id").agg(F.min(F.struct("id", "doc_id")).alias("k")).select(F.col("k.doc_id").alias("doc_id"))
+        gone = keep(found.select("doc_id").join(kept, "doc_id", "left_anti"), "near-dropped")
+    return drop_rows(rows, gone)
