@@ -20,15 +20,34 @@ class NominationOptions:
 
 def find_event(events: DataFrame, event_id: str) -> DataFrame:
     """The one event of that id; none or several are an error when the result is read."""
-    n = F.count("*").over(_all(events))
-    found = events.filter(F.col("event_id").cast("string") == event_id).withColumn("n__", n)
-    return found.filter(F.when(F.col("n__") == 1, True).otherwise(F.raise_error(F.lit(f"expected one event {event_id}")))).drop("n__")
+    found = events.filter(F.col("event_id").cast("string") == event_id)
+    one = F.when(F.col("n__") == 1, True).otherwise(F.raise_error(F.lit(f"expected one event {event_id}")))
+    # counted over the whole match, which is a row even where there is none
+    counted = found.agg(F.count("*").alias("n__")).select(one.alias("one__"))
+    return counted.join(found, F.col("one__"), "left").select(*[found[c] for c in found.columns])
 
 
-def _all(df: DataFrame):
-    from pyspark.sql import Window
+def replace_configured(configured: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``configured`` rows with the catalogue's values where it has an event of that id (as text); columns of ``configured``.
 
-    return Window.partitionBy("event_id")
+    Configured rows are few and ids in a catalogue unique, so they are sent to its scan and not the other way round.
+    """
+    own = [c for c in configured.columns if c != "event_id"]
+    key = configured.select(F.col("event_id").cast("string").alias("event_id")).distinct()
+    rows = catalogue.withColumn("event_id", F.col("event_id").cast("string")).join(F.broadcast(key), "event_id", "left_semi")
+    rows = rows.select("event_id", F.lit(True).alias("in__"), *[F.col(c).alias(f"c__{c}") for c in own if c in catalogue.columns])
+    out = configured.withColumn("event_id", F.col("event_id").cast("string")).join(rows, "event_id", "left")
+    return out.select("event_id", *[F.when(F.col("in__"), F.col(f"c__{c}")).otherwise(F.col(c)).alias(c) if c in catalogue.columns else F.col(c) for c in own])
+
+
+def catalogue_provenance(sequences: DataFrame, events: DataFrame, advertised_sequences: int, advertised_events: int, expected_md5: str, observed_md5: str) -> DataFrame:
+    """One row: counts in the file, those advertised, their difference, both checksums."""
+    counts = sequences.agg(F.count("*").alias("sequence_count")).crossJoin(events.agg(F.count("*").alias("event_count")))
+    return counts.select(
+        F.lit(expected_md5).alias("expected_md5"), F.lit(observed_md5).alias("observed_md5"), "sequence_count", "event_count",
+        F.lit(advertised_sequences).cast("long").alias("record_advertised_sequence_count"), F.lit(advertised_events).cast("long").alias("record_advertised_event_count"),
+        (F.lit(advertised_events) - F.col("event_count")).cast("long").alias("record_minus_file_event_count"),
+    )
 
 
 def nominate_candidates(events: DataFrame, seed: DataFrame, opts: NominationOptions = NominationOptions()) -> DataFrame:
@@ -48,7 +67,8 @@ def nominate_candidates(events: DataFrame, seed: DataFrame, opts: NominationOpti
         (near(F.col("distance_3d_m")) <= opts.max_distance_m) & (near(F.abs("magnitude_difference")) <= opts.max_magnitude_difference)
     )
     status = F.when(F.col("is_seed"), "seed").otherwise("waveform_test_required")
-    return rows.filter(kept).withColumn("nomination_status", status).drop(*s.columns)
+    order = ["distance_3d_m", *(c for c in ("origin_time",) if c in events.columns)]
+    return rows.filter(kept).withColumn("nomination_status", status).drop(*s.columns).orderBy(*order)
 
 
 def nearest_nominees(nominated: DataFrame, most: int = 38) -> DataFrame:

@@ -57,9 +57,10 @@ def exact_id_crosswalk(shortlist: DataFrame, published: DataFrame, target: str,
 
 
 def validation_population(sequence_events: DataFrame, crosswalk: DataFrame, target: str, neighbours: list[str]) -> DataFrame:
-    """All events of the target and neighbour families, whether in the shortlist, and what was decided there."""
+    """All events of the target and neighbour families, whether in the shortlist, and what was decided there; by family and time."""
     events = sequence_events.filter(F.col("sequence_id").isin([target, *neighbours]))
     seen = crosswalk.select("event_id", F.col("decision").alias("single_anchor_decision"), F.lit(True).alias("in__"))
+    order = ["sequence_id", *(c for c in ("origin_time",) if c in events.columns)]
     return (
         events.withColumn("event_id", F.col("event_id").cast("string"))
         .join(seen, "event_id", "left")
@@ -71,6 +72,7 @@ def validation_population(sequence_events: DataFrame, crosswalk: DataFrame, targ
             }
         )
         .drop("in__")
+        .orderBy(*order)
     )
 
 

@@ -22,8 +22,15 @@ def symmetric_edges(pairs: DataFrame) -> DataFrame:
     ok = pairs.filter("a <> b and score is not null and not isnan(score)")
     if "status" in pairs.columns:
         ok = ok.filter("status = 'PASS'")
-    one = ok.select(F.col("a").alias("event_id"), F.col("b").alias("anchor_id"), "score")
-    return one.unionByName(ok.select(F.col("b").alias("event_id"), F.col("a").alias("anchor_id"), "score"))
+    way = lambda x, y: F.struct(F.col(x).alias("event_id"), F.col(y).alias("anchor_id"), "score")
+    return ok.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("e")).select("e.*")
+
+
+def published_pairs(pairs: DataFrame, population: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) with the published family of both and whether it is the same; pairs without a family on a side are left out."""
+    of = lambda c, name: population.select(F.col("event_id").alias(c), F.col("sequence_id").alias(name))
+    rows = pairs.join(of("a", "reference_sequence_id"), "a").join(of("b", "comparison_sequence_id"), "b")
+    return rows.withColumn("same_published_family", F.col("reference_sequence_id") == F.col("comparison_sequence_id"))
 
 
 def family_scores(edges: DataFrame, population: DataFrame, opts: FamilyOptions = FamilyOptions()) -> DataFrame:

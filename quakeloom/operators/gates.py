@@ -14,10 +14,11 @@ def coverage_verdict(complete: Column, some: Column) -> Column:
 
 def membership_status(decision: Column) -> Column:
     """What a single-anchor decision says of membership."""
+    # The statuses
     return (
-        F.when(decision == "seed", "seed_reference")
-        .when(decision == "family", "high_similarity_single_anchor_candidate")
-        .when(decision == "not_family", "below_single_anchor_threshold")
+        F.when(decision == "seed", "unlabeled_deep_seed")
+        .when(decision == "family", "single_anchor_high_similarity")
+        .when(decision == "not_family", "single_anchor_dissimilar_neighbor")
         .otherwise("insufficient_data")
     )
 
@@ -32,17 +33,31 @@ def threshold_sandbox(scores: DataFrame, score: Column, margin: Column, label: C
     )
 
 
+# Fixed value: the one reason for which a shot is not used
+NOT_USABLE = "nominal offset, median channel SNR, or array-median usable band failed the calibration-quality rule"
+
+
+def calibration_usable(detected: Column, median_snr: Column, offset_s: Column, has_band: Column, min_snr: float = 1.5, max_offset_s: float = 5.0) -> Column:
+    """Whether a shot may calibrate: detected, loud enough, its peak from 0 to ``max_offset_s`` after the nominal time, with a usable band."""
+    return F.coalesce(detected & (median_snr >= min_snr) & (offset_s >= 0) & (offset_s <= max_offset_s) & has_band, F.lit(False))
+
+
 def calibration_verdict(shots: DataFrame, min_usable: int = 3, min_snr: float = 1.5, max_offset_s: float = 5.0) -> DataFrame:
-    """One row: usable and detected shots and the verdict. shots: detected, median_snr, offset_s."""
-    usable = F.col("detected") & (F.col("median_snr") >= min_snr) & (F.abs("offset_s") <= max_offset_s)
+    """One row: shots, detected and usable ones, shot_detectability (PASS or STOP) and channel_response (PASS or CONDITIONAL).
+
+    shots: detected, median_snr, offset_s, has_band. Absolute timing is always conditional and geometry a stop: no input can show them.
+    """
+    usable = calibration_usable(F.col("detected"), F.col("median_snr"), F.col("offset_s"), F.col("has_band"), min_snr, max_offset_s)
     counts = shots.agg(F.count("*").alias("shots"), F.count(F.when(F.col("detected"), 1)).alias("detected"), F.count(F.when(usable, 1)).alias("usable"))
-    return counts.withColumn("status", F.when(F.col("usable") >= min_usable, PASS).when(F.col("usable") > 0, CONDITIONAL).otherwise(STOP))
+    enough = F.col("usable") >= min_usable
+    return counts.select(
+        "*", F.when(enough, PASS).otherwise(STOP).alias("shot_detectability"), F.when(enough, PASS).otherwise(CONDITIONAL).alias("channel_response"),
+        F.lit(CONDITIONAL).alias("absolute_timing"), F.lit(STOP).alias("absolute_geometry"),
+    )
 
 
-def exclusion_reason(detected: Column, median_snr: Column, offset_s: Column, min_snr: float = 1.5, max_offset_s: float = 5.0) -> Column:
-    return (
-        F.when(~detected, "not_detected").when(median_snr < min_snr, "snr_below_minimum").when(F.abs(offset_s) > max_offset_s, "clock_offset_beyond_limit").otherwise("")
-    )
+def exclusion_reason(detected: Column, median_snr: Column, offset_s: Column, has_band: Column, min_snr: float = 1.5, max_offset_s: float = 5.0) -> Column:
+    return F.when(calibration_usable(detected, median_snr, offset_s, has_band, min_snr, max_offset_s), "").otherwise(NOT_USABLE)
 
 
 def ledger(statuses: DataFrame, required: list[str]) -> DataFrame:
@@ -71,3 +86,14 @@ def population_gate(population: DataFrame, min_targets: int = 3, min_families: i
 def timeline(rows: DataFrame, status: str, size: str) -> DataFrame:
     """Rows and summed sizes by status; a missing size counts as 1."""
     return rows.fillna(1.0, [size]).groupBy(status).agg(F.count("*").alias("n"), F.sum(size).alias("total"))
+
+
+def network_status(summary: DataFrame) -> DataFrame:
+    """The benchmark's status beside :func:`~quakeloom.operators.family.classification_summary`.
+
+    A correlation-only diagnostic never passes the gate and no continuous detection has run, whatever the figures.
+    """
+    return summary.select(
+        F.lit(STOP).alias("status"), F.lit(STOP).alias("classification_gate"), F.lit("NOT_RUN").alias("continuous_detection_status"),
+        *summary.columns, (F.col("labeled_events") - F.col("waveform_available_events")).alias("waveform_unavailable_events"),
+    )

@@ -22,7 +22,9 @@ def _blocked_pairs(vectors: DataFrame, run, ddl: str, block: int) -> DataFrame:
     blocks = rows.groupBy("blk").agg(F.collect_list(F.struct("id", "v")).alias("items"))
     left = blocks.select(F.col("blk").alias("i"), F.col("items").alias("x"), F.explode(F.sequence(F.col("blk"), F.lit(n_blocks - 1))).alias("j"))
     right = blocks.select(F.col("blk").alias("j"), F.col("items").alias("y"), F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("i"))
-    cells = left.join(right, ["i", "j"]).select("i", "j", "x", "y").repartition(F.col("i"), F.col("j"))
+    # each side is dealt to the cells once; the join finds them in place
+    parts = min(2048, n_blocks * (n_blocks + 1))
+    cells = left.repartition(parts, "i", "j").hint("merge").join(right.repartition(parts, "i", "j"), ["i", "j"]).select("i", "j", "x", "y")
     return cells.mapInArrow(run, ddl)
 
 

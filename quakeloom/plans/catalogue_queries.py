@@ -43,7 +43,7 @@ def exact_id_crosswalk(spark: SparkSession, d: str) -> DataFrame:
 
 def validation_population(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = _shortlist(spark, d)
-    walk = crosswalk.exact_id_crosswalk(docs.filter("event_id % 3 <> 0"), labels, "target", NEIGHBOURS)
+    walk = crosswalk.exact_id_crosswalk(docs, labels, "target", NEIGHBOURS)
     return crosswalk.validation_population(labels, walk, "target", NEIGHBOURS)
 
 
@@ -123,7 +123,7 @@ FROM k WHERE is_seed OR (round(dd, 6) <= 120 AND round(abs(magnitude_difference)
     "validation_population": _WALK
     + """SELECT l.event_id, l.sequence_id, l.quality, CASE WHEN s.event_id IS NOT NULL THEN s.decision ELSE 'not_tested' END AS single_anchor_decision,
   CASE WHEN l.sequence_id = 'target' THEN 'target_positive' ELSE 'neighbor_family_negative' END AS validation_role, s.event_id IS NOT NULL AS in_frozen_shortlist
-  FROM l LEFT JOIN (SELECT * FROM s WHERE doc_id % 3 <> 0) s USING (event_id) WHERE l.sequence_id IN ('target', 'lang_de', 'lang_fr')""",
+  FROM l LEFT JOIN s USING (event_id) WHERE l.sequence_id IN ('target', 'lang_de', 'lang_fr')""",
     "repair_confusion": _WALK
     + """SELECT r.external_role, count(event_id) AS event_count, count(*) FILTER (WHERE decision = 'family') AS predicted_target_positive, count(*) FILTER (WHERE decision = 'not_family') AS predicted_target_negative,
   count(*) FILTER (WHERE decision IN ('insufficient_data', 'seed')) AS abstained FROM (SELECT unnest(['published_target_positive', 'published_neighbor_family_negative']) AS external_role) r LEFT JOIN w USING (external_role) GROUP BY 1""",

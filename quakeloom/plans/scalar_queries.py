@@ -70,13 +70,13 @@ def describe_by_role(spark: SparkSession, d: str) -> DataFrame:
 
 def calibration_verdict(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
-    shots = e.select("event_type", (F.col("event_id") % 2 == 0).alias("detected"), (F.col("event_id") % 40 / 10.0).alias("median_snr"), (F.col("event_id") % 15 - 7).cast("double").alias("offset_s"))
+    shots = e.select("event_type", (F.col("event_id") % 2 == 0).alias("detected"), (F.col("event_id") % 40 / 10.0).alias("median_snr"), (F.col("event_id") % 15 - 7).cast("double").alias("offset_s"), (F.col("event_id") % 9 != 0).alias("has_band"))
     return gates.calibration_verdict(shots)
 
 
 def exclusion_reasons(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
-    r = gates.exclusion_reason(F.col("event_id") % 2 == 0, F.col("event_id") % 40 / 10.0, (F.col("event_id") % 15 - 7).cast("double"))
+    r = gates.exclusion_reason(F.col("event_id") % 2 == 0, F.col("event_id") % 40 / 10.0, (F.col("event_id") % 15 - 7).cast("double"), F.col("event_id") % 9 != 0)
     return e.groupBy(r.alias("exclusion_reason")).agg(F.count("*").alias("n"))
 
 
@@ -97,7 +97,9 @@ FROM (SELECT p_partkey, (p_partkey % 7 + 1)::DOUBLE AS m, (p_partkey % 30 + 5)::
   (p_partkey % 5 + 1) || '.0-' || (p_partkey % 5 + 9) || '.0Hz' AS band FROM part""",
     "describe_by_role": """SELECT event_type, count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.5), 6) AS p50,
   round(quantile_cont(value, 0.9), 6) AS p90, max(value) AS max FROM events GROUP BY 1""",
-    "calibration_verdict": """SELECT shots, detected, usable, CASE WHEN usable >= 3 THEN 'PASS' WHEN usable > 0 THEN 'CONDITIONAL' ELSE 'STOP' END AS status FROM (SELECT count(*) AS shots, count(*) FILTER (WHERE event_id % 2 = 0) AS detected,
-  count(*) FILTER (WHERE event_id % 2 = 0 AND event_id % 40 >= 15 AND abs(event_id % 15 - 7) <= 5) AS usable FROM events)""",
-    "exclusion_reasons": """SELECT CASE WHEN event_id % 2 <> 0 THEN 'not_detected' WHEN event_id % 40 < 15 THEN 'snr_below_minimum' WHEN abs(event_id % 15 - 7) > 5 THEN 'clock_offset_beyond_limit' ELSE '' END AS exclusion_reason, count(*) AS n FROM events GROUP BY 1""",
+    "calibration_verdict": """SELECT *, CASE WHEN usable >= 3 THEN 'PASS' ELSE 'STOP' END AS shot_detectability, CASE WHEN usable >= 3 THEN 'PASS' ELSE 'CONDITIONAL' END AS channel_response,
+  'CONDITIONAL' AS absolute_timing, 'STOP' AS absolute_geometry FROM (SELECT count(*) AS shots, count(*) FILTER (WHERE event_id % 2 = 0) AS detected,
+  count(*) FILTER (WHERE event_id % 2 = 0 AND event_id % 40 >= 15 AND event_id % 15 - 7 BETWEEN 0 AND 5 AND event_id % 9 <> 0) AS usable FROM events)""",
+    "exclusion_reasons": """SELECT CASE WHEN event_id % 2 = 0 AND event_id % 40 >= 15 AND event_id % 15 - 7 BETWEEN 0 AND 5 AND event_id % 9 <> 0 THEN ''
+  ELSE 'nominal offset, median channel SNR, or array-median usable band failed the calibration-quality rule' END AS exclusion_reason, count(*) AS n FROM events GROUP BY 1""",
 }

@@ -27,6 +27,12 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
 
 
+def verify_checksum(sums: DataFrame, expected_md5: str) -> DataFrame:
+    """:func:`checksums` as they are; a file with another MD5 is an error when the result is read."""
+    same = F.when(F.lower("md5") == expected_md5.lower(), True).otherwise(F.raise_error(F.concat(F.lit("checksum differs: "), F.col("path"))))
+    return sums.filter(same)
+
+
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """The header ledger; a file that could not be read is a row with its error."""
     return spark.read.schema(HEADER_SCHEMA).parquet(path)
