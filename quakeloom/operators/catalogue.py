@@ -24,7 +24,7 @@ def find_event(events: DataFrame, event_id: str) -> DataFrame:
     one = F.when(F.col("n__") == 1, True).otherwise(F.raise_error(F.lit(f"expected one event {event_id}")))
     # counted over the whole match, which is a row even where there is none
     counted = found.agg(F.count("*").alias("n__")).select(one.alias("one__"))
-    return counted.join(found, F.col("one__"), "left").select(*[found[c] for c in found.columns])
+    return counted.join(found, F.col("one__"), "left").select(*found.columns)
 
 
 def replace_configured(configured: DataFrame, catalogue: DataFrame) -> DataFrame:
