@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakeloom.llm._scale import lean, materialise
-from quakeloom.llm._text import NONSPACE, signed, slabs, word_hashes
+from quakeloom.llm._text import LOWER, NONSPACE, hashes, mix, signed, slabs, words
 
 #: The hash that stands for the end of a text; no word is hashed to it but by chance.
 END = np.uint64(0x5BD1E9955BD1E995)
@@ -22,10 +22,12 @@ _STRETCHES = 16
 
 @dataclass(frozen=True)
 class LmOptions:
-    """classes: words with a vector of their own, with the end and the class of all other words. frequent: words
-    whose counts are broadcast (16 bytes each); the counts of all others are joined. noise: samples shared by a batch."""
+    """classes: vectors there are: of the end, of ``tails`` classes of words by their last letters, and for the rest of the most
+    frequent words, each a class of its own. frequent: words whose counts are broadcast (17 bytes each); the counts of all
+    others are joined. noise: samples shared by a batch."""
 
     classes: int = 2048
+    tails: int = 256
     dims: int = 16
     noise: int = 32
     batch: int = 4096
@@ -34,28 +36,34 @@ class LmOptions:
     seed: int = 7
 
 
-def _tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, the end after each text's words, and the texts' n + 1 token offsets."""
-    w, at = word_hashes(buf, offs, NONSPACE)
+def _tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens, the end after each text's words, what their last two bytes hash to, and the texts' n + 1 token offsets."""
+    starts, ends, at = words(buf, offs, NONSPACE)
     own = at + np.arange(len(at))
-    out = np.full(own[-1], END, np.uint64)
+    out, tail = np.full(own[-1], END, np.uint64), np.zeros(own[-1], np.uint16)
     inside = np.ones(len(out), bool)
     inside[own[1:] - 1] = False
-    out[inside] = w
-    return out, own
+    out[inside] = hashes(buf, starts, ends)
+    folded = LOWER[buf].astype(np.uint64)
+    last = folded[ends - 1] | np.where(ends - starts > 1, folded[ends - 2], 0).astype(np.uint64) << np.uint64(8)
+    tail[inside] = mix(last + np.uint64(1)) >> np.uint64(48)
+    return out, tail, own
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def flush():
-        h, inv = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-        n = np.bincount(inv, np.concatenate([y for _, y in held])).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n)], names=["word", "n"])
+        h, first, inv = np.unique(np.concatenate([x for x, _, _ in held]), return_index=True, return_inverse=True)
+        n = np.bincount(inv, np.concatenate([y for _, y, _ in held])).astype(np.int64)
+        tail = np.concatenate([z for _, _, z in held])[first]
+        return pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n), pa.array(tail.astype(np.int32))], names=["word", "n", "tail"])
 
     for batch in batches:
         for _, _, buf, offs in slabs(batch.column(0)):
-            held.append(np.unique(_tokens(buf, offs)[0], return_counts=True))
+            h, tail, _ = _tokens(buf, offs)
+            h, first, n = np.unique(h, return_index=True, return_counts=True)
+            held.append((h, n, tail[first]))
             size += len(held[-1][0])
             if size > 1_000_000:
                 yield flush()
@@ -66,7 +74,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class LmModel:
-    """Frozen statistics and vectors. Class 0 is the end (and what stands before a text), class 1 all words without one."""
+    """Frozen statistics and vectors. Class 0 is the end (and what stands before a text), then come the words with a class of
+    their own, from ``base`` on the classes of all other words by their last letters."""
 
     frequent: np.ndarray  # sorted hashes
     counts: np.ndarray  # of frequent
@@ -74,8 +83,8 @@ class LmModel:
     p: np.ndarray  # share of each class in training, smoothed
     total: int
     kinds: int
-    other_total: int
-    other_kinds: int
+    base: int
+    mass: np.ndarray  # for each class the sum of (count + 1/2) over its words, and 1/2 for one not seen; 1 where it is one word
     before1: np.ndarray
     before2: np.ndarray
     target: np.ndarray
@@ -83,15 +92,16 @@ class LmModel:
     log_z: np.ndarray | None = None
     tables: tuple | None = field(default=None, repr=False)
 
-    def classify(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in ``frequent`` (-1: not there) and class of each hash."""
+    def classify(self, h: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in ``frequent`` (-1: not there) and class of each token."""
         codes, distinct = pd.factorize(h)
         i = np.searchsorted(self.frequent, distinct)
         i[i == len(self.frequent)] = 0
         found = self.frequent[i] == distinct if len(self.frequent) else np.zeros(len(distinct), bool)
-        place = np.where(found, i, -1)
-        kind = np.where(distinct == END, 0, np.where(found, self.classes[i] if len(self.frequent) else 1, 1))
-        return place[codes], kind[codes]
+        place = np.where(found, i, -1)[codes]
+        own = self.base + tail.astype(np.int64) % (len(self.p) - self.base)
+        kind = np.where(place >= 0, self.classes[place], own) if len(self.frequent) else own
+        return place, np.where(h == END, 0, kind)
 
     def normalise(self) -> None:
         """log Z of every pair of preceding classes. The model is bilinear, so all are one matrix product."""
@@ -155,8 +165,8 @@ def _nce(shared, opts: LmOptions):
 
         for batch in batches:
             for _, _, buf, offs in slabs(batch.column(0)):
-                h, own = _tokens(buf, offs)
-                _, kind = model.classify(h)
+                h, tail, own = _tokens(buf, offs)
+                _, kind = model.classify(h, tail)
                 one, two = _before(kind, own)
                 order = rng.permutation(len(kind))
                 for k in range(0, len(kind), opts.batch):
@@ -186,9 +196,9 @@ def _add(table: pa.Table) -> pa.Table:
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word hash, n) of all tokens of all texts."""
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(_count), "word long, n long")
-    return materialise(found.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    """(word hash, n, tail: what its last letters hash to) of all tokens of all texts."""
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(_count), "word long, n long, tail int")
+    return materialise(found.groupBy("word").agg(F.sum("n").alias("n"), F.min("tail").alias("tail")), "word-counts")
 
 
 def train(docs: DataFrame, words: DataFrame, text_col: str = "text", opts: LmOptions = LmOptions()) -> LmModel:
@@ -202,19 +212,30 @@ def train(docs: DataFrame, words: DataFrame, text_col: str = "text", opts: LmOpt
     top = words.orderBy(F.desc("n"), "word").limit(opts.frequent).toArrow()
     h, n = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.lexsort((h, -n))
-    kind = np.ones(len(h), np.int64)
-    own = [i for i in order if h[i] != END][: opts.classes - 2]
-    kind[own] = np.arange(2, 2 + len(own))
+    tail = top["tail"].to_numpy().astype(np.int64)
+    own = [i for i in order if h[i] != END][: max(0, opts.classes - opts.tails - 1)]
+    base = 1 + len(own)
+    size = base + opts.tails
+    kind = base + tail % opts.tails
+    kind[own] = np.arange(1, base)
     kind[h == END] = 0
-    size = 2 + len(own)
-    mass = np.bincount(kind, n, minlength=size)
-    mass[1] = total - mass.sum() + mass[1]
-    p = (mass + 0.5) / (total + 0.5 * size)
+    # all words by last letters, less those with a class of their own
+    end = F.lit(int(np.array([END]).view(np.int64)[0]))
+    sums, number = np.zeros(size), np.zeros(size)
+    by_tail = words.filter(F.col("word") != end).groupBy(F.expr(f"tail % {opts.tails}").alias("t")).agg(F.sum("n").alias("n"), F.count("*").alias("v"))
+    for r in by_tail.collect():  # at most opts.tails rows
+        sums[base + r.t], number[base + r.t] = r.n, r.v
+    np.subtract.at(sums, base + tail[own] % opts.tails, n[own])
+    np.subtract.at(number, base + tail[own] % opts.tails, 1)
+    mass = sums + 0.5 * (number + 1)
+    sums[kind[own]], mass[:base] = n[own], 1.0
+    sums[0] = n[h == END].sum()
+    p = (sums + 0.5) / (total + 0.5 * size)
     rng = np.random.default_rng(opts.seed)
     near = lambda: (rng.normal(size=(size, opts.dims)) * 0.1).astype(np.float32)
     s = np.argsort(h)
     model = LmModel(
-        h[s], n[s], kind[s], p, int(total), int(kinds), int(mass[1]), int(kinds - len(own) - (h == END).sum()),
+        h[s], n[s], kind[s], p, int(total), int(kinds), base, mass,
         near(), near(), near(), np.log(p).astype(np.float32),
     )
     ddl = "tasks long, stretch long, seen long, vectors binary"
@@ -236,7 +257,8 @@ def score(docs: DataFrame, words: DataFrame, model: LmModel, id_col: str = "doc_
 
     Tokens are words between white space, A-Z folded, and an end. ``score`` is the log probability of
     the whole text: of each token's class after the two tokens before it, normalised over all classes,
-    and for a word without a class its share (count + 1/2) among all such words and one unseen.
+    and for a word without a class of its own its share (count + 1/2) among the words of its class, which is
+    that of its last letters, and one unseen. So all words count with their contexts, and as contexts.
     ``base_score`` is that of single words, (c + 1/2) / (N + (V + 1) / 2). The most frequent words'
     counts are broadcast, a number that options bound; a text's other words are joined to ``words``.
 
@@ -244,20 +266,22 @@ def score(docs: DataFrame, words: DataFrame, model: LmModel, id_col: str = "doc_
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    all_words, others = model.total + 0.5 * (model.kinds + 1), model.other_total + 0.5 * (model.other_kinds + 1)
+    all_words = model.total + 0.5 * (model.kinds + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, row = shared.value, TaskContext.get().partitionId() << 40
         log_all = np.log10((model.counts + 0.5) / all_words)
-        log_other = np.where(model.classes == 1, np.log10((model.counts + 0.5) / others), 0)
+        log_mass = np.log10(model.mass)
+        log_own = np.where(model.classes >= model.base, np.log10(model.counts + 0.5), 0)
         for batch in batches:
             for lo, hi, buf, offs in slabs(batch.column(1)):
-                h, own = _tokens(buf, offs)
-                place, kind = model.classify(h)
+                h, tail, own = _tokens(buf, offs)
+                place, kind = model.classify(h, tail)
                 rare = place < 0
                 single = np.where(rare, 0, log_all[place]) if len(log_all) else np.zeros(len(h))
                 joint = model.log_probability(kind, own).astype(np.float64) / np.log(10)
-                joint += np.where(rare, 0, log_other[place]) if len(log_all) else 0
+                joint -= log_mass[kind]
+                joint += np.where(rare, 0, log_own[place]) if len(log_all) else 0
                 text = np.repeat(np.arange(hi - lo), np.diff(own))
                 sums = [np.bincount(text, x, minlength=hi - lo) for x in (~rare, single, joint)]
                 unknown, seen, at = [], [], [0]
@@ -296,7 +320,7 @@ def score(docs: DataFrame, words: DataFrame, model: LmModel, id_col: str = "doc_
         .agg(
             F.sum(F.when(count > 0, F.col("seen")).otherwise(0)).alias("known"),
             F.sum(F.col("seen") * F.log10((count + 0.5) / F.lit(float(all_words)))).alias("more_single"),
-            F.sum(F.when(F.col("word") == end, 0.0).otherwise(F.col("seen") * F.log10((count + 0.5) / F.lit(float(others))))).alias("more_joint"),
+            F.sum(F.when(F.col("word") == end, 0.0).otherwise(F.col("seen") * F.log10(count + 0.5))).alias("more_joint"),
         )
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

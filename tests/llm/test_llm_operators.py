@@ -132,7 +132,7 @@ def test_language_model(spark):
     count = Counter(w for i, x in rows.items() if not out(i) for w in tokens(x))
     total, kinds = sum(count.values()), len(count)
     training = docs.filter(~lm_scoring.held_out(docs.doc_id))
-    opts = lm_scoring.LmOptions(classes=64, frequent=200, batch=256)  # most words come by the join
+    opts = lm_scoring.LmOptions(classes=64, tails=16, frequent=200, batch=256)  # most words come by the join
     words = lm_scoring.count_words(training)
     model = lm_scoring.train(training, words, opts=opts)
     got = {r.doc_id: r for r in lm_scoring.score(docs, words, model).collect()}
@@ -141,14 +141,35 @@ def test_language_model(spark):
         base = sum(math.log10((count[y] + 0.5) / (total + 0.5 * (kinds + 1))) for y in w)
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(w), sum(count[y] > 0 for y in w), total)
         assert got[i].base_score == pytest.approx(base, rel=1e-9) and got[i].score < 0
-    # probabilities of all classes after any two add up to one, and so do the words of the class without vectors
+    # the score of each text from the model's vectors, word by word; probabilities of all classes after any two add up to one
     import numpy as np
 
     a, b = model.before1 @ model.target.T + model.bias, model.before2 @ model.target.T
-    for one, two in ((0, 0), (1, 2), (5, 9)):
-        assert np.exp(a[one] + b[two] - model.log_z[one, two]).sum() == pytest.approx(1, abs=1e-3)
-    others = [c for y, c in count.items() if y is not None]
-    own = sorted(others, reverse=True)[: opts.classes - 2]
-    assert model.other_total == sum(others) - sum(own) and model.other_kinds == len(others) - len(own)
+    of = {}
+
+    def seen(word):
+        """Class of a word, and the logarithm of its share of that class."""
+        if word not in of:
+            buf = np.frombuffer((word or "").encode(), np.uint8)
+            h, tail, _ = lm_scoring._tokens(buf, np.array([0, len(buf)]))
+            k = int(model.classify(h, tail)[1][0])
+            of[word] = k, 0.0 if k < model.base else math.log10(count[word] + 0.5)
+        return of[word]
+
+    mass = Counter()
+    for w in count:
+        k, _ = seen(w)
+        mass[k] += count[w] + 0.5
+    for k in range(model.base, opts.classes):
+        assert model.mass[k] == pytest.approx(mass[k] + 0.5)
+    for i, x in rows.items():
+        kinds_of = [seen(w)[0] for w in tokens(x)]
+        total_log = 0.0
+        for j, w in enumerate(tokens(x)):
+            one, two = (kinds_of[j - 1] if j > 0 else 0), (kinds_of[j - 2] if j > 1 else 0)
+            z = (a[one] + b[two]).astype(np.float64)
+            total_log += (z[kinds_of[j]] - np.log(np.exp(z).sum())) / math.log(10)
+            total_log += seen(w)[1] - (math.log10(model.mass[kinds_of[j]]) if kinds_of[j] >= model.base else 0)
+        assert got[i].score == pytest.approx(total_log, rel=1e-4)
     empty = lm_scoring.count_words(training.filter("false"))
     assert lm_scoring.score(docs, empty, lm_scoring.train(training.filter("false"), empty, opts=opts)).count() == len(rows)
