@@ -28,10 +28,10 @@ class LmOptions:
 
     classes: int = 2048
     tails: int = 256
-    dims: int = 16
-    noise: int = 32
+    dims: int = 32
+    noise: int = 48
     batch: int = 4096
-    rate: float = 0.1
+    rate: float = 0.06
     frequent: int = 1 << 17
     seed: int = 7
 
