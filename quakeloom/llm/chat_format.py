@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quakeloom.llm._scale import materialise
+
 #: A line's quote marks: any number of ``>``, each with white space around it.
 MARKS = r"^[ \t]*(?:>[ \t]?)+"
 #: A line that introduces a quotation.
@@ -107,7 +109,8 @@ def format_chats(
     conversation; equal rows are one message; different messages of one turn stand in order of role and
     text. A conversation of any length is handled in parts of 1024 turns, never gathered.
     """
-    parsed = parse_quotes(messages, conv_col, turn_col, role_col, text_col)
+    # read three times below; parsing is most of the work
+    parsed = materialise(parse_quotes(messages, conv_col, turn_col, role_col, text_col), "parsed")
     links = link_quotes(parsed).filter("level = 1").select("key", "turn", "origin")
     turns = parsed.groupBy("key", "turn").agg(F.count("*").alias("n"))
     before = turns.select("key", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("follows"))
