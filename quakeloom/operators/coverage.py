@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def configuration_census(headers: DataFrame, source: str, columns: list[str], numeric: bool = False) -> DataFrame:
-    """(source, configurations): a JSON array of each combination of ``columns`` with its count.
+def configuration_census(headers: DataFrame, source: str, columns: list[str], numeric: bool = False, count: str = "record_count") -> DataFrame:
+    """(source, configurations): a JSON array of each combination of ``columns`` with its count, named ``count``.
 
     Sorted by the values' text, or with ``numeric`` by the values.
     """
-    counts = headers.groupBy(source, *columns).agg(F.count("*").alias("record_count"))
+    counts = headers.groupBy(source, *columns).agg(F.count("*").alias(count))
     key = F.struct(*[F.col(c) if numeric else F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns])
-    item = F.struct(key.alias("k"), F.struct(*columns, "record_count").alias("v"))
+    item = F.struct(key.alias("k"), F.struct(*columns, count).alias("v"))
     listed = counts.groupBy(source).agg(F.array_sort(F.collect_list(item)).alias("x"))
     return listed.select(source, F.to_json(F.transform("x", lambda e: e["v"]), {"ignoreNullFields": "false"}).alias("configurations"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quakeloom.functions.scalar import catalogue_time, event_time, optional_float
+from quakeloom.operators.coverage import MANIFEST
 
 # The columns of a pipe-separated catalogue line.
 CATALOGUE_FIELDS = (
@@ -22,6 +23,18 @@ def lines_of(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", F.posexplode(F.split("t", "\r?\n")).alias("pos", "value"))
 
 
+def read_manifest(spark: SparkSession, path: str, source_name: str) -> DataFrame:
+    """(source_name, value): the lines of one manifest file below its header; another header than that of a manifest is an error.
+
+    Only the header is read by this call; the lines are read in splits.
+    """
+    head = spark.read.text(path).head()
+    if head is None or head["value"].split() != MANIFEST:
+        raise ValueError(f"not the header of a manifest: {path}")
+    lines = spark.read.schema("value string").csv(path, header=True, sep="\x01", quote="", nullValue="\x02", emptyValue="")
+    return lines.select(F.lit(source_name).alias("source_name"), "value")
+
+
 def catalogue_lines(lines: DataFrame, source_url: str = "", text: str = "value") -> DataFrame:
     """Events of pipe-separated lines. Blank, comment and short lines are left out; a number that is none is an error."""
     rows = lines.filter((F.trim(text) != "") & ~F.col(text).startswith("#")).withColumn("f__", F.transform(F.split(text, r"\|"), lambda x: F.trim(x))).filter(F.size("f__") >= len(CATALOGUE_FIELDS))
