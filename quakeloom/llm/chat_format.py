@@ -107,7 +107,9 @@ def format_chats(
 
     Null text is empty, a null role ``unknown``, a null turn -1; rows with a null conversation are one
     conversation; equal rows are one message; different messages of one turn stand in order of role and
-    text. A conversation of any length is handled in parts of 1024 turns, never gathered.
+    text. A turn of more than ``block`` different messages (null turns, say) is dealt by the messages'
+    hashes over as many rows as hold ``block`` each on average, alike in conv_id, thread_turn and block.
+    A conversation of any length is handled in parts of 1024 turns, never gathered.
     """
     # read three times below; parsing is most of the work
     parsed = materialise(parse_quotes(messages, conv_col, turn_col, role_col, text_col), "parsed")
@@ -116,7 +118,7 @@ def format_chats(
     before = turns.select("key", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("follows"))
     flow = turns.join(before, ["key", "turn"], "left").join(links, ["key", "turn"], "left")
     starts = F.col("follows").isNull() | (F.coalesce(F.col("origin"), F.col("turn") - 1) != F.col("turn") - 1)
-    flow = flow.select("key", "turn", "origin", F.when(starts, F.col("turn")).alias("start"), F.floor(F.col("turn") / _PART).alias("part"))
+    flow = flow.select("key", "turn", "n", "origin", F.when(starts, F.col("turn")).alias("start"), F.floor(F.col("turn") / _PART).alias("part"))
     carried = flow.groupBy("key", "part").agg(F.max("start").alias("last"))
     earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = carried.select("key", "part", F.max("last").over(earlier).alias("carried"))
@@ -124,10 +126,11 @@ def format_chats(
     threads = (
         flow.withColumn("own_start", F.max("start").over(within))
         .join(carried, ["key", "part"])
-        .select("key", "turn", "origin", F.coalesce("own_start", "carried").alias("thread_turn"))
+        .select("key", "turn", "n", "origin", F.coalesce("own_start", "carried").alias("thread_turn"))
     )
     rows = parsed.select("key", "conv_id", "turn", "role", "content", F.size("quoted").alias("quotes")).join(threads, ["key", "turn"])
-    grouped = rows.groupBy("key", "thread_turn", F.floor((F.col("turn") - F.col("thread_turn")) / block).alias("block")).agg(
+    piece = F.when(F.col("n") > block, F.pmod(F.xxhash64("role", "content"), F.ceil(F.col("n") / block))).otherwise(F.lit(0)).cast("long")
+    grouped = rows.groupBy("key", "thread_turn", F.floor((F.col("turn") - F.col("thread_turn")) / block).alias("block"), piece.alias("piece")).agg(
         F.first("conv_id").alias("conv_id"),
         F.min(F.when(F.col("turn") == F.col("thread_turn"), F.col("origin"))).alias("reply_to"),
         F.count("*").alias("n_messages"),

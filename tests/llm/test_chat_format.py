@@ -93,3 +93,13 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame([(*x, "z") for x in rows], "conv_id long, turn long, role string, text string, content string")
     assert rows_of(format_chats(df, block=16)) == sorted(brute(rows, 16), key=KEY)
     assert format_chats(df.filter("false")).count() == 0
+
+
+def test_crowded_turn_is_spread_over_rows(spark):
+    rows = [(1, None, "user", f"message {i}") for i in range(200)] + [(1, 0, "user", "next"), (1, 1, "user", "last")]
+    got = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), block=8).collect()
+    crowded = [x for x in got if "message" in x.text]
+    assert 15 < len(crowded) <= 25 and max(x.n_messages for x in crowded) < 32
+    said = [x for g in got for x in g.text.split("<|user|>\n") if x]
+    assert sorted(x.strip() for x in said) == sorted(x[3] for x in rows) and sum(g.n_messages for g in got) == len(rows)
+    assert {(x.conv_id, x.thread_turn, x.block) for x in crowded} == {(1, -1, 0)}
