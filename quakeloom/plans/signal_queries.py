@@ -47,7 +47,7 @@ def brune_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hard_negative_baseline(spark: SparkSession, d: str) -> DataFrame:
-    """Peaks of vectors against the next vector of another label in id order, within 8 samples, summed up."""
+    """Peaks of vectors against the next vector in id order, hundred by hundred and whatever its label, within 8 samples, summed up."""
     from pyspark.sql import Window
 
     t = _traces(spark, d)
