@@ -362,7 +362,8 @@ def jaccard_components(
     steps are joins and pre-aggregated groupings by shingle, node or group.
 
     Null or wordless text has an empty set, no links, and its own id. Null ids never link. Rows that
-    repeat an id are one document if their texts are equal; else each text is a node under that id.
+    repeat an id are one document if their texts are equal; else each text is a node under that id, and
+    what any of them is linked to is reached through it.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
@@ -476,11 +477,13 @@ def _open(apart: DataFrame, grouped: DataFrame, docs: DataFrame, size: int, perc
     so neither a whole group nor a row for each pair is ever made.
     """
     groups = apart.select(F.explode(F.array("small", "large")).alias("grp")).distinct()
-    members = materialise(grouped.join(groups, "grp", "left_semi").select("node", "grp", "n"), "members")
+    members = materialise(grouped.join(groups, "grp", "left_semi").select("node", "grp").distinct(), "members")
     texts = mark_buckets(docs, bucket(F.col("doc_id")), members.select("node"), "needed").filter("needed")
     texts = texts.select(F.col("doc_id").alias("node"), "text").join(members.select("node"), "node", "left_semi")
     tokens = texts.mapInArrow(lean(_shingles(size)), "node long, tokens array<long>").join(members, "node")
-    tokens = materialise(tokens.dropDuplicates(["node"]), "tokens")
+    # a repeated id keeps each of its different texts
+    tokens = tokens.select("node", "grp", F.size("tokens").cast("long").alias("n"), "tokens", F.xxhash64("tokens").alias("content"))
+    tokens = materialise(tokens.dropDuplicates(["node", "content"]).drop("content"), "tokens")
 
     queries = apart.join(tokens.select(F.col("grp").alias("small"), F.col("node").alias("q"), F.col("n").alias("nq"), "tokens"), "small")
     matrix = tokens.join(apart.select(F.col("large").alias("grp")).distinct(), "grp", "left_semi")

@@ -101,6 +101,115 @@ def test_section_counts_add_up(spark):
         count_section_tokens(df, rule="half")
 
 
+def brute_sections(t, text, spans, rule):
+    """(section, first character) to tokens and crossing ones, byte by byte."""
+    stretch, start = [], {}
+    for p, c in enumerate(text):
+        owner = next((k for k, (_, a, b) in enumerate(spans) if a <= p < b), -1)
+        if not p or owner != stretch[-1][0]:
+            key = (owner, p)
+            start[key] = [0, 0]
+        stretch += [key] * len(c.encode())
+    at = 0
+    for token in t.encode(text, add_special_tokens=False).tokens:
+        own = stretch[at : at + len(token)]  # each letter of a token stands for one byte
+        at += len(token)
+        winner = own[0] if rule == "first" else max(dict.fromkeys(own), key=own.count)
+        start[winner][0] += 1
+        start[winner][1] += len(set(own)) > 1
+    assert at == len(stretch)
+    return {k: tuple(v) for k, v in start.items()}
+
+
+@pytest.mark.parametrize("rule", ["first", "largest"])
+def test_sections_against_brute_force(spark, rule):
+    t, r = Tokenizer.from_file(default_path()), random.Random(11)
+    bits = ["the quick ", "größe", "😀😀", "\n\n", "internationalisation", "中文字", " ", "12345", "<|endoftext|>", "e\u0301", "_" * 9]
+    docs = []
+    for k in range(80):
+        text = "".join(r.choice(bits) for _ in range(r.randint(1, 12)))
+        cuts = sorted(r.sample(range(len(text) + 1), min(len(text) + 1, 2 * r.randint(0, 4))))
+        docs.append((k, text, [(f"s{a}", a, b) for a, b in zip(cuts[::2], cuts[1::2])], "z"))
+    df = spark.createDataFrame(docs, "doc_id long, text string, parts array<struct<name string, start int, end int>>, name string")
+    got = defaultdict(dict)
+    for x in count_section_tokens(df, sections_col="parts", rule=rule).collect():
+        got[x.doc_id][x.section, x.char_start] = (x.n_tokens, x.n_crossing)
+    for k, text, spans, _ in docs:
+        assert got[k] == brute_sections(t, text, spans, rule), (text, spans)
+
+
+def test_language_code_lengths_against_plain_trees(spark):
+    import math
+
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").limit(60)
+    d = spark.createDataFrame(d.collect() + [(900, "aaa bbb", "zz"), (901, "aab", "zz"), (902, None, "zz"), (903, "unlabelled", None)], d.schema)
+    fold = lambda x: bytes(4) + bytes(b + 32 if 65 <= b <= 90 else b for b in x.encode())
+    trees = defaultdict(lambda: defaultdict(lambda: defaultdict(int)))
+    for x in d.collect():
+        if x.text and x.lang:
+            b = fold(x.text)
+            for p in range(4, len(b)):
+                for order in range(5):
+                    trees[x.lang][b[p - order : p]][b[p]] += 1
+
+    def code_length(tree, text):
+        b, out = fold(text), 0.0
+        for p in range(4, len(b)):
+            for order in range(4, -1, -1):
+                seen = tree.get(b[p - order : p])
+                if seen and b[p] in seen:
+                    out -= math.log2((seen[b[p]] - 0.5) / sum(seen.values()))
+                    break
+                out -= math.log2(len(seen) / (2 * sum(seen.values()))) if seen else 0
+            else:
+                out += 8
+        return out
+
+    texts = [x.text[:300] for x in d.collect()[:20] if x.text] + ["AAA bbb aab", "qqqq zebra 中文 ñandú", "a", "x" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in identify(df, train(d)).collect()}
+    for k, text in enumerate(texts):
+        bits = {lang: code_length(tree, text) for lang, tree in sorted(trees.items())}
+        least = min(bits.values())
+        assert got[k].bits_per_byte == pytest.approx(least / len(text.encode()), rel=1e-4)
+        assert bits[got[k].lang_pred] == pytest.approx(least, rel=1e-4)
+        assert got[k].score == pytest.approx(1 / sum(2 ** (least - x) for x in bits.values()), abs=0.02)
+
+
+def test_very_long_texts(spark):
+    """Two million characters beside short texts, with columns whose names the operators use themselves."""
+    r = random.Random(3)
+    vocab = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 7))) for _ in range(3000)]
+    words = [r.choice(vocab) for _ in range(400_000)]
+    item = [f"exam{k}" for k in range(12)]
+    passage = [f"notice{k}" for k in range(60)]
+    words[200_000:200_000] = item
+    words[399_000:399_000] = passage
+    text = " ".join(words)
+    rows = [(1, text, "en"), (2, " ".join(["short", *passage, "text"]), "en"), (3, None, None), (4, text + " end", "en"), (5, text.replace(" ", "\n"), "en")]
+    df = spark.createDataFrame([(*x, "q", 7) for x in rows], "doc_id long, text string, lang string, word string, n int").repartition(2)
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    hit = {x.doc_id: (x.n_words, x.n_hit) for x in find_benchmark_passages(df, items).collect()}
+    assert hit == {1: (400_072, 12), 2: (62, 0), 3: (0, 0), 4: (400_073, 12), 5: (400_072, 12)}
+    from quakeloom.llm.ngram_join import jaccard_components
+    from quakeloom.llm.suffix_dedup import repeated_passages
+
+    joined = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_components(df).collect()}
+    n = len({tuple(words[k : k + 4]) for k in range(len(words) - 3)})
+    assert joined == {1: (n, 1), 2: (59, 2), 3: (0, 3), 4: (n + 1, 1), 5: (n, 1)}
+    spans = {tuple(x) for x in repeated_passages(df).collect()}
+    assert spans == {(1, 0, 400_072, 400_072, 1), (2, 1, 61, 60, 1), (4, 0, 400_072, 400_072, 1), (5, 0, 400_072, 400_072, 1)}
+    groups = {x.doc_id: (x.keep_id, x.group_size) for x in exact_dedup(df).collect()}
+    assert groups == {1: (1, 2), 2: (2, 1), 3: (3, 1), 4: (4, 1), 5: (1, 2)}
+    model = train(df)
+    assert {x.doc_id: x.lang_pred for x in identify(df, model).collect()} == {1: "en", 2: "en", 3: "und", 4: "en", 5: "en"}
+    counted = lm_scoring.count_words(df)
+    opts = lm_scoring.LmOptions(classes=64, tails=16, frequent=200, batch=256)
+    scores = {x.doc_id: x for x in lm_scoring.score(df, counted, lm_scoring.train(df, counted, opts=opts)).collect()}
+    assert {k: (x.n_tokens, x.n_known) for k, x in scores.items()} == {1: (400_073,) * 2, 2: (63, 63), 3: (1, 1), 4: (400_074,) * 2, 5: (400_073,) * 2}
+    assert scores[1].score == pytest.approx(scores[5].score, rel=1e-6)
+
+
 def test_language_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op6_language_id(spark, "/root/testdata/sf0.01").join(d.select("doc_id", "lang"), "doc_id").filter("held_out").collect()

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from quakeloom.llm.ngram_join import drop_near_copies, jaccard_components
+from quakeloom.llm.ngram_join import _open, drop_near_copies, jaccard_components
 
 
 def brute(docs, size, percent):
@@ -78,3 +78,13 @@ def test_nulls_repeats_and_filter(spark):
     # rows are the documents, so the one with a null id stands for the group, as null ids come first
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 7, 8, 9]
     assert jaccard_components(df.filter("false")).count() == 0
+
+
+def test_opened_groups_hold_every_text_of_a_repeated_id(spark):
+    say = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    docs = spark.createDataFrame([(1, say("x", 90)), (1, say("y", 60)), (1, say("y", 60)), (2, say("y", 62)), (3, say("x", 92)), (4, say("z", 50))], "doc_id long, text string")
+    grouped = spark.createDataFrame([(1, 1, 87), (1, 1, 57), (2, 2, 59), (3, 2, 89), (4, 2, 47)], "node long, grp long, n long")
+    for small, large in ((1, 2), (2, 1)):
+        apart = spark.createDataFrame([(small, large)], "small long, large long")
+        got = {(min(r), max(r)) for r in map(tuple, _open(apart, grouped, docs, 4, 85).collect())}
+        assert got == {(1, 2), (1, 3)}
