@@ -11,6 +11,7 @@ from quakeloom.llm import lm_scoring
 from quakeloom.llm.chat_format import format_chats
 from quakeloom.llm.decontaminate import find_benchmark_passages
 from quakeloom.llm.exact_dedup import exact_dedup
+from quakeloom.llm.fill_middle import fill_in_middle, restore
 from quakeloom.llm.html_text import extract_main_text
 from quakeloom.llm.language_id import held_out, identify, train
 from quakeloom.llm.ngram_join import jaccard_components
@@ -72,6 +73,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(_read(spark, sf_dir, "documents"))
+    text = restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -84,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_decontamination": op9_decontamination,
         "op10_ngram_join": op10_ngram_join,
+        "op11_fill_in_middle": op11_fill_in_middle,
     }
 
 
@@ -120,5 +128,24 @@ FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
 
+_OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w
+  FROM documents
+), u AS (SELECT doc_id, t, w, len(w) AS n, [('0x' || h[8 * k + 1:8 * k + 8])::BIGINT for k in [0, 1, 2, 3]] AS r FROM d),
+c AS (
+  SELECT doc_id, t, w, n, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 50 THEN 'plain'
+              WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM u
+), p AS (SELECT *, array_to_string(w[:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid, array_to_string(w[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": _OP5, "op9_decontamination": _OP9}
+    return {"op5_exact_dedup": _OP5, "op9_decontamination": _OP9, "op11_fill_in_middle": _OP11}
