@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quakeloom.llm import lm_scoring
 from quakeloom.llm.chat_format import format_chats
+from quakeloom.llm.curriculum import plan_mix
 from quakeloom.llm.decontaminate import find_benchmark_passages
 from quakeloom.llm.exact_dedup import exact_dedup
 from quakeloom.llm.fill_middle import fill_in_middle, restore
@@ -79,6 +80,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
 
 
+def op12_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = plan_mix(_read(spark, sf_dir, "documents"))
+    first = F.round(F.get("takes", 0)["position"], 9)
+    out = out.select("doc_id", "size", "source_size", "target", "taken", F.size("takes").alias("passes"), first.alias("position"))
+    return out.orderBy(F.asc_nulls_last("position"), "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -92,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": op9_decontamination,
         "op10_ngram_join": op10_ngram_join,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_curriculum_mix": op12_curriculum_mix,
     }
 
 
@@ -147,5 +156,32 @@ FROM p
 """
 
 
+_OP12 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('42:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents
+), z AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, [0, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS turn FROM z),
+c AS (SELECT *, [5.0, 2.0, 1.0][turn + 1]::DOUBLE AS weight, 2 * source_size AS cap, 2 * source_size / [5.0, 2.0, 1.0][turn + 1]::DOUBLE AS fill FROM w),
+s AS (
+  SELECT *, coalesce(sum(cap) OVER o, 0) AS caps, coalesce(sum(weight) OVER o, 0) AS weights, sum(source_size) OVER () * 150 / 100::DOUBLE AS asked, sum(weight) OVER () AS total
+  FROM c WINDOW o AS (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f AS (SELECT *, (asked - caps) / (total - weights) >= fill AS is_full FROM s),
+t AS (
+  SELECT source, turn, source_size, CASE WHEN is_full THEN cap::DOUBLE ELSE least(
+    (asked - coalesce(sum(cap) FILTER (WHERE is_full) OVER (), 0)) / (total - coalesce(sum(weight) FILTER (WHERE is_full) OVER (), 0)) * weight, cap::DOUBLE) END AS target
+  FROM f
+), r AS (
+  SELECT d.doc_id, size, source_size, target, turn, floor(target + 0.5)::BIGINT AS wanted,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, d.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), p AS (
+  SELECT *, greatest(least(wanted - before, size), 0) AS one, greatest(least(wanted - source_size - before, size), 0) AS two, before::DOUBLE / wanted::DOUBLE AS x FROM r
+)
+SELECT doc_id, size, source_size, target, (one + two)::BIGINT AS taken, ((one > 0)::INT + (two > 0)::INT)::INT AS passes,
+  CASE WHEN one > 0 THEN round(CASE turn WHEN 0 THEN 2 * (5 * x) / (6 + sqrt(36 - 4 * (5 * x))) WHEN 1 THEN 2 * (2 * x) / (1 + sqrt(1 + 4 * (2 * x))) ELSE x END, 9) END AS position
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": _OP5, "op9_decontamination": _OP9, "op11_fill_in_middle": _OP11}
+    return {"op5_exact_dedup": _OP5, "op9_decontamination": _OP9, "op11_fill_in_middle": _OP11, "op12_curriculum_mix": _OP12}
