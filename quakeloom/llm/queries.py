@@ -13,6 +13,7 @@ from quakeloom.llm.curriculum import plan_mix
 from quakeloom.llm.decontaminate import find_benchmark_passages
 from quakeloom.llm.exact_dedup import exact_dedup
 from quakeloom.llm.fill_middle import fill_in_middle, restore
+from quakeloom.llm.filter_audit import audit_filters
 from quakeloom.llm.html_text import extract_main_text
 from quakeloom.llm.language_id import held_out, identify, train
 from quakeloom.llm.ngram_join import jaccard_components
@@ -87,6 +88,10 @@ def op12_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy(F.asc_nulls_last("position"), "doc_id")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -101,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_ngram_join": op10_ngram_join,
         "op11_fill_in_middle": op11_fill_in_middle,
         "op12_curriculum_mix": op12_curriculum_mix,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -183,5 +189,33 @@ FROM p
 """
 
 
+_OP13 = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY 1),
+d AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {
+    'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+    'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)} AS f
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id
+), g AS (SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x WHEN 'A' THEN f.A WHEN 'B' THEN f.B WHEN 'C' THEN f.C WHEN 'D' THEN f.D ELSE f.E END) AS fails,
+    count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM d GROUP BY 1, 2),
+k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS c, string_split(filter_order[1:step - 1], '') AS earlier FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+r AS (
+  SELECT part, filter_order, step, c,
+    coalesce(sum(n) FILTER (WHERE NOT list_contains(fails, c) AND NOT list_has_any(fails, earlier)), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (WHERE list_contains(fails, c) AND NOT list_has_any(fails, earlier)), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE list_contains(fails, c) AND list_has_any(fails, earlier)), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (WHERE fails = [c]), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE list_contains(fails, c) AND NOT list_has_any(fails, earlier)), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE list_contains(fails, c) AND NOT list_has_any(fails, earlier)), 0)::BIGINT AS toxic_lost
+  FROM g, s GROUP BY 1, 2, 3, 4
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": _OP5, "op9_decontamination": _OP9, "op11_fill_in_middle": _OP11, "op12_curriculum_mix": _OP12}
+    return {"op5_exact_dedup": _OP5, "op9_decontamination": _OP9, "op11_fill_in_middle": _OP11, "op12_curriculum_mix": _OP12, "op13_filter_audit": _OP13}
