@@ -35,8 +35,16 @@ CHROME_WORDS = set(
 # Of these, words that name adverts, and words that name what stays surroundings even if it holds article elements.
 AD_WORDS = set("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion promoted".split())
 APART_WORDS = AD_WORDS | set("comment comments commentlist disqus respond replies discussion related recommended recommendations popular trending".split())
+# Words that name adverts and readers' comments whatever stands beside them.
+FINAL_WORDS = AD_WORDS | set("comment comments commentlist disqus".split())
 # Words that make a name say how a page is laid out, as in has-sidebar or menu-open.
 STATE_WORDS = set("has with without no not free layout open opened enabled disabled toggled".split())
+# Words that say nothing but where or what kind of box an element is: a name of these and of what surrounds a main text is certain,
+# any other word beside makes it doubtful, as in search-results or social-history.
+BOX_WORDS = set(
+    "area articles bar block body bottom box button buttons center col column container content element footer form global group header holder icon icons inner "
+    "item items left links list main module news outer page panel post posts primary right row secondary section side site small sticky stories story sub text title top wrap wrapper".split()
+)
 # Words in class, id, role or itemprop that name a main text.
 ARTICLE_WORDS = set("article articlebody story post entry maincontent main".split())
 # Elements without content or end tag.
@@ -54,9 +62,12 @@ _TOKEN = re.compile(r"<(?P<special>!--|!\[CDATA\[)|<[!?][^<>]*>|<(?P<end>/?)(?P<
 _ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "select", "canvas")}
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_UNQUOTED = re.compile(r"=\s*[^\s\"'>]*/\Z")
+_BIG_REFERENCE = re.compile(r"&#(?:([0-9]{8,})|[xX]([0-9a-fA-F]{7,}));?")
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-_WORD = re.compile(r"\w+")
+# scripts that are written without spaces, or that build long words: there a character counts as a word
+_DENSE = "\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af"
+_WORD = re.compile(rf"[{_DENSE}]|[^\W{_DENSE}]+")
+_DENSE_CHAR = re.compile(f"[{_DENSE}]")
 _SPACE = re.compile(r"\s+")
 
 
@@ -70,7 +81,8 @@ class BlockRules:
     """Thresholds of the first pass: characters, share of stop words, share of characters within links.
 
     Elements and names are one feature: within a main text a middling share of stop words is enough, and
-    what has too few is ambiguous, not bad.
+    what has too few is ambiguous, not bad. A doubtful name counts unless its element holds a long block with
+    many stop words. Where a page has few of the known stop words, its ``learned`` most frequent words are its own.
     """
 
     short: int = 70
@@ -79,6 +91,7 @@ class BlockRules:
     stop_high: float = 0.3
     links: float = 0.33
     links_article: float = 0.7
+    learned: int = 40
 
 
 @dataclass
@@ -88,33 +101,81 @@ class _Block:
     chrome: int
     main: int  # which main text element it is in; 0: none
     heading: bool
+    doubtful: int = 0  # which element of a doubtful name it is in; 0: none
     label: str = ""
+    density: float = 0.0
 
+    @property
+    def size(self) -> int:
+        """Characters, those of dense scripts counted three times."""
+        return len(self.text) + 2 * len(_DENSE_CHAR.findall(self.text))
 
-def _attributes(tag: str, attrs: str) -> tuple[int, bool, str]:
-    """How much an element's attributes name surroundings, whether they name a main text, and main or article if they say that it is one."""
-    if not attrs or tag in ("html", "body"):
-        return SHOWN, False, ""
-    words: set[str] = set()
+    @property
+    def linked(self) -> float:
+        return self.link_chars / max(1, len(_SPACE.sub("", self.text)))
+
+    @property
+    def words(self) -> list[str]:
+        return [w.lower() for w in _WORD.findall(self.text)]
+
+
+def _decoded(text: str) -> str:
+    """``text`` with its character references decoded; numbers beyond Unicode, however long, are U+FFFD."""
+
+    def small(m: re.Match) -> str:
+        digits = (m[1] or m[2]).lstrip("0")
+        if len(digits) > (7 if m[1] else 6):
+            return "\ufffd"
+        return f"&#{'' if m[1] else 'x'}{digits or '0'};"
+
+    return html.unescape(_BIG_REFERENCE.sub(small, text) if "&#" in text else text)
+
+
+def _closes_itself(attrs: str) -> bool:
+    """Whether a tag's attributes end in a slash that is not the end of a value without quotes."""
+    if not attrs.endswith("/"):
+        return False
+    last = max(attrs.rfind(c) for c in " \t\n\r\f\"'>") + 1
+    return "=" not in attrs[last:] and not attrs[:last].rstrip().endswith("=")
+
+
+def _names(attrs: str) -> tuple[set[str], set[str], set[str]]:
+    """Words of class, id, role and itemprop: of certain names, of doubtful ones, and of names of a layout's state."""
+    certain: set[str] = set()
+    doubtful: set[str] = set()
     states: set[str] = set()
+    for name, *value in _ATTR.findall(attrs):
+        if name.lower() in ("class", "id", "role", "itemprop"):
+            for token in "".join(value).split():
+                parts = {x.lower() for x in _PARTS.findall(token)}
+                kind = states if parts & STATE_WORDS else doubtful if parts & CHROME_WORDS and parts - CHROME_WORDS - BOX_WORDS else certain
+                kind.update(parts, [token.lower()])
+    return certain, doubtful, states
+
+
+def _attributes(tag: str, attrs: str) -> tuple[int, bool, str, bool]:
+    """How much an element's attributes name surroundings, whether they name a main text, main or article if they say
+    that it is one, and whether a name of surroundings is doubtful."""
+    if not attrs or tag in ("html", "body"):
+        return SHOWN, False, "", False
     kind = ""
     for name, *value in _ATTR.findall(attrs):
         value = "".join(value)
         name = name.lower()
         if name == "hidden" and not value or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return HIDDEN, False, ""
+            return HIDDEN, False, "", False
         if name == "role" and value.lower() in ("main", "article"):
             kind = value.lower()
         elif name == "itemprop" and value.lower() == "articlebody":
             kind = kind or "article"
-        if name in ("class", "id", "role", "itemprop"):
-            for token in value.split():
-                parts = {x.lower() for x in _PARTS.findall(token)}
-                (states if parts & STATE_WORDS else words).update(parts, [token.lower()])
-    article = bool((words | states) & ARTICLE_WORDS)
+    words, doubtful, states = _names(attrs)
+    article = bool((words | doubtful | states) & ARTICLE_WORDS)
+    words |= doubtful & FINAL_WORDS
     if tag in ("article", "main"):
         words &= {"comment", "comments", "commentlist", "ad", "ads", "sponsored"}
-    return APART if words & APART_WORDS else NAMED if words & CHROME_WORDS else SHOWN, article, kind
+        doubtful = set()
+    level = APART if words & APART_WORDS else NAMED if words & CHROME_WORDS else SHOWN
+    return level, article, kind, bool(doubtful & CHROME_WORDS) and level == SHOWN
 
 
 def _inline(attrs: str, tag: str) -> bool:
@@ -124,14 +185,8 @@ def _inline(attrs: str, tag: str) -> bool:
     named = _attributes(tag, attrs)[0]
     if named in (SHOWN, HIDDEN):
         return named == HIDDEN
-    names: set[str] = set()
-    for name, *value in _ATTR.findall(attrs):
-        if name.lower() in ("class", "id", "role"):
-            for token in "".join(value).split():
-                parts = {x.lower() for x in _PARTS.findall(token)}
-                if not parts & STATE_WORDS:
-                    names |= parts | {token.lower()}
-    return bool(names & AD_WORDS)
+    certain, doubtful, _ = _names(attrs)
+    return bool((certain | doubtful) & AD_WORDS)
 
 
 class _Page:
@@ -139,29 +194,29 @@ class _Page:
 
     def __init__(self, page: str):
         self.page, self.found = page, []
-        self.stack: list[tuple[str, int, int]] = []  # open block elements: name, how much surroundings, main text
+        self.stack: list[tuple[str, int, int, int]] = []  # open block elements: name, how much surroundings, main text, doubtful name
         self.opened: Counter[str] = Counter()
         self.parts: list[str] = []
         self.links = 0
         self.in_link = self.heading = False
         self.skipped, self.skip_depth, self.skip_below = "", 0, 0  # an inline element of surroundings
-        self.mains = 0
+        self.mains = self.doubts = 0
         self._read()
         self._close()
 
     def _text(self, piece: str) -> None:
         if self.skipped:
             return
-        piece = html.unescape(piece)
+        piece = _decoded(piece)
         self.parts.append(piece)
         if self.in_link:
             self.links += len(_SPACE.sub("", piece))
 
     def _close(self) -> None:
         joined = _SPACE.sub(" ", "".join(self.parts)).strip()
-        _, chrome, main = self.stack[-1] if self.stack else ("", SHOWN, 0)
+        _, chrome, main, doubtful = self.stack[-1] if self.stack else ("", SHOWN, 0, 0)
         if joined and chrome < HIDDEN:
-            self.found.append(_Block(joined, self.links, chrome, main, self.heading))
+            self.found.append(_Block(joined, self.links, chrome, main, self.heading, doubtful))
         self.parts, self.links = [], 0
 
     def _pop(self) -> str:
@@ -193,7 +248,7 @@ class _Page:
             if m["tag"] is None:
                 continue
             tag, attrs = m["tag"].lower(), m["attrs"]
-            closed = tag in VOID_TAGS or attrs.endswith("/") and not _UNQUOTED.search(attrs)
+            closed = tag in VOID_TAGS or _closes_itself(attrs)
             if m["end"]:
                 self._end(tag)
             elif tag in _RAW_END and not closed:
@@ -224,8 +279,8 @@ class _Page:
                 self._pop()
         elif "-" not in tag and self.stack and self.stack[-1][0] == "p":
             self._pop()
-        _, chrome, main = self.stack[-1] if self.stack else ("", SHOWN, 0)
-        named, named_main, kind = _attributes(tag, attrs)
+        _, chrome, main, doubtful = self.stack[-1] if self.stack else ("", SHOWN, 0, 0)
+        named, named_main, kind, doubted = _attributes(tag, attrs)
         kind = tag if tag in ("article", "main") else kind
         if kind and chrome <= (APART if kind == "main" else NAMED):
             chrome = SHOWN
@@ -234,8 +289,11 @@ class _Page:
             own = max(own, named)
         if (kind or named_main) and not main:
             self.mains += 1
-            main = self.mains
-        self.stack.append((tag, max(chrome, own), main))
+            main, doubtful = self.mains, 0
+        if doubted and not doubtful and not named_main:
+            self.doubts += 1
+            doubtful = self.doubts
+        self.stack.append((tag, max(chrome, own), main, doubtful))
         self.opened[tag] += 1
         self.heading = tag in _HEADINGS
         self.in_link = False
@@ -262,22 +320,42 @@ def blocks(page: str) -> list[_Block]:
     return _Page(page).found
 
 
+def _stop_words(found: list[_Block], rules: BlockRules) -> set[str]:
+    """The known stop words or, if the page's longer blocks hold few of them, the most frequent words of those blocks."""
+    prose = [w for b in found if not b.chrome and b.size >= rules.short and b.linked <= rules.links for w in b.words]
+    if sum(w in STOP_WORDS for w in prose) >= rules.stop_low * len(prose):
+        return STOP_WORDS
+    ranked = sorted(Counter(prose).items(), key=lambda x: (-x[1], x[0]))
+    return STOP_WORDS | {w for w, n in ranked[: rules.learned] if n > 1}
+
+
 def _first_pass(b: _Block, rules: BlockRules) -> str:
-    size = len(b.text)
-    linked = b.link_chars / max(1, len(_SPACE.sub("", b.text)))
-    if b.chrome or linked > (rules.links_article if b.main else rules.links):
+    if b.chrome or b.linked > (rules.links_article if b.main else rules.links):
         return "bad"
-    if size < rules.short:
+    if b.size < rules.short:
         return "bad" if b.link_chars and not b.main else "short"
-    words = [w.lower() for w in _WORD.findall(b.text)]
-    density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if density >= rules.stop_high:
-        return "good" if size > rules.long or b.main else "near"
-    if density >= rules.stop_low:
+    if b.density >= rules.stop_high:
+        return "good" if b.size > rules.long or b.main else "near"
+    if b.density >= rules.stop_low:
         return "good" if b.main else "near"
     return "near" if b.main else "bad"
 
 
+def _decide(found: list[_Block], rules: BlockRules) -> None:
+    """First pass over all blocks. An element of a doubtful name is surroundings unless a long block in it has many stop words."""
+    stop = _stop_words(found, rules)
+    outvoted: set[int] = set()
+    for b in found:
+        words = b.words
+        b.density = sum(w in stop for w in words) / max(1, len(words))
+        b.label = _first_pass(b, rules)
+        if b.doubtful and b.label == "good" and b.size > rules.long and b.density >= rules.stop_high:
+            outvoted.add(b.doubtful)
+    for b in found:
+        if b.doubtful and b.doubtful not in outvoted:
+            b.label = "bad"
+
+
 def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
     """The main text of one page, its blocks in order, one space between; empty if there is none.
 
@@ -312,8 +390,7 @@ def _nearest(found: list[_Block]) -> list[tuple[int, str]]:
 
 
 def _joined(found: list[_Block], rules: BlockRules) -> str:
-    for b in found:
-        b.label = _first_pass(b, rules)
+    _decide(found, rules)
     before, after = _nearest(found), _nearest(found[::-1])[::-1]
     good_seen = any(b.label == "good" for b in found)
     final = []
@@ -343,7 +420,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     First pass: a block mostly of links, or within navigation, page header, footer, sidebar, form, advert,
     notice or reader comments, is bad; its length and share of stop words make any other good, near, short
-    or bad, where less is asked of a block within an article element. Second pass: near and short blocks
+    or bad, where less is asked of a block within an article element. Elements are known by their kind and
+    by class, id and role; a name with words beyond those of layout (search-results) is outvoted by long
+    prose in its element, except for adverts and comments. Stop words are those of English, French, German and
+    Spanish, or the page's own most frequent words where it has few of these; scripts without spaces
+    count by character. Second pass: near and short blocks
     take the label of the nearest decided blocks around them, within an article of the nearest in it; an
     article in which none is decided is text. The good blocks are the text. Reading and both passes take
     time in proportion to the page's length, whatever its markup.

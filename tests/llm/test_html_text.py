@@ -103,3 +103,55 @@ def test_time_in_proportion_to_the_page():
         main_text(page)
     long = "word and the " * 200_000
     assert main_text(f"<article><p>{long}</p></article>") == long.strip() and time.time() - start < 60
+
+
+def test_references_beyond_unicode():
+    assert main_text(f"<article><p>a&#{'9' * 5000};b &#x{'f' * 5000};c &#{'0' * 5000}65;d &#x0000000041;e&#99999999</p></article>") == "a\ufffdb \ufffdc Ad Ae\ufffd"
+
+
+def test_slashes_at_the_end_of_tags():
+    import time
+
+    start = time.time()
+    for attrs in ("=" * 200_000 + " /", "a" * 200_000 + "/", "= " * 100_000 + "/", "a=b/ " * 50_000 + "/"):
+        assert main_text(f"<article><p>One</p><b {attrs}>x</article>").startswith("One")
+    assert time.time() - start < 5
+    assert main_text("<article><p>One</p><div class= ad data-u = /x/>no</div><p>Two</p></article>") == "One Two"
+    assert main_text("<article><p>One</p><div class=ad data-u='x'/><p>Two</p></article>") == "One Two"
+
+
+def test_doubtful_names_are_outvoted_by_prose():
+    for name in ("notice-of-sale", "search-results", "social-history", "share-price", "related-work", "searchGuide"):
+        assert main_text(f'<article><p>One</p><div class="{name}"><p>{PROSE}</p><p>Short.</p></div></article>') == f"One {P} Short.", name
+        assert main_text(f'<body><p>{PROSE}</p><div class="{name}"><p>Buy one</p></div></body>') == P, name
+        assert main_text(f'<body><div class="{name}"><p>{PROSE}</p></div></body>') == P, name
+    for name in ("comment-by-reader", "ad-for-shoes", "sidebar", "cookie-notice", "newsletter-box", "related-posts", "share-buttons", "left-sidebar"):
+        assert main_text(f'<article><p>One</p><div class="{name}"><p>{PROSE}</p></div></article>') == "One", name
+
+
+POLISH = (
+    "Miasto leży nad rzeką i ma długą historię, którą opowiadano na wiele sposobów. W średniowieczu było to ważne miejsce na szlaku, a kupcy przyjeżdżali tu z wielu stron. "
+    "Na rynku stoi ratusz, a obok niego kościół, który zbudowano w tym samym czasie. Z wieży widać rzekę i pola, a w pogodne dni także góry na południu. "
+)
+CHINESE = "这座城市的历史很长，有很多人讲过它的故事。在古代，这里是商人来往的地方，他们从很远的地方来到这里。城市的中心有一座很大的广场，广场的旁边是一座古老的教堂，它是在同一个时代建造的。"
+
+
+def test_other_languages_without_article_elements():
+    links = "".join(f'<a href="/{k}">Strona {k}</a> ' for k in range(9))
+    for text, rest in ((POLISH, "Wszelkie prawa"), (CHINESE, "版权所有")):
+        page = f"<body><div>{links}</div><div>{text * 2}</div><div>{text}</div><div>{links}</div><div>{rest} <a href=x>{rest}</a></div></body>"
+        assert main_text(page) == f"{text * 2}{'' if text[-1] == ' ' else ' '}{text}".strip()
+
+
+def test_random_markup_in_proportion_to_its_length():
+    import random
+    import time
+
+    r = random.Random(4)
+    bits = ["<", ">", "/", "=", '"', "'", "&#", "9" * 50, "x", " ", "<b ", "class=", "<div ", "</", "<!--", "-->", "<![CDATA[", "]]>", "<script>", "</script", "&amp", ";", "hidden", "style=display", ":none", "<p>", "\n", "<a href=", "<x-y", "é"]
+    for seed in range(20):
+        weights = [r.random() ** 4 for _ in bits]
+        page = "".join(r.choices(bits, weights, k=200_000))
+        start = time.time()
+        main_text(page)
+        assert time.time() - start < 1 + len(page) / 1e6 * 3, (seed, len(page))
