@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quakeloom.operators.ordered import exact_quantiles
+
 EPS32 = 1.1920929e-07
 EPS64 = 2.220446049250313e-16
 
@@ -15,11 +17,22 @@ def explode_channels(rows: DataFrame, sample: str, values: str) -> DataFrame:
 
 
 def robust_scale(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per group: median and scale, 1.4826 times the median absolute deviation or, if that is 0, the population deviation."""
+    """Per group: median and scale, 1.4826 times the median absolute deviation or, if that is 0, the population deviation.
+
+    With keys a group is what one task can hold, as the samples of a window; without, all rows are one group
+    and both medians are found by :func:`exact_quantiles`, in no single task.
+    """
+    scale = F.when(F.col("mad__") <= EPS64, F.col("sd__")).otherwise(F.col("mad__")).alias("scale")
+    if not keys:
+        centre = exact_quantiles(rows, [], value, {"median": 0.5}).select("median")
+        far = rows.select(value).join(F.broadcast(centre), F.lit(True)).select(F.abs(F.col(value) - F.col("median")).alias("far__"))
+        mad = exact_quantiles(far, [], "far__", {"m__": 0.5}).select((1.4826 * F.col("m__")).alias("mad__"))
+        spread = rows.agg(F.stddev_pop(value).alias("sd__"))
+        return centre.join(mad, F.lit(True)).join(spread, F.lit(True)).select("median", scale)
     med = rows.groupBy(*keys).agg(F.median(value).alias("median"), F.stddev_pop(value).alias("sd__"))
-    dev = rows.join(med, keys) if keys else rows.crossJoin(F.broadcast(med))
+    dev = rows.join(med, keys)
     mad = dev.groupBy(*keys, "median", "sd__").agg((1.4826 * F.median(F.abs(F.col(value) - F.col("median")))).alias("mad__"))
-    return mad.select(*keys, "median", F.when(F.col("mad__") <= EPS64, F.col("sd__")).otherwise(F.col("mad__")).alias("scale"))
+    return mad.select(*keys, "median", scale)
 
 
 def robust_z(values: DataFrame, reference: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

@@ -18,15 +18,6 @@ from quakeloom.tables import written
 PART = "part__"
 
 
-def _col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    """Whether two rows have the same keys, null with null."""
-    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys], F.lit(True))
-
-
 def ranged(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """``rows`` as a written table with the number of the range partition of (keys, order) in ``PART``.
 
@@ -105,16 +96,21 @@ def _digit(bits: Column, level: int) -> Column:
     return (top.bitwiseXOR(F.lit(0x8000)) if level == 0 else top).cast("int")
 
 
-def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+#: Values left around a wanted rank that are sorted as they are, and not counted by further bits.
+FEW = 65_536
+
+
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probs: dict[str, float], few: int = FEW) -> DataFrame:
     """Per group: n (values that are not null) and, for each named probability, the exact interpolated quantile.
 
     As ``percentile``, which holds every distinct value of a group in one task; here no task does. Values are
-    numbers of 64 bits that order alike. Four rounds count them by 16 bits at a time, each round among the
-    values that share the bits found so far with a wanted rank; counts are combined before they are shuffled, so
-    a round moves at most 65,536 counts a wanted rank and task. NaN is greater than all numbers, as in Spark's
-    order, -0.0 is 0.0, null does not count, and a group without values has n = 0 and nulls.
+    numbers of 64 bits that order alike. A round counts them by 16 bits, among the values that share the
+    bits found so far with a wanted rank; counts are combined before they are shuffled, so a round moves at
+    most 65,536 counts a wanted rank and task. Once no wanted rank has more than ``few`` values left, or
+    after four rounds, the distinct values left are counted. NaN is greater than all numbers, as in
+    Spark's order, -0.0 is 0.0, null does not count, and a group without values has n = 0 and nulls.
 
-    ``rows`` is written once, with only its keys and value.
+    ``rows`` is written once, with only its keys and value; the number of values left is all that the driver reads.
     """
     slim = rows.select(*keys, F.col(value).cast("double").alias("x__"))
     slim = written(slim.withColumn("bits__", order_bits(F.col("x__"))), "values")
@@ -123,30 +119,42 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probs: dict[st
     asked = sizes.filter("n > 0").select(*keys, F.explode(items).alias("i")).select(*keys, "i.name", "i.spot")
     ends = F.array(F.floor("spot"), F.ceil("spot"))
     wanted = asked.select(*keys, "name", (F.col("spot") - F.floor("spot")).alias("part"), F.posexplode(ends).alias("end", "rank"))
-    found: list[str] = []
     left = slim.filter("x__ is not null").withColumns({f"d{k}": _digit(F.col("bits__"), k) for k in range(4)})
-    for k in range(4):
-        on = [*keys, *found]
-        if on:
-            places = wanted.select(*on).distinct()
-            other = places.select(*[F.col(c).alias(f"{c}__r") for c in on])
-            match = reduce(lambda x, y: x & y, [left[c].eqNullSafe(other[f"{c}__r"]) for c in on])
-            left = left.join(other, match, "left_semi")
-        counts = left.groupBy(*on, f"d{k}").agg(F.count("*").alias("c__"), F.min("x__").alias("least__"))
-        below = Window.partitionBy(*on).orderBy(f"d{k}").rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.withColumn("below__", F.coalesce(F.sum("c__").over(below), F.lit(0)))
-        other = counts.select(*[F.col(c).alias(f"{c}__r") for c in on], f"d{k}", "c__", "below__", "least__")
-        match = reduce(lambda x, y: x & y, [wanted[c].eqNullSafe(other[f"{c}__r"]) for c in on], (F.col("rank") >= F.col("below__")) & (F.col("rank") < F.col("below__") + F.col("c__")))
-        narrowed = wanted.drop("least__").join(other, match).withColumn("rank", F.col("rank") - F.col("below__"))
-        wanted = written(narrowed.drop(*[f"{c}__r" for c in on], "c__", "below__"), "ranks")
-        found.append(f"d{k}")
+    found: list[str] = []
+    while len(found) < 4:
+        wanted = written(_narrowed(left, wanted, keys, found, f"d{len(found)}"), "ranks")
+        found.append(f"d{len(found)}")
+        if (wanted.agg(F.max("c__")).first()[0] or 0) <= few:
+            break
+    if len(found) < 4:
+        wanted = _narrowed(left, wanted, keys, found, "bits__")
     end = lambda k: F.max(F.when(F.col("end") == k, F.col("least__")))
     pairs = wanted.groupBy(*keys, "name").agg(end(0).alias("lo"), end(1).alias("hi"), F.max("part").alias("part"))
     # as percentile: equal ends are the value, so that infinities stay
     between = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((1 - F.col("part")) * F.col("lo") + F.col("part") * F.col("hi"))
     pivot = pairs.withColumn("q", between).groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col("q"))).alias(name) for name in probs])
-    other = pivot.select(*[F.col(c).alias(f"{c}__r") for c in keys], *probs)
+    return _left_join(sizes, pivot, keys).select(*keys, "n", *probs)
+
+
+def _left_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``a`` with the columns of ``b`` by null-safe keys, which come from ``a``."""
     if not keys:
-        return sizes.join(other, F.lit(True), "left")
-    match = reduce(lambda x, y: x & y, [sizes[c].eqNullSafe(other[f"{c}__r"]) for c in keys])
-    return sizes.join(other, match, "left").select(*keys, "n", *probs)
+        return a.join(b, F.lit(True), how)
+    b = b.withColumnsRenamed({c: f"{c}__r" for c in keys})
+    return a.join(b, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}__r")) for c in keys]), how).drop(*[f"{c}__r" for c in keys])
+
+
+def _narrowed(left: DataFrame, wanted: DataFrame, keys: list[str], found: list[str], digit: str) -> DataFrame:
+    """``wanted`` with the next ``digit`` of each rank, the rank within it, its number of values and the least of them.
+
+    ``left`` has the digits of all values; those that share no wanted rank's digits so far are passed over.
+    """
+    on = [*keys, *found]
+    if found:
+        left = _left_join(left, wanted.select(*on).distinct(), on, "left_semi")
+    counts = left.groupBy(*on, digit).agg(F.count("*").alias("c__"), F.min("x__").alias("least__"))
+    below = Window.partitionBy(*on).orderBy(digit).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("below__", F.coalesce(F.sum("c__").over(below), F.lit(0)))
+    here = (F.col("rank") >= F.col("below__")) & (F.col("rank") < F.col("below__") + F.col("c__"))
+    placed = _left_join(wanted.drop("c__", "least__"), counts, on, "inner").filter(here)
+    return placed.withColumn("rank", F.col("rank") - F.col("below__")).drop("below__")

@@ -30,15 +30,15 @@ def test_bits_order_as_doubles(spark):
         assert math.isnan(two.x) or one.x <= two.x
 
 
-@pytest.mark.parametrize("keys", [[], ["k"]])
-def test_quantiles_equal_percentile(eight, keys):
+@pytest.mark.parametrize("keys, few", [([], 0), (["k"], 0), (["k"], 100), (["k"], ordered.FEW)])
+def test_quantiles_equal_percentile(eight, keys, few):
     r = random.Random(2)
     rows = [("hot", r.gauss(0, 1)) for _ in range(3000)] + [("ties", r.choice([1.5, -2.0, 7.0])) for _ in range(501)] + [("one", 3.25), ("none", None), (None, 1.0), (None, 2.0), (None, None), ("odd", -0.0), ("odd", float("inf")), ("odd", float("inf"))]
     rows += [("wide", 10.0 ** r.randint(-300, 300)) for _ in range(400)] + [("nan", float("nan")), ("nan", 1.0), ("nan", 2.0)]
     df = eight.createDataFrame(rows, "k string, x double").repartition(5)
     probs = {"p10": 0.1, "median": 0.5, "p95": 0.95, "top": 1.0, "low": 0.0}
     want = df.groupBy(*keys).agg(F.count("x").alias("n"), *[F.percentile("x", p).alias(name) for name, p in probs.items()])
-    one, two = (sorted((tuple(x) for x in d.select(*keys, "n", *probs).collect()), key=str) for d in (ordered.exact_quantiles(df, keys, "x", probs), want))
+    one, two = (sorted((tuple(x) for x in d.select(*keys, "n", *probs).collect()), key=str) for d in (ordered.exact_quantiles(df, keys, "x", probs, few), want))
     assert len(one) == len(two)
     for a, b in zip(one, two):
         for x, y in zip(a, b):
