@@ -57,9 +57,39 @@ def hard_negative_baseline(spark: SparkSession, d: str) -> DataFrame:
     return c.agg(F.count("*").alias("channel_count"), F.round(F.median("c"), 6).alias("median"), q(0.9).alias("p90"), q(0.95).alias("p95"), F.round(F.max("c"), 6).alias("maximum"), F.round(F.avg((F.col("c") >= 0.3).cast("double")), 6).alias("fraction_above"))
 
 
+#: Every 96 vectors are an event: samples of 64 channels at 40 a second, noise before its origin and signal after it.
+DETECT = detection.DetectionOptions(noise=(-1.2, 0.0), signal=(0.0, 1.2), block=8, min_z=1.5, min_fraction=0.5, rate_hz=40.0, min_ratio=1.0)
+
+
+def _event_samples(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("vec_id")
+    rows = _traces(spark, d).select(F.floor(k / 96).cast("long").alias("event_id"), (k % 96).cast("long").alias("sample"), F.posexplode("v").alias("channel", "value"))
+    return rows.withColumn("t", (F.col("sample") - 48) / 40.0)
+
+
 def detection_summary(spark: SparkSession, d: str) -> DataFrame:
-    s = _traces(spark, d).select(F.col("vec_id").alias("sample"), F.when(F.col("label") < 5, -1.0).otherwise(1.0).alias("t"), F.posexplode("v").alias("channel", "value"))
-    out = detection.detection_summary(s, detection.DetectionOptions(noise=(-2.0, 0.0), signal=(0.0, 2.0), block=8, min_z=2.5))
+    """Every event's verdict or error; usable frequency ranges as their number, their first frequency and their width together."""
+    out = detection.detect_events(_event_samples(spark, d), DETECT)
+    ranges = F.col("usable_power_snr_ranges_hz")
+    out = out.withColumns({"usable_ranges": F.size(ranges), "usable_first_hz": F.get(F.get(ranges, 0), 0), "usable_hz": F.aggregate(ranges, F.lit(0.0), lambda w, r: w + r[1] - r[0])})
+    out = out.withColumn("usable_ranges", F.when(F.col("error").isNull(), F.col("usable_ranges"))).drop("usable_power_snr_ranges_hz", "signal_first", "signal_last")
+    return out.withColumns({c: F.round(c, 6) for c, x in out.dtypes if x == "double"})
+
+
+def detection_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Every block of channels of every event without an error."""
+    samples = _event_samples(spark, d).withColumn("rate_hz", F.lit(DETECT.rate_hz))
+    env = samples.groupBy("event_id", "sample", "t", "rate_hz").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("value"))
+    out = detection.event_blocks(detection.mark_windows(samples, detection.event_windows(env, DETECT), DETECT), DETECT)
+    return out.withColumns({c: F.round(c, 6) for c, x in out.dtypes if x == "double"})
+
+
+def event_spectra(spark: SparkSession, d: str) -> DataFrame:
+    """Every event's median power in noise and signal, bin by bin."""
+    samples = _event_samples(spark, d).withColumn("rate_hz", F.lit(DETECT.rate_hz))
+    env = samples.groupBy("event_id", "sample", "t", "rate_hz").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("value"))
+    windows = detection.event_windows(env, DETECT)
+    out = detection.event_spectra(detection.mark_windows(samples, windows, DETECT), windows, DETECT)
     return out.withColumns({c: F.round(c, 6) for c, x in out.dtypes if x == "double"})
 
 
@@ -89,8 +119,53 @@ def single_anchor_scoring(spark: SparkSession, d: str) -> DataFrame:
     return compare.score_shortlist(waveform_pair_metrics(spark, d), shortlist, "0", SHORT)
 
 
-QUERIES = {f.__name__: f for f in (bandpass, welch_psd, multitaper, resample, interpolate, brune_fit, hard_negative_baseline, detection_summary, waveform_pair_metrics, single_anchor_scoring)}
+_DET = """WITH s AS (SELECT vec_id // 96 AS event_id, vec_id % 96 AS sample, (vec_id % 96 - 48) / 40.0::DOUBLE AS t, unnest(range(0, 64)) AS channel, unnest(embedding)::DOUBLE AS x FROM embeddings),
+env AS (SELECT event_id, sample, t, sqrt(avg(x * x)) AS v FROM s GROUP BY ALL),
+top AS (SELECT event_id, max(v) AS v FROM env WHERE t >= 0 GROUP BY 1),
+win AS (
+  SELECT event_id, count(*) FILTER (WHERE t < 0) AS noise_samples, count(*) FILTER (WHERE t >= 0) AS signal_samples, min(t) FILTER (WHERE t >= 0 AND env.v = top.v) AS peak_t, any_value(top.v) AS peak
+  FROM env LEFT JOIN top USING (event_id) GROUP BY 1
+), ev AS (SELECT *, CASE WHEN noise_samples < 40 THEN 'too little noise' WHEN peak_t IS NULL THEN 'empty signal window' WHEN signal_samples < 20 THEN 'too little signal' END AS error FROM win),
+good AS (SELECT *, least(1024, noise_samples, signal_samples) AS n FROM ev WHERE error IS NULL),
+g AS (SELECT s.* FROM s JOIN good USING (event_id)),
+chan AS (SELECT event_id, channel, sqrt(avg(x * x) FILTER (WHERE t >= 0)) / (sqrt(avg(x * x) FILTER (WHERE t < 0)) + 1.1920929e-07::DOUBLE) AS snr FROM g GROUP BY 1, 2),
+m1 AS (SELECT event_id, median(v) AS med, stddev_pop(v) AS sd FROM env JOIN good USING (event_id) WHERE t < 0 GROUP BY 1),
+m2 AS (SELECT event_id, med, sd, 1.4826::DOUBLE * median(abs(v - med)) AS mad FROM env JOIN m1 USING (event_id) WHERE t < 0 GROUP BY 1, 2, 3),
+z AS (SELECT event_id, (peak - med) / (CASE WHEN mad <= 2.220446049250313e-16::DOUBLE THEN sd ELSE mad END + 2.220446049250313e-16::DOUBLE) AS peak_robust_z FROM m2 JOIN good USING (event_id)),
+be AS (SELECT event_id, channel // 8 AS block_id, sample, t, sqrt(avg(x * x)) AS v FROM g GROUP BY ALL),
+b1 AS (SELECT event_id, block_id, median(v) AS med, stddev_pop(v) AS sd FROM be WHERE t < 0 GROUP BY 1, 2),
+b2 AS (SELECT event_id, block_id, med, sd, 1.4826::DOUBLE * median(abs(v - med)) AS mad FROM be JOIN b1 USING (event_id, block_id) WHERE t < 0 GROUP BY ALL),
+bp AS (SELECT event_id, block_id, max(v) AS v FROM be WHERE t >= 0 GROUP BY 1, 2),
+bz AS (SELECT event_id, block_id, (v - med) / (CASE WHEN mad <= 2.220446049250313e-16::DOUBLE THEN sd ELSE mad END + 2.220446049250313e-16::DOUBLE) AS z FROM bp JOIN b2 USING (event_id, block_id)),
+blocks AS (SELECT c.event_id, channel // 8 AS block_id, min(channel)::INT AS column_start, max(channel)::INT AS column_end, count(*) AS sampled_channel_count, median(snr) AS median_channel_snr, any_value(z) AS peak_robust_z, any_value(z) >= 1.5 AS detected
+  FROM chan c JOIN bz ON bz.event_id = c.event_id AND bz.block_id = channel // 8 GROUP BY 1, 2),
+ser AS (SELECT event_id, channel, t >= 0 AS sig, n, list(x ORDER BY sample) AS v FROM g JOIN good USING (event_id) GROUP BY 1, 2, 3, 4),
+seg AS (SELECT event_id, channel, sig, n, v[p + 1:p + n] AS y FROM (SELECT *, unnest(range(0, len(v) - n + 1, n - n // 2)) AS p FROM ser)),
+tap AS (SELECT event_id, channel, sig, n, list_transform(y, lambda a, i: (a - list_avg(y)) * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / n))) AS y FROM seg),
+fre AS (SELECT *, unnest(range(0, n // 2 + 1)) AS bin FROM tap),
+pow AS (SELECT event_id, channel, sig, n, bin, avg((list_sum(list_transform(y, lambda a, i: a * cos(2 * pi() * bin * (i - 1) / n))) ** 2 + list_sum(list_transform(y, lambda a, i: a * sin(2 * pi() * bin * (i - 1) / n))) ** 2)
+  / (40 * 0.375 * n) * CASE WHEN bin = 0 OR 2 * bin = n THEN 1 ELSE 2 END) AS p FROM fre GROUP BY 1, 2, 3, 4, 5),
+spec AS (SELECT event_id, bin, any_value(bin * (40.0::DOUBLE / n)) AS frequency_hz, median(p) FILTER (WHERE sig) AS signal_power, median(p) FILTER (WHERE NOT sig) AS noise_power FROM pow GROUP BY 1, 2),
+rat AS (SELECT *, signal_power / (noise_power + 1.1920929e-07::DOUBLE) AS power_ratio FROM spec),
+isl AS (SELECT *, bin - row_number() OVER (PARTITION BY event_id ORDER BY bin) AS k FROM rat WHERE power_ratio >= 1.0),
+ran AS (SELECT event_id, min(frequency_hz) AS a, max(frequency_hz) AS z FROM isl GROUP BY event_id, k HAVING count(*) >= 2),
+use AS (SELECT event_id, count(*) AS usable_ranges, min(a) AS usable_first_hz, sum(z - a) AS usable_hz FROM ran GROUP BY 1),
+adj AS (SELECT a.event_id, a.channel, CASE WHEN sqrt(var_pop(a.x) * var_pop(b.x)) * count(*) > 2.220446049250313e-16::DOUBLE THEN covar_pop(a.x, b.x) / sqrt(var_pop(a.x) * var_pop(b.x)) END AS c
+  FROM g a JOIN g b ON a.event_id = b.event_id AND a.sample = b.sample AND b.channel = a.channel + 1 WHERE a.t >= 0 GROUP BY 1, 2)
+"""
+
+QUERIES = {f.__name__: f for f in (bandpass, welch_psd, multitaper, resample, interpolate, brune_fit, hard_negative_baseline, detection_summary, detection_blocks, event_spectra, waveform_pair_metrics, single_anchor_scoring)}
 SQL = {
+    "detection_summary": _DET + """, cs AS (SELECT event_id, median(snr) AS m, quantile_cont(snr, 0.1) AS p10, count(*) AS n, min(channel)::INT AS c0, max(channel)::INT AS c1 FROM chan GROUP BY 1),
+bs AS (SELECT event_id, count(*) AS n, avg(detected::DOUBLE) AS f FROM blocks GROUP BY 1),
+as_ AS (SELECT event_id, median(c) AS m, median(abs(c)) AS a FROM adj GROUP BY 1)
+SELECT ev.event_id, ev.error, ev.noise_samples, ev.signal_samples, round(ev.peak_t, 6) AS peak_t, round(peak_robust_z, 6) AS peak_robust_z, round(cs.m, 6) AS median_channel_snr, round(cs.p10, 6) AS p10_channel_snr,
+  cs.n AS sampled_channel_count, cs.c0 AS column_start, cs.c1 AS column_end, bs.n AS block_count, round(bs.f, 6) AS detected_block_fraction, round(as_.m, 6) AS median_adjacent_correlation, round(as_.a, 6) AS median_absolute_adjacent_correlation,
+  CASE WHEN ev.error IS NULL THEN peak_robust_z >= 1.5 AND bs.f >= 0.5 END AS detected, CASE WHEN ev.error IS NOT NULL THEN 'ERROR' WHEN peak_robust_z >= 1.5 AND bs.f >= 0.5 THEN 'PASS' ELSE 'STOP' END AS status,
+  CASE WHEN ev.error IS NULL THEN coalesce(usable_ranges, 0) END::INT AS usable_ranges, round(usable_first_hz, 6) AS usable_first_hz, CASE WHEN ev.error IS NULL THEN round(coalesce(usable_hz, 0), 6) END AS usable_hz
+FROM ev LEFT JOIN z USING (event_id) LEFT JOIN cs USING (event_id) LEFT JOIN bs USING (event_id) LEFT JOIN as_ USING (event_id) LEFT JOIN use USING (event_id)""",
+    "detection_blocks": _DET + "SELECT event_id, block_id, column_start, column_end, sampled_channel_count, round(median_channel_snr, 6) AS median_channel_snr, round(peak_robust_z, 6) AS peak_robust_z, detected FROM blocks",
+    "event_spectra": _DET + "SELECT event_id, bin::INT AS bin, round(frequency_hz, 6) AS frequency_hz, round(signal_power, 6) AS signal_power, round(noise_power, 6) AS noise_power, round(power_ratio, 6) AS power_ratio FROM rat",
     "interpolate": "SELECT vec_id, k::INT AS k, round((embedding[k + 1]::DOUBLE + embedding[k + 2]::DOUBLE) / 2, 6) + 0.0::DOUBLE AS x FROM embeddings, (SELECT unnest(range(0, 32)) AS k)",
     "brune_fit": "SELECT p_partkey, round((p_partkey % 30 + 8)::DOUBLE, 3) AS corner_hz, 1.7::DOUBLE AS omega_ratio, 138 AS points, 'PASS' AS status FROM part",
     "hard_negative_baseline": """WITH z AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x - list_avg(embedding::DOUBLE[])) AS z FROM embeddings),
