@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ["family_queries", "catalogue_queries", "coverage_queries", "array_queries", "scalar_queries", "text_queries", "signal_queries", "status_queries", "report_queries"]
+MODULES = ["family_queries", "catalogue_queries", "coverage_queries", "array_queries", "scalar_queries", "text_queries", "signal_queries", "window_queries", "status_queries", "report_queries"]
 
 
 def collect() -> tuple[dict[str, Callable], dict[str, str]]:
