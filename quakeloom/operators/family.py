@@ -50,6 +50,17 @@ def family_scores(edges: DataFrame, population: DataFrame, opts: FamilyOptions =
     )
 
 
+def scores_of_top(top: DataFrame, opts: FamilyOptions = FamilyOptions()) -> DataFrame:
+    """As :func:`family_scores` from what :func:`pairs.top_anchor_scores` keeps of each event and family; scores are rounded as margins are."""
+    best = F.slice("top", 1, opts.max_anchors)
+    if opts.digits is not None:
+        best = F.transform(best, lambda x: F.round(x, opts.digits))
+    rows = top.select("event_id", "scored_sequence_id", "eligible_anchor_count", best.alias("best"))
+    n = F.size("best")
+    middle = (F.get("best", F.floor((n - 1) / 2).cast("int")) + F.get("best", F.floor(n / 2).cast("int"))) / 2
+    return rows.select("event_id", "scored_sequence_id", middle.alias("family_score"), "eligible_anchor_count", n.cast("long").alias("anchors_used"))
+
+
 def all_family_scores(scores: DataFrame, population: DataFrame) -> DataFrame:
     """:func:`family_scores` with a row for every event and family, null and 0 where there is no anchor."""
     families = population.select(F.col("sequence_id").alias("scored_sequence_id")).distinct()

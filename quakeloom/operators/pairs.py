@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def _blocked_pairs(vectors: DataFrame, run, ddl: str, block: int) -> DataFrame:
@@ -34,6 +35,13 @@ def _items(scalar) -> tuple[np.ndarray, np.ndarray]:
     return ids, v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows without their mean and of length 1; NaN for a row without energy."""
+    v = v - v.mean(axis=1, keepdims=True)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
 def _emit(ids_x, ids_y, same: bool, columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
     a, b = np.meshgrid(np.arange(len(ids_x)), np.arange(len(ids_y)), indexing="ij")
     a, b = a.ravel(), b.ravel()
@@ -57,9 +65,7 @@ def pair_correlation(vectors: DataFrame, block: int = 512) -> DataFrame:
         for batch in batches:
             for i, j, x, y in zip(*batch.columns, strict=True):
                 (ids_x, vx), (ids_y, vy) = _items(x), _items(y)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    unit = [m / np.sqrt((m * m).sum(axis=1, keepdims=True)) for m in (v - v.mean(axis=1, keepdims=True) for v in (vx, vy))]
-                yield from _emit(ids_x, ids_y, i == j, [unit[0] @ unit[1].T], ["score"])
+                yield from _emit(ids_x, ids_y, i == j, [_unit(vx) @ _unit(vy).T], ["score"])
 
     out = _blocked_pairs(vectors.select(F.col("id").cast("string").alias("id"), "v"), run, "a string, b string, score double", block)
     return out.select("a", "b", F.nanvl("score", F.lit(None).cast("double")).alias("score"))
@@ -97,6 +103,79 @@ def pair_lagged_peak(vectors: DataFrame, max_lag: int, block: int = 256) -> Data
     return out.select("a", "b", F.nanvl("score", F.lit(None).cast("double")).alias("score"), F.col("shift").alias("lag"))
 
 
+class _Best:
+    """For the events of one block: by family of anchors, how many scores there were and the ``k`` greatest of them."""
+
+    def __init__(self, ids: list, k: int):
+        self.ids, self.k, self.count, self.top = ids, k, {}, {}
+
+    def add(self, scores: np.ndarray, families: list) -> None:
+        """Scores of all events (rows) with anchors (columns); -inf where there is none."""
+        columns: dict = {}
+        for c, family in enumerate(families):
+            columns.setdefault(family, []).append(c)
+        for family, at in columns.items():
+            own = scores[:, at]
+            self.count[family] = self.count.get(family, 0) + (own > -np.inf).sum(axis=1)
+            both = np.concatenate([self.top[family], own], axis=1) if family in self.top else own
+            self.top[family] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :] if both.shape[1] > self.k else both
+
+    def batch(self, family_type: pa.DataType) -> pa.RecordBatch:
+        events, families, counts, tops = [], [], [], []
+        for family, n in self.count.items():
+            for row in np.flatnonzero(n):
+                t = self.top[family][row]
+                events.append(self.ids[row])
+                families.append(family)
+                counts.append(int(n[row]))
+                tops.append(t[t > -np.inf].tolist())
+        columns = [pa.array(events, pa.string()), pa.array(families, family_type), pa.array(counts, pa.int64()), pa.array(tops, pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["event_id", "scored_sequence_id", "n", "top"])
+
+
+def top_anchor_scores(vectors: DataFrame, population: DataFrame, k: int, block: int = 512, stripe: int = 64) -> DataFrame:
+    """(event_id, scored_sequence_id, eligible_anchor_count, top): per event and family of anchors the ``k`` greatest correlations, falling.
+
+    vectors: id, v; population: event_id, sequence_id, available. Anchors are the available events of the
+    population; an event is no anchor of its own, and pairs without a score do not count. Each block of events meets
+    the blocks of anchors of a stripe one after the other and keeps what :class:`_Best` holds, so what leaves a
+    task is bounded by events times families and not by pairs; the stripes' results are merged.
+    """
+    own = population.select(F.col("event_id").cast("string").alias("id"), F.col("sequence_id").alias("family"), F.coalesce("available", F.lit(False)).alias("anchor"))
+    rows = vectors.select(F.col("id").cast("string").alias("id"), "v").join(own, "id", "left").fillna(False, ["anchor"])
+    n_blocks = max(1, -(-vectors.count() // block))
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
+    stripes = -(-n_blocks // stripe)
+    left = rows.groupBy("blk").agg(F.collect_list(F.struct("id", "v")).alias("x"))
+    left = left.select(F.col("blk").alias("i"), "x", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("g"))
+    right = rows.filter("anchor").groupBy("blk").agg(F.collect_list(F.struct("id", "v", "family")).alias("y"))
+    right = right.select((F.col("blk") / stripe).cast("int").alias("g"), "y", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("i"))
+    parts = min(2048, n_blocks * stripes)
+    cells = left.repartition(parts, "i", "g").hint("merge").join(right.repartition(parts, "i", "g"), ["i", "g"]).select("i", "g", "x", "y")
+    kind = own.schema["family"].dataType
+    family_type = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, best = None, None
+        for batch in batches:
+            for i, g, x, y in zip(*batch.columns, strict=True):
+                (ids_x, vx), (ids_y, vy) = _items(x), _items(y)
+                if key != (i.as_py(), g.as_py()):
+                    if best is not None:
+                        yield best.batch(family_type)
+                    key, best = (i.as_py(), g.as_py()), _Best(ids_x.tolist(), k)
+                    ux = _unit(vx)
+                scores = ux @ _unit(vy).T
+                scores[np.isnan(scores) | (ids_x[:, None] == ids_y[None, :])] = -np.inf
+                best.add(scores, y.values.field("family").to_pylist())
+        if best is not None:
+            yield best.batch(family_type)
+
+    found = cells.mapInArrow(run, f"event_id string, scored_sequence_id {kind.simpleString()}, n long, top array<double>")
+    merged = F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, k)
+    return found.groupBy("event_id", "scored_sequence_id").agg(F.sum("n").alias("eligible_anchor_count"), merged.alias("top"))
+
+
 @dataclass(frozen=True)
 class PairOptions:
     min_snr: float = 3.0

@@ -27,7 +27,8 @@ def _population(spark: SparkSession, d: str) -> DataFrame:
 
 def _scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     population = _population(spark, d)
-    s = family.family_scores(family.symmetric_edges(_pairs(spark, d)), population, OPTS)
+    v = _vectors(spark, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    s = family.scores_of_top(pairs.top_anchor_scores(v, population, OPTS.max_anchors), OPTS)
     return s.withColumn("family_score", F.round("family_score", 6)), population
 
 
