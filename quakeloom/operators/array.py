@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakeloom.operators.ordered import exact_quantiles
+from quakeloom.operators.ordered import carry_forward, exact_quantiles
 
 EPS32 = 1.1920929e-07
 EPS64 = 2.220446049250313e-16
@@ -103,9 +103,11 @@ def dedupe_times(rows: DataFrame, keys: list[str], time: str, order: list[str])
 
 
 def gap_stats(rows: DataFrame, keys: list[str], epoch_s: str, expected: str | None = None) -> DataFrame:
-    """Per group: samples, greatest gap in seconds (infinite for one sample), and the missing share of ``expected`` samples."""
-    w = Window.partitionBy(*keys).orderBy(epoch_s)
-    gaps = rows.withColumn("gap__", F.col(epoch_s) - F.lag(epoch_s).over(w))
+    """Per group: samples, greatest gap in seconds (infinite for one sample), and the missing share of ``expected`` samples.
+
+    The time before a row's is carried across range partitions, so a stream of one key is worked on in many tasks.
+    """
+    gaps = carry_forward(rows, keys, [epoch_s], {"last__": F.col(epoch_s)}, include_own=False).withColumn("gap__", F.col(epoch_s) - F.col("last__"))
     aggs = [F.count("*").alias("samples"), F.coalesce(F.max("gap__"), F.lit(float("inf"))).alias("max_gap_s")]
     if expected:
         aggs.append(F.greatest(F.lit(0.0), 1 - F.count("*") / F.max(expected)).alias("missing_fraction"))

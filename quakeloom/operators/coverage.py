@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quakeloom.operators.ordered import global_rank
+
 
 def configuration_census(headers: DataFrame, source: str, columns: list[str], numeric: bool = False, count: str = "record_count") -> DataFrame:
     """(source, configurations): a JSON array of each combination of ``columns`` with its count, named ``count``.
@@ -20,8 +22,8 @@ def configuration_census(headers: DataFrame, source: str, columns: list[str], nu
 
 def uniform_sample(rows: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
     """Up to ``k`` rows of each group, evenly spread over its order: those at round(i * (n - 1) / (k - 1)), half to even,
-    with the group's size as file_count."""
-    numbered = rows.withColumn("pos__", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    with the group's size as file_count. Ranks come from range partitions and their sizes, so no task orders a group."""
+    numbered = global_rank(rows, keys, order, "pos__")
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("file_count"))
     i = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     spot = F.bround(F.col("i__") * (F.col("file_count") - 1) / max(1, k - 1)).cast("int")
@@ -39,6 +41,7 @@ def duplicate_count(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg((F.count(v) - F.countDistinct(v)).alias("duplicates"))
 
 
+# The columns of a manifest line.
 MANIFEST = ["system", "file", "nSamples", "fs", "Desample", "startTime", "endTime", "nChannels", "dCh", "GaugeLen", "firstSample"]
 
 

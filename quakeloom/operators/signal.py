@@ -222,59 +222,101 @@ def lagged_peak(first: Column, second: Column, fs: float, max_lag_s: float) -> C
     return run(first, second)
 
 
-def fit_corner(frequency: np.ndarray, ratio: np.ndarray, usable: np.ndarray, egf_corner: float, min_points: int = 20, edge: float = 1.25) -> dict:
-    """Level and target corner of a spectral ratio with a known reference corner, by bounded least squares of logarithms."""
-    use = usable & np.isfinite(frequency) & np.isfinite(ratio) & (frequency > 0) & (ratio > 0)
-    f, y = frequency[use], np.log(ratio[use]) if use.any() else ratio[:0]
-    low, high = (float(f.min()), float(f.max())) if len(f) else (None, None)
-    out = {"status": "STOP", "corner_hz": None, "corner_std_hz": None, "omega_ratio": None, "min_hz": low, "max_hz": high, "points": len(f), "variance": None, "reason": "too few usable spectral points"}
-    if len(f) < min_points:
-        return out
-    lower, upper = np.log([1e-6, low / 10]), np.log([1e6, high * 10])
+_FIT = "struct<status string, corner_hz double, corner_std_hz double, omega_ratio double, min_hz double, max_hz double, points int, variance double, reason string>"
+_FIT_COLUMNS = ["status", "corner_hz", "corner_std_hz", "omega_ratio", "min_hz", "max_hz", "points", "variance", "reason"]
+
+#: Fits of one length that are worked on at once.
+_FITS = 1024
+
+
+def _normal(p: np.ndarray, f2: np.ndarray, fixed: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For parameters (log level, log corner) of each fit: sum of squares, J'J and J'r over the points in use."""
+    c2 = np.exp(2 * p[:, 1:])
+    r = np.where(use, p[:, :1] + fixed - np.log1p(f2 / c2), 0.0)
+    j = np.where(use, 2 * f2 / (c2 + f2), 0.0)
+    a = np.empty((len(p), 2, 2))
+    a[:, 0, 0], a[:, 1, 1] = use.sum(axis=1), (j * j).sum(axis=1)
+    a[:, 0, 1] = a[:, 1, 0] = j.sum(axis=1)
+    return (r * r).sum(axis=1), a, np.stack([r.sum(axis=1), (j * r).sum(axis=1)], axis=1)
 
-    def model(p):
-        c2 = np.exp(2 * p[1])
-        r = p[0] + np.log1p((f / egf_corner) ** 2) - np.log1p(f * f / c2) - y
-        return r, np.stack([np.ones_like(f), 2 * f * f / (c2 + f * f)], axis=1)
 
-    p, damp = np.clip(np.array([np.log(np.median(ratio[use])), 0.5 * np.log(low * high)]), lower, upper), 1e-3
-    r, jac = model(p)
+def fit_corners(frequency: np.ndarray, ratio: np.ndarray, usable: np.ndarray, egf_corner: float, min_points: int = 20, edge: float = 1.25) -> pd.DataFrame:
+    """Level and target corner of spectral ratios (rows) with a known reference corner: bounded, damped least squares of logarithms.
+
+    All rows step at once; each has a damping of its own, which falls by 3 when a step helps and grows by 4 when it
+    does not, and leaves when its step is below 1e-12 or its damping beyond 1e12.
+    """
+    use = usable & np.isfinite(frequency) & np.isfinite(ratio) & (frequency > 0) & (ratio > 0)
+    points = use.sum(axis=1)
+    with np.errstate(all="ignore"):
+        low = np.where(use, frequency, np.inf).min(axis=1, initial=np.inf)
+        high = np.where(use, frequency, -np.inf).max(axis=1, initial=-np.inf)
+    out = pd.DataFrame({
+        "status": "STOP", "corner_hz": np.nan, "corner_std_hz": np.nan, "omega_ratio": np.nan, "min_hz": np.where(points > 0, low, np.nan), "max_hz": np.where(points > 0, high, np.nan),
+        "points": points.astype(int), "variance": np.nan, "reason": "too few usable spectral points",
+    })
+    rows = np.flatnonzero(points >= max(1, min_points))
+    if not len(rows):
+        return out
+    use, f, low, high, points = use[rows], np.where(use[rows], frequency[rows], 1.0), low[rows], high[rows], points[rows]
+    y = np.log(np.where(use, ratio[rows], 1.0))
+    f2, fixed = f * f, np.log1p((f / egf_corner) ** 2) - y
+    lower = np.stack([np.full(len(rows), np.log(1e-6)), np.log(low / 10)], axis=1)
+    upper = np.stack([np.full(len(rows), np.log(1e6)), np.log(high * 10)], axis=1)
+    level = np.log(np.nanmedian(np.where(use, ratio[rows], np.nan), axis=1))
+    p = np.clip(np.stack([level, 0.5 * np.log(low * high)], axis=1), lower, upper)
+    cost, a, g = _normal(p, f2, fixed, use)
+    damp, active = np.full(len(rows), 1e-3), np.arange(len(rows))
     for _ in range(200):
-        a = jac.T @ jac
-        step = np.linalg.solve(a + damp * np.diag(np.diag(a) + 1e-12), -jac.T @ r)
-        q = np.clip(p + step, lower, upper)
-        r2, jac2 = model(q)
-        if r2 @ r2 <= r @ r:
-            small = np.abs(q - p).max() < 1e-12
-            p, r, jac, damp = q, r2, jac2, damp / 3
-            if small:
-                break
-        else:
-            damp *= 4
-            if damp > 1e12:
-                break
-    corner, variance = float(np.exp(p[1])), float(r @ r / max(1, len(f) - 2))
-    try:
-        std = float(corner * np.sqrt(max(0.0, variance * np.linalg.inv(jac.T @ jac)[1, 1])))
-    except np.linalg.LinAlgError:
-        std = None
-    good = std is not None and edge * low <= corner <= high / edge and std / corner <= 0.5
-    reason = "resolved inside usable band" if good else "corner is edge-limited or uncertainty exceeds 50%"
-    return out | {"status": "PASS" if good else "STOP", "corner_hz": corner, "corner_std_hz": std, "omega_ratio": float(np.exp(p[0])), "variance": variance, "reason": reason}
+        k = active
+        diagonal = np.einsum("nii->ni", a[k])
+        damped = a[k].copy()
+        damped[:, [0, 1], [0, 1]] += damp[k, None] * (diagonal + 1e-12)
+        q = np.clip(p[k] - np.linalg.solve(damped, g[k][..., None])[..., 0], lower[k], upper[k])
+        cost_q, a_q, g_q = _normal(q, f2[k], fixed[k], use[k])
+        better = cost_q <= cost[k]
+        still = np.abs(q - p[k]).max(axis=1) < 1e-12
+        won = k[better]
+        p[won], cost[won], a[won], g[won] = q[better], cost_q[better], a_q[better], g_q[better]
+        damp[k] = np.where(better, damp[k] / 3, damp[k] * 4)
+        active = k[~(better & still) & ~(~better & (damp[k] > 1e12))]
+        if not len(active):
+            break
+    corner, variance = np.exp(p[:, 1]), cost / np.maximum(1, points - 2)
+    determinant = a[:, 0, 0] * a[:, 1, 1] - a[:, 0, 1] ** 2
+    with np.errstate(all="ignore"):
+        std = np.where(determinant > 0, corner * np.sqrt(np.maximum(0.0, variance * a[:, 0, 0] / determinant)), np.nan)
+        good = (edge * low <= corner) & (corner <= high / edge) & (std / corner <= 0.5)
+    done = {
+        "status": np.where(good, "PASS", "STOP"), "corner_hz": corner, "corner_std_hz": std, "omega_ratio": np.exp(p[:, 0]), "variance": variance,
+        "reason": np.where(good, "resolved inside usable band", "corner is edge-limited or uncertainty exceeds 50%"),
+    }
+    for c, v in done.items():
+        out.loc[rows, c] = v
+    return out
 
 
-_FIT = "struct<status string, corner_hz double, corner_std_hz double, omega_ratio double, min_hz double, max_hz double, points int, variance double, reason string>"
+def fit_corner(frequency: np.ndarray, ratio: np.ndarray, usable: np.ndarray, egf_corner: float, min_points: int = 20, edge: float = 1.25) -> dict:
+    """:func:`fit_corners` of one ratio; what is not known is None."""
+    row = fit_corners(frequency[None], ratio[None], usable[None], egf_corner, min_points, edge).iloc[0].to_dict()
+    return {c: None if isinstance(v, float) and np.isnan(v) else v for c, v in row.items()}
 
 
 def corner_fit(frequency: Column, ratio: Column, low_hz: float, high_hz: float, egf_corner: float) -> Column:
-    """:func:`fit_corner` of arrays, over the usable band."""
+    """:func:`fit_corners` of arrays, over the usable band; rows of one length are fitted together."""
 
     @F.pandas_udf(_FIT)
     def run(f: pd.Series, r: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, y in zip(f, r, strict=True):
-            x, y = np.asarray(x, float), np.asarray(y, float)
-            rows.append(fit_corner(x, y, (x >= low_hz) & (x <= high_hz), egf_corner))
-        return pd.DataFrame(rows, columns=["status", "corner_hz", "corner_std_hz", "omega_ratio", "min_hz", "max_hz", "points", "variance", "reason"])
+        parts = []
+        sizes = f.map(len).to_numpy()
+        for n in np.unique(sizes):
+            rows = np.flatnonzero(sizes == n)
+            for lo in range(0, len(rows), _FITS):
+                at = rows[lo : lo + _FITS]
+                x, y = (np.stack([np.asarray(v.iloc[k], float) for k in at]) for v in (f, r))
+                fits = fit_corners(x, y, (x >= low_hz) & (x <= high_hz), egf_corner)
+                parts.append(fits.set_index(at))
+        fits = pd.concat(parts).sort_index() if parts else pd.DataFrame(columns=_FIT_COLUMNS)
+        return fits.astype(object).where(fits.notna(), None)[_FIT_COLUMNS]
 
     return run(frequency, ratio)

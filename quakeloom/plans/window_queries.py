@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeloom.operators import intervals
-from quakeloom.sources import windows
+from quakeloom.sources import headers, windows
 
 
 def _recordings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -50,7 +50,31 @@ def mixed_span_overlap(spark: SparkSession, d: str) -> DataFrame:
     return intervals.interval_overlap(w, hours.unionByName(days).unionByName(whole))
 
 
-QUERIES = {f.__name__: f for f in (window_reading, window_channels, mixed_span_overlap)}
+def header_derivation(spark: SparkSession, d: str) -> DataFrame:
+    """An order is a file with a sample for each of its lines; by its key it is sound, turned, square, of other axes, short or late."""
+    k = F.col("k")
+    n = F.col("n")
+    has = lambda cond, x: F.when(cond, x)
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"))
+    shape = (
+        F.when(k % 7 == 1, F.array(F.lit(9), n)).when(k % 7 == 2, F.array(n, n)).when(k % 7 == 3, F.array(n)).when(k % 7 == 4, F.array(n + 1, F.lit(99))).otherwise(F.array(n, F.lit(12)))
+    )
+    rate = F.when(k % 11 == 0, "0").when(k % 11 == 1, None).otherwise("100.0")
+    times = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: k * 1000000 + i * 10000 + F.when((k % 5 == 0) & (i == n - 1), 3).otherwise(0))
+    counters = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: i + F.when((k % 3 == 0) & (i == n - 1), 2).otherwise(0))
+    raw = rows.select(
+        F.concat(F.lit("f"), k.cast("string")).alias("path"), (n * 100).alias("size_bytes"), F.create_map(F.lit("uuid"), k.cast("string")).alias("root"),
+        has(k % 17 != 3, F.create_map(F.lit(headers.LOCUS), F.lit("40"), F.lit(headers.GAUGE), F.lit("10"))).alias("acquisition"),
+        F.map_filter(F.create_map(F.lit(headers.RATE), rate, F.lit(headers.LOCUS), has(k % 2 == 0, "1800")), lambda _, v: v.isNotNull()).alias("raw"), F.lit(None).cast("map<string,string>").alias("custom"),
+        shape.cast("array<long>").alias("data_shape"), F.when(k % 13 == 0, F.array().cast("array<long>")).otherwise(times.cast("array<long>")).alias("times_us"), has(k % 4 != 1, counters.cast("array<long>")).alias("counters"),
+        has(k % 19 == 5, "truncated").alias("read_error"),
+    )
+    out = headers.derive_headers(raw)
+    out = out.select("path", "status", "error", "size_bytes", F.unix_micros("start_utc").alias("start_us"), F.unix_micros("end_utc").alias("end_us"), "sample_rate_hz", "sample_count", "channel_count", "time_axis", "start_locus_index", "gauge_length_m", "timestamp_span_residual_s", "sample_counter_residual", "root_uuid")
+    return out.withColumn("timestamp_span_residual_s", F.round("timestamp_span_residual_s", 6) + 0.0)
+
+
+QUERIES = {f.__name__: f for f in (header_derivation, window_reading, window_channels, mixed_span_overlap)}
 
 _WIN = """WITH files AS (
   SELECT f, 'f' || f AS path, CASE WHEN f % 11 <> 10 THEN f::DOUBLE END AS stamp, CASE WHEN f % 13 = 7 THEN 32.0 ELSE 64.0 END::DOUBLE AS rate, 1800 + (f % 17 = 9)::INT AS locus,
@@ -77,6 +101,22 @@ g AS (SELECT event_id, a, z, t, t - lag(t) OVER (PARTITION BY event_id ORDER BY
 """
 
 SQL = {
+    "header_derivation": """WITH o AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1),
+s AS (
+  SELECT *, CASE k % 7 WHEN 1 THEN [9, n] WHEN 2 THEN [n, n] WHEN 3 THEN [n] WHEN 4 THEN [n + 1, 99] ELSE [n, 12] END AS shape, CASE WHEN k % 13 = 0 THEN 0 ELSE n END AS m,
+         CASE k % 11 WHEN 0 THEN '0' WHEN 1 THEN NULL ELSE '100.0' END AS rate FROM o
+), e AS (
+  SELECT *, CASE WHEN k % 19 = 5 THEN 'truncated' WHEN k % 17 = 3 THEN 'a group is missing' WHEN m = 0 THEN 'there are no sample times' WHEN rate IS NULL THEN 'invalid sample rate none'
+    WHEN rate = '0' THEN 'invalid sample rate 0' WHEN len(shape) <> 2 THEN 'data must have two axes, not [' || shape[1] || ']'
+    WHEN (shape[1] = m) = (shape[2] = m) THEN 'cannot tell the time axis: data [' || shape[1] || ', ' || shape[2] || '], times ' || m END AS error FROM s
+)
+SELECT 'f' || k AS path, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, coalesce(error, '') AS error, n * 100 AS size_bytes, CASE WHEN error IS NULL THEN k * 1000000 + CASE WHEN n = 1 AND k % 5 = 0 THEN 3 ELSE 0 END END AS start_us,
+  CASE WHEN error IS NULL THEN k * 1000000 + n * 10000 + CASE WHEN n = 1 AND k % 5 = 0 THEN 3 ELSE 0 END END AS end_us, CASE WHEN error IS NULL THEN 100.0 END::DOUBLE AS sample_rate_hz, CASE WHEN error IS NULL THEN n END::INT AS sample_count,
+  CASE WHEN error IS NULL THEN CASE WHEN shape[1] = m THEN shape[2] ELSE shape[1] END END::INT AS channel_count, CASE WHEN error IS NULL THEN CASE WHEN shape[1] = m THEN 0 ELSE 1 END END::INT AS time_axis,
+  CASE WHEN error IS NULL THEN CASE WHEN k % 2 = 0 THEN 1800 ELSE 40 END END::INT AS start_locus_index, CASE WHEN error IS NULL THEN 10.0 END::DOUBLE AS gauge_length_m,
+  CASE WHEN error IS NULL THEN round(CASE WHEN k % 5 = 0 AND n > 1 THEN 3e-6 ELSE 0 END, 6) END::DOUBLE AS timestamp_span_residual_s,
+  CASE WHEN error IS NULL AND k % 4 <> 1 THEN CASE WHEN k % 3 = 0 AND n > 1 THEN 2 ELSE 0 END END::BIGINT AS sample_counter_residual, CASE WHEN error IS NULL THEN k::VARCHAR END AS root_uuid
+FROM e""",
     "window_reading": _WIN + """, h AS (SELECT event_id, count(*) AS samples, min(t) AS first_s, max(t) AS last_s, coalesce(max(gap), 'infinity'::DOUBLE) AS gap, any_value(z - a) AS span FROM g GROUP BY 1)
 SELECT event_id, error, CASE WHEN error IS NULL THEN files END AS files, CASE WHEN error IS NULL THEN rate END AS sample_rate_hz, CASE WHEN error IS NULL THEN unit END AS unit, CASE WHEN error IS NULL THEN c END::INT AS channels,
   samples::INT AS samples, round(first_s, 6) AS first_s, round(last_s, 6) AS last_s, round(gap, 6) AS max_gap_s, CASE WHEN error IS NULL THEN round(greatest(0.0::DOUBLE, 1 - samples / greatest(1, round_even(span * rate, 0))), 6) END AS missing_fraction

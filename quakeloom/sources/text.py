@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeloom.functions.scalar import catalogue_time, event_time, optional_float
 from quakeloom.operators.coverage import MANIFEST
+from quakeloom.operators.ordered import carry_forward, global_rank
+from quakeloom.tables import written
 
 # The columns of a pipe-separated catalogue line.
 CATALOGUE_FIELDS = (
@@ -18,9 +20,16 @@ CATALOGUE_SCHEMA = ", ".join(f"{c} {'timestamp' if c == 'origin_time' else 'doub
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, value): the lines of text files with their place, each file read by one task."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("t"))
-    return whole.select("file", F.posexplode(F.split("t", "\r?\n")).alias("pos", "value"))
+    """(file, pos, value): the lines of text files with their number in the file, from 0. A file is read in splits.
+
+    A split's lines are in order of their row ids; its place in the file is where its block starts. Numbers are
+    ranks over (block, row id), so a large file is in no single task.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    rows = raw.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block__"), F.monotonically_increasing_id().alias("id__"), F.regexp_replace("value", "\r$", "").alias("value")
+    )
+    return global_rank(written(rows, "lines"), ["file"], ["block__", "id__"], "pos").select("file", "pos", "value")
 
 
 def read_manifest(spark: SparkSession, path: str, source_name: str) -> DataFrame:
@@ -60,9 +69,8 @@ def read_strings(spark: SparkSession, path: str) -> DataFrame:
 def _carried(lines: DataFrame, text: str) -> DataFrame:
     f = F.split(F.trim(text), r"\s+")
     head = F.col(text).rlike(r"^\s*#") & (F.size(f) >= 15) & F.get(f, F.lit(1)).rlike(r"^\d+$") & F.element_at(f, -1).startswith("R")
-    w = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.filter(F.trim(text) != "").withColumn("f__", f).withColumn("is_head__", head)
-    return rows.withColumn("sequence_id", F.last(F.when(F.col("is_head__"), F.element_at("f__", -1)), ignorenulls=True).over(w))
+    rows = lines.filter(F.trim(text) != "").withColumn("f__", f).withColumn("is_head__", F.coalesce(head, F.lit(False)))
+    return carry_forward(rows, ["file"], ["pos"], {"sequence_id": F.when(F.col("is_head__"), F.element_at("f__", -1))})
 
 
 def sequence_headers(lines: DataFrame, text: str = "value") -> DataFrame:
@@ -78,7 +86,7 @@ def sequence_headers(lines: DataFrame, text: str = "value") -> DataFrame:
 def sequence_events(lines: DataFrame, text: str = "value") -> DataFrame:
     """Events of sequences: lines of exactly 18 fields that begin with digits, each in the sequence of the last header before it.
 
-    A file's lines are put in order in one task: a file is a published catalogue of bounded size.
+    The last header's name is carried across range partitions of a file's lines.
     """
     g = lambda i: F.get("f__", F.lit(i))
     d = lambda i, n: g(i).cast("double").alias(n)

@@ -71,3 +71,20 @@ def test_carried_values_cross_partitions_without_one(eight, own):
     want = df.select("k", "i", F.last("v", ignorenulls=True).over(w).alias("c"))
     got = ordered.carry_forward(df, ["k"], ["i"], {"c": F.col("v")}, include_own=own).select("k", "i", "c")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_lines_of_a_file_in_splits(eight, tmp_path):
+    from quakeloom.sources.text import lines_of
+
+    before = eight.conf.get("spark.sql.files.maxPartitionBytes")
+    lines = [f"line {k} " + "x" * (k % 40) if k % 9 else "" for k in range(4000)]
+    (tmp_path / "one.txt").write_bytes("\r\n".join(lines).encode())
+    (tmp_path / "two.txt").write_text("a\nb\n")
+    try:
+        eight.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+        assert eight.read.text(str(tmp_path / "one.txt")).rdd.getNumPartitions() > 4
+        rows = lines_of(eight, str(tmp_path)).collect()
+    finally:
+        eight.conf.set("spark.sql.files.maxPartitionBytes", before)
+    one = sorted((r.pos, r.value) for r in rows if r.file.endswith("one.txt"))
+    assert one == list(enumerate(lines)) and sorted((r.pos, r.value) for r in rows if r.file.endswith("two.txt")) == [(0, "a"), (1, "b")]
