@@ -20,7 +20,8 @@ BUCKETS = 1 << 18
 ROW = "row__"
 
 _local_dirs: dict[str, str] = {}
-_folder: contextvars.ContextVar[str | None] = contextvars.ContextVar("folder", default=None)
+#: Folders of the scopes that are open, outermost first.
+_folders: contextvars.ContextVar[tuple[str, ...]] = contextvars.ContextVar("folders", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,12 +42,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     This cuts lineage without a local copy: any executor can read the table after another is lost.
     """
-    return _written(df, _folder.get() or f"{shared_dir(df.sparkSession)}/quakeloom", name)
+    return _written(df, (f"{shared_dir(df.sparkSession)}/quakeloom", *_folders.get())[-1], name)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """As :func:`materialise`, for a table that outlives the :func:`working_tables` it is made from."""
-    return _written(df, f"{shared_dir(df.sparkSession)}/quakeloom", name)
+    """As :func:`materialise`, for a table that outlives the :func:`working_tables` it is made from: it belongs to the
+    scope around that one or, if there is none, stays until its reader deletes it."""
+    root = f"{shared_dir(df.sparkSession)}/quakeloom"
+    return _written(df, (root, root, *_folders.get())[-2], name)
 
 
 def _written(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -57,13 +60,17 @@ def _written(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 @contextlib.contextmanager
 def working_tables(spark: SparkSession) -> Iterator[None]:
-    """Tables that :func:`materialise` writes within are deleted at the end; what is to last is written with :func:`keep`."""
+    """Tables that :func:`materialise` writes within are deleted at the end; what is to last is written with :func:`keep`.
+
+    Scopes nest: what an operator keeps for its lazy result belongs to its caller's scope, who writes the result
+    and then leaves the scope, so nothing but what was written with :func:`keep` in the outermost one is left.
+    """
     path = f"{shared_dir(spark)}/quakeloom/work-{uuid.uuid4().hex}"
-    token = _folder.set(path)
+    token = _folders.set((*_folders.get(), path))
     try:
         yield
     finally:
-        _folder.reset(token)
+        _folders.reset(token)
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
@@ -71,9 +78,9 @@ def working_tables(spark: SparkSession) -> Iterator[None]:
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` as a written table with a number of its own in each row (``ROW``), which no later plan can change.
 
-    The table lasts, for what :func:`drop_rows` returns reads it.
+    The table belongs to the caller's scope, for what :func:`drop_rows` returns reads it.
     """
-    return keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

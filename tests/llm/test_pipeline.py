@@ -97,3 +97,30 @@ def test_working_tables_go(spark):
         path = inner.inputFiles()[0].removeprefix("file://")
         outer = keep(inner.selectExpr("id + 1 as id"), "outer")
     assert not os.path.exists(path) and outer.count() == 3 and shared_dir(spark)
+
+
+def _left(spark):
+    from pathlib import Path
+
+    from quakeloom.llm._scale import shared_dir
+
+    return {x.name for x in Path(shared_dir(spark).removeprefix("file://"), "quakeloom").glob("*")}
+
+
+def test_only_stage_tables_are_left(spark):
+    before = _left(spark)
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001").count()
+    new = sorted(x.rsplit("-", 1)[0] for x in _left(spark) - before)
+    assert new == sorted(f"stage-{name}" for name, _ in corpus_pipeline.STAGES)
+
+
+def test_a_scope_owns_what_a_dropping_operator_keeps(spark):
+    from quakeloom.llm._scale import keep, working_tables
+    from quakeloom.llm.exact_dedup import drop_exact_copies
+
+    df = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c")], "doc_id long, text string")
+    before = _left(spark)
+    with working_tables(spark):
+        out = keep(drop_exact_copies(df), "mine")
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3]
+    assert [x.rsplit("-", 1)[0] for x in _left(spark) - before] == ["mine"]
