@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakeloom.operators.ordered import carry_forward, exact_quantiles
+from quakeloom.operators.pairs import pair_correlation
 
 EPS32 = 1.1920929e-07
 EPS64 = 2.220446049250313e-16
@@ -126,3 +127,22 @@ def spearman(profiles: DataFrame) -> DataFrame:
     left = ranked.select(F.col("profile").alias("a"), "channel", F.col("r").alias("ra"))
     right = ranked.select(F.col("profile").alias("b"), "channel", F.col("r").alias("rb"))
     return left.join(right, "channel").filter("a < b").groupBy("a", "b").agg(F.corr("ra", "rb").alias("spearman"))
+
+
+def spearman_matrix(profiles: DataFrame, block: int = 512) -> DataFrame:
+    """(a, b, spearman) for all ordered pairs of profiles, the diagonal 1: rank correlations as products of blocks.
+
+    profiles: profile, channel, value. All are cut to the channels of the shortest, in order of channel; values are
+    replaced by average ranks within their profile, so the correlation of ranks is one matrix product
+    per pair of blocks (see :func:`quakeloom.operators.pairs.pair_correlation`). A constant profile has null
+    correlations with the others. Names are text.
+    """
+    own = profiles.select(F.col("profile").cast("string").alias("profile"), "channel", F.col("value").cast("double").alias("value"))
+    at = F.row_number().over(Window.partitionBy("profile").orderBy("channel"))
+    least = own.groupBy("profile").agg(F.count("*").alias("n")).agg(F.min("n").alias("least__"))
+    cut = own.withColumn("at", at).join(F.broadcast(least), F.lit(True)).filter("at <= least__")
+    ranked = average_ranks(cut, ["profile"], "value", "r")
+    vectors = ranked.groupBy(F.col("profile").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "r"))), lambda x: x["r"].cast("double")).alias("v"))
+    pairs = pair_correlation(vectors, block).toDF("a", "b", "spearman")
+    same = vectors.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("spearman"))
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "spearman")).unionByName(same)

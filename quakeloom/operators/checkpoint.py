@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quakeloom.functions.scalar import fixed_text
 from quakeloom.operators.gates import CONDITIONAL, PASS, STOP
 
 # The branches in their order, each with its next gate
@@ -34,10 +35,10 @@ EVIDENCE = {
     "pair": "2026 candidate versus published 2014 target member is high-similarity; matched 2026 spatial control is dissimilar",
     "shortlist": "%d high-similarity candidates, %d insufficient-data rows, and %d no-data rows; %d exact-ID published neighboring-family events were overmerged",
     "population": "%d target events and %d events from %d neighboring families; %d exact shortlist ID matches",
-    "families": "%d of %d labeled events available; %d classified and %d abstained under the frozen margin; diagnostic top-family accuracy without the margin is %.0f%%",
+    "families": "%d of %d labeled events available; %d classified and %d abstained under the frozen margin; diagnostic top-family accuracy without the margin is %s%%",
     "continuous": "not run on the exact DAS UTC/configuration intervals",
-    "candidate": "median channel SNR %.2f; %.0f%% of sampled channel blocks detected; usable median power-SNR ranges %s",
-    "negative": "%d loci: median correlation %.3f, p95 %.3f, max %.3f",
+    "candidate": "median channel SNR %s; %s%% of sampled channel blocks detected; usable median power-SNR ranges %s",
+    "negative": "%d loci: median correlation %s, p95 %s, max %s",
     "increment": "no blinded same-interval network-only versus DAS-only versus joint scan has run",
     "shots": "%d of %d shots pass calibration-quality rules; all %d have time-domain detections",
     "creep": "no DAS-extended complete family exists and event slip is unconstrained",
@@ -65,6 +66,16 @@ CLAIM_EVIDENCE = [
     "one prospective 2026 target-family candidate is detected on the deep fiber",
 ]
 PROCEED, PAUSE = "PROCEED_WITH_CONDITIONS", "PAUSE_AND_REPAIR"
+# What the decision rests on, and what is worth most next
+BASIS = {
+    PROCEED: "The dataset supports a rigorous incremental-value experiment: published labels expose where conventional correlation confuses nearby families, while the prospective 2026 candidate and a hard control are both measurable on the deep fiber. This is permission to run the benchmark, not evidence that DAS has extended the catalog.",
+    PAUSE: "One or more prerequisites for the incremental-value experiment failed.",
+}
+HIGHEST_VALUE = {
+    "highest_value_next_analysis": "run a best-effort network-only detector on the exact DAS intervals, freeze its candidates and scores, then run DAS-only and joint pipelines blind to those results",
+    "highest_value_next_observation": "a second independently network-classified target-family event on the same deep-DAS configuration",
+    "highest_value_metadata_request": "surveyed deep locus-to-MD/TVD/XYZ/cable-tangent mapping",
+}
 
 
 def _one(df: DataFrame, name: str) -> DataFrame:
@@ -120,7 +131,8 @@ def _proceed() -> Column:
 def branches(row: DataFrame) -> DataFrame:
     """(position, branch, status, evidence, next_gate): the 16 branches of :func:`inputs`; nothing conditional is promoted."""
     say = lambda key, *columns: F.format_string(EVIDENCE[key], *[F.col(c) if isinstance(c, str) else c for c in columns])
-    percent = lambda c: F.col(c).cast("double") * 100
+    number = lambda c, digits: fixed_text(F.col(c).cast("double"), digits)
+    percent = lambda c: fixed_text(F.col(c).cast("double") * 100, 0)
     fixed = lambda status, key: (F.lit(status), F.lit(EVIDENCE[key]))
     reason = lambda table, c: (F.col(f"{table}.{c}"), F.col(f"{table}.{c}_reason"))
     abstained = F.col("network.waveform_available_events") - F.col("network.classified_events")
@@ -134,9 +146,9 @@ def branches(row: DataFrame) -> DataFrame:
         (F.col("network.classification_gate"), say("families", "network.waveform_available_events", "network.labeled_events", "network.classified_events", abstained,
                                                    percent("network.top_family_accuracy_ignoring_abstention_policy"))),
         fixed(STOP, "continuous"),
-        (F.col("deep.deep_template_detectability"), say("candidate", F.col("target.median_channel_snr").cast("double"), percent("target.detected_block_fraction"), "target.usable_power_snr_ranges_hz")),
-        (F.col("deep.hard_negative_baseline"), say("negative", *[f"negative.{c}" for c in (
-            "channel_count", "median_per_channel_correlation", "p95_per_channel_correlation", "maximum_per_channel_correlation")])),
+        (F.col("deep.deep_template_detectability"), say("candidate", number("target.median_channel_snr", 2), percent("target.detected_block_fraction"), "target.usable_power_snr_ranges_hz")),
+        (F.col("deep.hard_negative_baseline"), say("negative", "negative.channel_count", *[number(f"negative.{c}", 3) for c in (
+            "median_per_channel_correlation", "p95_per_channel_correlation", "maximum_per_channel_correlation")])),
         fixed(STOP, "increment"),
         (F.col("active.shot_detectability"), say("shots", "active.shots_calibration_usable", "active.shots_total", "active.shots_time_domain_detected")),
         reason("active", "absolute_timing"), reason("deep", "geometry"), reason("deep", "direct_das_repeatability"), reason("deep", "stress_drop"),
@@ -150,10 +162,11 @@ def branches(row: DataFrame) -> DataFrame:
 
 
 def summary(row: DataFrame) -> DataFrame:
-    """The decision and the headline counts of :func:`inputs` as one row."""
+    """The decision, its basis, what is worth most next, and the headline counts of :func:`inputs` as one row."""
     external = [F.col(f"external.{c}") for c in ("published_target_population_events", "published_neighbor_population_events")]
     return row.select(
-        F.when(_proceed(), PROCEED).otherwise(PAUSE).alias("pilot_decision"), F.col("listed.high").alias("high_similarity_candidates_in_bounded_pilot"),
+        F.when(_proceed(), PROCEED).otherwise(PAUSE).alias("pilot_decision"), F.when(_proceed(), BASIS[PROCEED]).otherwise(BASIS[PAUSE]).alias("decision_basis"),
+        *[F.lit(v).alias(k) for k, v in HIGHEST_VALUE.items()], F.col("listed.high").alias("high_similarity_candidates_in_bounded_pilot"),
         F.col("external.discordant_single_anchor_overmerges").alias("single_anchor_overmerges_in_published_neighbors"), *external,
         F.col("network.waveform_available_events").alias("network_labeled_events_with_waveforms"), F.col("listed.rows").alias("events_in_frozen_shortlist"), "config_sha256",
     )

@@ -35,8 +35,8 @@ def exact_id_crosswalk(shortlist: DataFrame, published: DataFrame, target: str,
     """Every shortlist row with the published event of the same id, its role and the diagnostic outcome.
 
     shortlist: event_id, decision, and optionally origin_time; published: event_id, sequence_id and
-    other columns, prefixed external_. With ``catalogue`` a missing origin_time is taken from there and
-    depths are compared; with ``cutoff`` later events are prospective. Ids compare as strings.
+    other columns, prefixed external_. With ``catalogue`` an origin_time that is missing or empty text is taken from
+    there, so are columns origin_time and magnitude that the shortlist has not, and depths are compared; with ``cutoff`` later events are prospective. Ids compare as strings.
     """
     text = lambda c: F.col(c).cast("string")
     left = shortlist.withColumn("event_id", text("event_id"))
@@ -45,7 +45,12 @@ def exact_id_crosswalk(shortlist: DataFrame, published: DataFrame, target: str,
     if catalogue is not None:
         rows = rows.join(catalogue.select(text("event_id").alias("event_id"), *[F.col(c).alias(f"catalogue_{c}") for c in catalogue.columns if c != "event_id"]), "event_id", "left")
         if "origin_time" in shortlist.columns and "origin_time" in catalogue.columns:
-            rows = rows.withColumn("origin_time", F.coalesce("origin_time", "catalogue_origin_time"))
+            own = F.col("origin_time")  # empty text is no time
+            own = F.when(F.trim(own) != "", own) if dict(shortlist.dtypes)["origin_time"] == "string" else own
+            rows = rows.withColumn("origin_time", F.coalesce(own, "catalogue_origin_time"))
+        for c in ("origin_time", "magnitude"):
+            if c not in shortlist.columns and c in catalogue.columns:
+                rows = rows.withColumn(c, F.col(f"catalogue_{c}"))
         if "depth_km" in catalogue.columns and "depth_km" in published.columns:
             rows = rows.withColumn("catalogue_minus_external_depth_km", F.col("catalogue_depth_km") - F.col("external_depth_km"))
     if cutoff is not None:

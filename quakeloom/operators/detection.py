@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quakeloom.functions.scalar import log_snr
 from quakeloom.operators import array
-from quakeloom.operators.signal import welch_rows
+from quakeloom.operators.signal import lagged_peak, welch_rows
 
 
 @dataclass(frozen=True)
@@ -161,3 +162,29 @@ def detect_events(samples: DataFrame, opts: DetectionOptions = DetectionOptions(
     ranged = F.when(F.col("error").isNull(), F.coalesce("ranges", F.array().cast("array<array<double>>")))
     return out.withColumns({"detected": F.when(F.col("error").isNull(), found), "status": status, "usable_power_snr_ranges_hz": ranged}).drop("ranges")
 
+
+
+def hard_negative_baseline(samples: DataFrame, pairs: DataFrame, opts: DetectionOptions = DetectionOptions(), window: tuple[float, float] = (0.5, 10.0), max_lag_s: float = 0.5, limit: float = 0.8) -> DataFrame:
+    """One row per pair of events: how alike two events are, channel by channel, that are known to be of different families.
+
+    samples: see :func:`detect_events`; pairs: first, second, event ids. Traces of ``window`` are joined by event and
+    channel, so channels are those that both events have, and cut to the shorter. Columns: first, second,
+    channel_count (channels with energy in both), median, p90, p95 and maximum of their greatest correlations within
+    ``max_lag_s``, the share at ``limit`` or above, and the rank correlation of the two events' log SNR by channel,
+    which is null where a pair fails a guard of detection.
+    """
+    if "rate_hz" not in samples.columns:
+        samples = samples.withColumn("rate_hz", F.lit(float(opts.rate_hz)))
+    cut = samples.filter(within(F.col("t"), window)).groupBy("event_id", "channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "value"))), lambda x: x["value"]).alias("v"))
+    sides = pairs.join(cut.toDF("first", "channel", "x"), "first").join(cut.toDF("second", "channel", "y"), ["second", "channel"])
+    found = sides.select("first", "second", lagged_peak(F.col("x"), F.col("y"), opts.rate_hz, max_lag_s)["correlation"].alias("c")).filter("c is not null")
+    alike = found.groupBy("first", "second").agg(
+        F.count("*").alias("channel_count"), F.median("c").alias("median"), F.percentile("c", 0.9).alias("p90"), F.percentile("c", 0.95).alias("p95"), F.max("c").alias("maximum"),
+        F.avg((F.col("c") >= limit).cast("double")).alias("fraction_above"),
+    )
+    env = samples.groupBy("event_id", "sample", "t", "rate_hz").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("value"))
+    loud = channel_snr(mark_windows(samples, event_windows(env, opts), opts)).select("event_id", "channel", log_snr(F.col("snr")).alias("s"))
+    both = pairs.join(loud.toDF("first", "channel", "a"), "first").join(loud.toDF("second", "channel", "b"), ["second", "channel"])
+    ranked = array.average_ranks(array.average_ranks(both, ["first", "second"], "a", "ra"), ["first", "second"], "b", "rb")
+    print_ = ranked.groupBy("first", "second").agg(F.corr("ra", "rb").alias("fingerprint_spearman"))
+    return pairs.join(alike, ["first", "second"], "left").join(print_, ["first", "second"], "left").fillna(0, ["channel_count"])

@@ -62,9 +62,12 @@ def scores_of_top(top: DataFrame, opts: FamilyOptions = FamilyOptions()) -> Data
 
 
 def all_family_scores(scores: DataFrame, population: DataFrame) -> DataFrame:
-    """:func:`family_scores` with a row for every event and family, null and 0 where there is no anchor."""
+    """:func:`family_scores` with a row for every event and family, null and 0 where there is no anchor.
+
+    The result has a row for each of them, so events meet all families; Spark sends the families to the events only if they are few.
+    """
     families = population.select(F.col("sequence_id").alias("scored_sequence_id")).distinct()
-    spine = population.select("event_id", F.col("sequence_id").alias("published_sequence_id")).crossJoin(F.broadcast(families))
+    spine = population.select("event_id", F.col("sequence_id").alias("published_sequence_id")).join(families, F.lit(True))
     return spine.join(scores, ["event_id", "scored_sequence_id"], "left").fillna(0, ["eligible_anchor_count", "anchors_used"])
 
 

@@ -88,12 +88,89 @@ def timeline(rows: DataFrame, status: str, size: str) -> DataFrame:
     return rows.fillna(1.0, [size]).groupBy(status).agg(F.count("*").alias("n"), F.sum(size).alias("total"))
 
 
-def network_status(summary: DataFrame) -> DataFrame:
-    """The benchmark's status beside :func:`~quakeloom.operators.family.classification_summary`.
+def waveform_availability(population: DataFrame, traces: DataFrame) -> DataFrame:
+    """(event_id, sequence_id, status, trace_count, error): every event of the population, available if it has a trace.
 
+    traces: event_id, one row a trace, and perhaps error, a text where the trace could not be read; the first such text is shown.
+    """
+    bad = F.col("error") if "error" in traces.columns else F.lit(None).cast("string")
+    own = traces.groupBy(F.col("event_id").cast("string").alias("of__")).agg(F.count(F.when(bad.isNull(), 1)).alias("n__"), F.min(bad).alias("bad__"))
+    rows = population.join(own, F.col("event_id").cast("string") == F.col("of__"), "left")
+    n = F.coalesce("n__", F.lit(0))
+    error = F.when(n > 0, "").otherwise(F.coalesce("bad__", F.lit("no waveform")))
+    return rows.select("event_id", "sequence_id", F.when(n > 0, "available").otherwise("unavailable").alias("status"), n.alias("trace_count"), error.alias("error"))
+
+
+# What is said of the benchmark
+NETWORK_REASON = "the HRSN correlation-only diagnostic classified no events under the frozen margin; continuous network detection, differential relocation, and bootstrap uncertainty are not complete"
+NETWORK_METHOD = "median of frozen top-k multi-anchor HRSN correlations with an explicit abstention margin"
+NETWORK_SCOPE = "waveform-correlation family-assignment diagnostic; not the final best-network baseline"
+
+
+def network_status(summary: DataFrame, per_family: DataFrame, thresholds: dict[str, float], config_sha256: str) -> DataFrame:
+    """The benchmark's status: :func:`~quakeloom.operators.family.classification_summary` with its thresholds and every family's figures.
+
+    per_family: :func:`~quakeloom.operators.family.per_family_metrics`; it becomes an array of structs by family.
     A correlation-only diagnostic never passes the gate and no continuous detection has run, whatever the figures.
     """
-    return summary.select(
+    families = per_family.agg(F.array_sort(F.collect_list(F.struct("sequence_id", *[c for c in per_family.columns if c != "sequence_id"]))).alias("per_family"))
+    return summary.join(F.broadcast(families), F.lit(True)).select(
         F.lit(STOP).alias("status"), F.lit(STOP).alias("classification_gate"), F.lit("NOT_RUN").alias("continuous_detection_status"),
-        *summary.columns, (F.col("labeled_events") - F.col("waveform_available_events")).alias("waveform_unavailable_events"),
+        F.lit(NETWORK_REASON).alias("reason"), F.lit(NETWORK_METHOD).alias("method"), F.lit(NETWORK_SCOPE).alias("scope"),
+        *summary.columns, (F.col("labeled_events") - F.col("waveform_available_events")).alias("waveform_unavailable_events"), "per_family",
+        F.struct(*[F.lit(v).alias(k) for k, v in thresholds.items()]).alias("thresholds"), F.lit(config_sha256).alias("config_sha256"),
+    )
+
+
+# What is said of a catalogue made with a single anchor
+SINGLE_ANCHOR_REASON = "external exact-ID labels show cross-family merges"
+
+
+def external_status(
+    crosswalk: DataFrame, population: DataFrame, sequences: DataFrame, published_events: DataFrame, target: str, neighbours: list[str], advertised_events: int, config_sha256: str
+) -> DataFrame:
+    """The external validation's status as one row: its gate, the catalogue's counts against what its record advertises, and how the shortlist meets it.
+
+    crosswalk: :func:`~quakeloom.operators.crosswalk.exact_id_crosswalk`; population: its validation population. The
+    gate asks for three target events and two neighbour families that were named, found or not.
+    """
+    count = lambda c: F.count(F.when(c, 1))
+    role = F.col("external_role")
+    walk = crosswalk.agg(
+        F.count("*").alias("frozen_shortlist_events"), count(F.col("external_match_type") == "exact_event_id").alias("shortlist_exact_id_matches"),
+        count(role == "published_target_positive").alias("published_target_shortlist_overlap"), count(role == "published_neighbor_family_negative").alias("published_neighbor_shortlist_overlap"),
+        count(F.col("diagnostic_outcome") == "discordant_single_anchor_overmerge").alias("discordant_single_anchor_overmerges"),
+    )
+    kind = F.col("validation_role")
+    own = population.agg(count(kind == "target_positive").alias("published_target_population_events"), count(kind == "neighbor_family_negative").alias("published_neighbor_population_events"))
+    counts = sequences.agg(F.count("*").alias("published_catalog_sequence_count")).join(F.broadcast(published_events.agg(F.count("*").alias("published_catalog_event_count"))), F.lit(True))
+    row = walk.join(F.broadcast(own), F.lit(True)).join(F.broadcast(counts), F.lit(True))
+    gate = F.when((F.col("published_target_population_events") >= 3) & F.lit(len(neighbours) >= 2), PASS).otherwise(STOP)
+    return row.select(
+        gate.alias("external_population_gate"), *counts.columns, F.lit(advertised_events).cast("long").alias("record_advertised_event_count"),
+        (F.lit(advertised_events).cast("long") - F.col("published_catalog_event_count")).alias("record_minus_file_event_count"), *walk.columns, *own.columns,
+        F.lit(len(neighbours)).cast("long").alias("published_neighbor_family_count"), F.lit(STOP).alias("single_anchor_catalog_claim"), F.lit(SINGLE_ANCHOR_REASON).alias("single_anchor_catalog_reason"),
+        F.lit(target).alias("target_sequence_id"), F.array(*[F.lit(x) for x in neighbours]).alias("hard_negative_sequence_ids"), F.lit(config_sha256).alias("config_sha256"),
+    )
+
+
+# Why timing and geometry stay open
+TIMING_REASON = "available shot log has nominal local times but no independent GPS/detonator trigger uncertainty"
+GEOMETRY_REASON = "deep locus-to-MD/TVD/XYZ trajectory unavailable"
+
+
+def calibrated_shots(detections: DataFrame, min_snr: float = 1.5, max_offset_s: float = 5.0) -> DataFrame:
+    """:func:`~quakeloom.operators.detection.detect_events` of shots with calibration_status, PASS or CONDITIONAL, and calibration_exclusion_reason."""
+    rule = F.coalesce(F.col("status") == PASS, F.lit(False)), F.col("median_channel_snr"), F.col("peak_t"), F.size("usable_power_snr_ranges_hz") > 0, min_snr, max_offset_s
+    return detections.withColumns({"calibration_status": F.when(calibration_usable(*rule), PASS).otherwise(CONDITIONAL), "calibration_exclusion_reason": exclusion_reason(*rule)})
+
+
+def active_source_status(shots: DataFrame, config_sha256: str, min_usable: int = 3) -> DataFrame:
+    """The status of :func:`calibrated_shots` as one row; timing is conditional and geometry a stop whatever they show."""
+    count = lambda c: F.count(F.when(c, 1))
+    row = shots.agg(count(F.col("status") == PASS).alias("shots_time_domain_detected"), count(F.col("calibration_status") == PASS).alias("shots_calibration_usable"), F.count("*").alias("shots_total"))
+    enough = F.col("shots_calibration_usable") >= min_usable
+    return row.select(
+        F.when(enough, PASS).otherwise(STOP).alias("shot_detectability"), *row.columns, F.lit(CONDITIONAL).alias("absolute_timing"), F.lit(TIMING_REASON).alias("absolute_timing_reason"),
+        F.when(enough, PASS).otherwise(CONDITIONAL).alias("channel_response"), F.lit(STOP).alias("absolute_geometry"), F.lit(GEOMETRY_REASON).alias("absolute_geometry_reason"), F.lit(config_sha256).alias("config_sha256"),
     )

@@ -14,6 +14,8 @@ def collect() -> tuple[dict[str, Callable], dict[str, str]]:
     sql: dict[str, str] = {}
     for name in MODULES:
         module = importlib.import_module(f"quakeloom.plans.{name}")
+        if twice := queries.keys() & module.QUERIES.keys():
+            raise ValueError(f"queries of one name: {sorted(twice)}")
         queries |= module.QUERIES
         sql |= module.SQL
     return queries, sql

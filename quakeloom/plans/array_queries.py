@@ -57,6 +57,14 @@ def spearman_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(array.spearman(profile))
 
 
+def spearman_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """The whole matrix of rank correlations of a hundred channel profiles: vectors by label and last digit of their id."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    s = e.select((F.col("label") * 10 + F.col("vec_id") % 10).alias("profile"), F.posexplode("embedding").alias("channel", "x"))
+    profile = s.groupBy("profile", "channel").agg(F.round(F.log10(F.greatest(F.avg(F.col("x").cast("double") * F.col("x").cast("double")), F.lit(1e-6))), 4).alias("value"))
+    return _rounded(array.spearman_matrix(profile, 32))
+
+
 def usable_ranges(spark: SparkSession, d: str) -> DataFrame:
     snr = array.channel_snr(_samples(spark, d), F.col("noise"), ~F.col("noise"))
     spectrum = snr.select(F.col("channel").alias("bin"), (F.col("channel") * 0.5).alias("frequency_hz"), F.round("snr", 6).alias("power_ratio"))
@@ -84,7 +92,7 @@ b AS (SELECT channel // 8 AS block_id, min(channel)::INT AS column_start, max(ch
   round(any_value(z), 6) >= 2.5::DOUBLE AS detected FROM n JOIN bz ON bz.block_id = n.channel // 8 GROUP BY 1)
 """
 
-QUERIES = {f.__name__: f for f in (rms_envelope, robust_z, argmax_first, channel_snr, block_metrics, detected_fraction, adjacent_correlation, spearman_fingerprint, usable_ranges, gap_stats)}
+QUERIES = {f.__name__: f for f in (rms_envelope, robust_z, argmax_first, channel_snr, block_metrics, detected_fraction, adjacent_correlation, spearman_fingerprint, spearman_matrix, usable_ranges, gap_stats)}
 
 SQL = {
     "rms_envelope": _E + "SELECT sample, round(value, 6) AS envelope FROM v",
@@ -100,6 +108,10 @@ SELECT sample, round(value, 6) AS envelope, round((value - med) / (CASE WHEN mad
     + """, p AS (SELECT label, channel, round(log10(greatest(avg(x * x), 1e-6::DOUBLE)), 4) AS v FROM s GROUP BY 1, 2),
 r AS (SELECT label, channel, rank() OVER (PARTITION BY label ORDER BY v) + (count(*) OVER (PARTITION BY label, v) - 1) / 2 AS r FROM p)
 SELECT a.label AS a, b.label AS b, round(corr(a.r, b.r), 6) + 0.0::DOUBLE AS spearman FROM r a JOIN r b ON a.channel = b.channel AND a.label < b.label GROUP BY 1, 2""",
+    "spearman_matrix": _V
+    + """, p AS (SELECT s.label * 10 + sample % 10 AS profile, channel, round(log10(greatest(avg(x * x), 1e-6::DOUBLE)), 4) AS v FROM s GROUP BY 1, 2),
+r AS (SELECT profile::VARCHAR AS profile, channel, rank() OVER (PARTITION BY profile ORDER BY v) + (count(*) OVER (PARTITION BY profile, v) - 1) / 2 AS r FROM p)
+SELECT a.profile AS a, b.profile AS b, CASE WHEN a.profile = b.profile THEN 1 ELSE round(corr(a.r, b.r), 6) + 0.0::DOUBLE END::DOUBLE AS spearman FROM r a JOIN r b ON a.channel = b.channel GROUP BY 1, 2""",
     "usable_ranges": _N
     + """, u AS (SELECT channel, channel - row_number() OVER (ORDER BY channel) AS g FROM n WHERE round(snr, 6) >= 1.0)
 SELECT min(channel) * 0.5::DOUBLE AS first_hz, max(channel) * 0.5::DOUBLE AS last_hz, count(*) AS bins FROM u GROUP BY g HAVING count(*) >= 2""",

@@ -78,7 +78,7 @@ def population_gate(spark: SparkSession, d: str) -> DataFrame:
     return gates.population_gate(crosswalk.validation_population(labels, walk, "target", NEIGHBOURS), 3, 1)
 
 
-def timeline(spark: SparkSession, d: str) -> DataFrame:
+def catalogue_timeline(spark: SparkSession, d: str) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet")
     rows = o.select(F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 4 != 0, (F.col("o_orderkey") % 9).cast("double")).alias("size"))
     return gates.timeline(rows, "status", "size")
@@ -107,7 +107,7 @@ o AS (SELECT event_id, n AS file_count, coalesce(lo <= ws AND hi >= we, false) A
 i AS (SELECT event_id, file_count, complete, has_gap, CASE WHEN complete THEN 'PASS' WHEN file_count > 0 THEN 'CONDITIONAL' ELSE 'STOP' END AS coverage_status, source_files FROM o)
 """
 
-QUERIES = {f.__name__: f for f in (nominate_candidates, exact_id_crosswalk, validation_population, repair_confusion, epoch_role, interval_overlap, coverage_verdict, population_gate, timeline)}
+QUERIES = {f.__name__: f for f in (nominate_candidates, exact_id_crosswalk, validation_population, repair_confusion, epoch_role, interval_overlap, coverage_verdict, population_gate, catalogue_timeline)}
 
 SQL = {
     "nominate_candidates": _CAT
@@ -130,7 +130,7 @@ FROM k WHERE is_seed OR (round(dd, 6) <= 120 AND round(abs(magnitude_difference)
     "population_gate": _WALK
     + """, p AS (SELECT sequence_id FROM l WHERE sequence_id IN ('target', 'lang_de', 'lang_fr')), c AS (SELECT count(*) FILTER (WHERE sequence_id = 'target') AS t, count(DISTINCT sequence_id) FILTER (WHERE sequence_id <> 'target') AS n FROM p)
 SELECT t AS target_events, n AS neighbour_families, CASE WHEN t >= 3 AND n >= 1 THEN 'PASS' ELSE 'STOP' END AS status FROM c""",
-    "timeline": "SELECT o_orderstatus AS status, count(*) AS n, sum(CASE WHEN o_orderkey % 4 <> 0 THEN (o_orderkey % 9)::DOUBLE ELSE 1.0::DOUBLE END) AS total FROM orders GROUP BY 1",
+    "catalogue_timeline": "SELECT o_orderstatus AS status, count(*) AS n, sum(CASE WHEN o_orderkey % 4 <> 0 THEN (o_orderkey % 9)::DOUBLE ELSE 1.0::DOUBLE END) AS total FROM orders GROUP BY 1",
     "epoch_role": _CAT + "SELECT CASE WHEN origin_time > TIMESTAMP '2024-01-15 00:00:00' THEN 'prospective_post_catalog' ELSE 'published_catalog_era' END AS epoch_role, count(*) AS n, max(origin_time) AS last_origin FROM e GROUP BY 1",
     "interval_overlap": _INT + "SELECT * FROM i",
     "coverage_verdict": _INT + "SELECT coverage_status, count(*) AS n, sum(file_count)::BIGINT AS files FROM i GROUP BY 1",

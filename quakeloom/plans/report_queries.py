@@ -125,7 +125,8 @@ SELECT position::INT AS position, branch, next_gate,
   WHEN 8 THEN e.n || ' loci: median correlation 0.125, p95 0.250, max 0.500' WHEN 9 THEN 'no blinded same-interval network-only versus DAS-only versus joint scan has run'
   WHEN 10 THEN o.f || ' of ' || o.n || ' shots pass calibration-quality rules; all ' || o.n || ' have time-domain detections' WHEN 11 THEN 'no trigger' WHEN 12 THEN 'no survey' WHEN 13 THEN 'one event' WHEN 14 THEN 'no response'
   ELSE 'no DAS-extended complete family exists and event slip is unconstrained' END AS evidence FROM b, o, e, l""",
-    "checkpoint_summary": f"""WITH {_STATUS} SELECT CASE WHEN {_GATE} = 'PASS' AND {_DEEP} = 'PASS' THEN 'PROCEED_WITH_CONDITIONS' ELSE 'PAUSE_AND_REPAIR' END AS pilot_decision, l.high AS high_similarity_candidates_in_bounded_pilot,
+    "checkpoint_summary": f"""WITH {_STATUS} SELECT CASE WHEN {_GATE} = 'PASS' AND {_DEEP} = 'PASS' THEN 'PROCEED_WITH_CONDITIONS' ELSE 'PAUSE_AND_REPAIR' END AS pilot_decision,
+  CASE WHEN {_GATE} = 'PASS' AND {_DEEP} = 'PASS' THEN '{checkpoint.BASIS[checkpoint.PROCEED]}' ELSE '{checkpoint.BASIS[checkpoint.PAUSE]}' END AS decision_basis, {", ".join(f"'{v}' AS {k}" for k, v in checkpoint.HIGHEST_VALUE.items())}, l.high AS high_similarity_candidates_in_bounded_pilot,
   o.c AS single_anchor_overmerges_in_published_neighbors, o.f AS published_target_population_events, o.n - o.f AS published_neighbor_population_events, e.n AS network_labeled_events_with_waveforms, l.n AS events_in_frozen_shortlist,
   '{HASH}' AS config_sha256 FROM o, e, l""",
     "claim_status": f"""WITH {_STATUS}, b(position, claim, next_gate) AS (VALUES {_branches(checkpoint.CLAIMS)})

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeloom.functions.scalar import brune_ratio
-from quakeloom.operators import compare, detection, pairs, signal
+from quakeloom.operators import compare, detection, gates, ordered, pairs, signal
+from quakeloom.sources import caches
+from quakeloom.tables import written
 
 FS = 100.0
 
@@ -20,7 +22,7 @@ def bandpass(spark: SparkSession, d: str) -> DataFrame:
 
 
 def welch_psd(spark: SparkSession, d: str) -> DataFrame:
-    return signal.median_spectrum(_traces(spark, d), "v", FS, 32, ["label"])
+    return signal.median_spectrum(_traces(spark, d), "v", FS, 32, ["label"]).withColumn("power", F.round("power", 9))
 
 
 def multitaper(spark: SparkSession, d: str) -> DataFrame:
@@ -31,6 +33,13 @@ def resample(spark: SparkSession, d: str) -> DataFrame:
     return _traces(spark, d).select("vec_id", signal.resample(F.col("v"), 2).alias("resampled"))
 
 
+def display_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Channels of every event of 96 vectors at half their rate, value by value."""
+    out = caches.display_traces(_event_samples(spark, d), 40.0, 20.0)
+    out = out.select("event_id", "channel", "display_rate_hz", "first_t", "last_t", F.posexplode("values").alias("k", "x"))
+    return out.withColumn("x", F.round("x", 6))
+
+
 def interpolate(spark: SparkSession, d: str) -> DataFrame:
     """Values halfway between samples, 32 of them; rounded."""
     grid = signal.on_grid(F.col("v"), F.lit(0.0), F.lit(FS), 0.005, 0.325)
@@ -47,14 +56,34 @@ def brune_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hard_negative_baseline(spark: SparkSession, d: str) -> DataFrame:
-    """Peaks of vectors against the next vector in id order, hundred by hundred and whatever its label, within 8 samples, summed up."""
-    from pyspark.sql import Window
+    """Peaks of vectors against the next vector of another label in the whole table, within 8 samples, summed up.
+
+    Two carries over the order of ids find it: forward, whether a vector begins a run of its label; backward, the next such beginning.
+    """
+    t = _traces(spark, d).withColumn("back", -F.col("vec_id"))
+    t = ordered.carry_forward(t, [], ["vec_id"], {"before": F.col("label")}, include_own=False)
+    begins = F.when(F.col("before").isNull() | (F.col("before") != F.col("label")), F.col("v"))
+    t = ordered.carry_forward(t, [], ["back"], {"w": begins}, include_own=False).filter("w is not null")
+    c = t.select(signal.lagged_peak(F.col("v"), F.col("w"), FS, 0.08)["correlation"].alias("c")).filter("c is not null")
+    c = written(c, "peaks")
+    q = ordered.exact_quantiles(c, [], "c", {"median": 0.5, "p90": 0.9, "p95": 0.95}).withColumnRenamed("n", "channel_count")
+    rest = c.agg(F.max("c").alias("maximum"), F.avg((F.col("c") >= 0.3).cast("double")).alias("fraction_above"))
+    out = q.join(F.broadcast(rest), F.lit(True))
+    return out.withColumns({x: F.round(x, 6) for x, kind in out.dtypes if kind == "double"})
+
+
+def hard_negative_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every event of 96 vectors against the next: channel by channel, with the rank correlation of their SNR profiles."""
+    s = _event_samples(spark, d)
+    k = s.select(F.col("event_id").alias("first")).distinct()
+    events = k.select("first", (F.col("first") + 1).alias("second")).join(k.toDF("second"), "second", "left_semi")
+    out = detection.hard_negative_baseline(s, events.select("first", "second"), DETECT, (0.0, 1.2), 0.1, 0.3)
+    return out.withColumns({x: F.round(x, 6) for x, kind in out.dtypes if kind == "double"})
+
 
-    t = _traces(spark, d)
-    pairs = t.select("v", F.lead("v").over(Window.partitionBy(F.floor(F.col("vec_id") / 100)).orderBy("vec_id")).alias("w")).filter("w is not null")
-    c = pairs.select(signal.lagged_peak(F.col("v"), F.col("w"), FS, 0.08).alias("p")).select(F.col("p.correlation").alias("c")).filter("c is not null")
-    q = lambda x: F.round(F.percentile("c", x), 6)
-    return c.agg(F.count("*").alias("channel_count"), F.round(F.median("c"), 6).alias("median"), q(0.9).alias("p90"), q(0.95).alias("p95"), F.round(F.max("c"), 6).alias("maximum"), F.round(F.avg((F.col("c") >= 0.3).cast("double")), 6).alias("fraction_above"))
+def active_source_status(spark: SparkSession, d: str) -> DataFrame:
+    """Events as shots, from their samples to the status."""
+    return gates.active_source_status(gates.calibrated_shots(detection.detect_events(_event_samples(spark, d), DETECT), 0.99, 0.8), "0123456789abcdef", 2)
 
 
 #: Every 96 vectors are an event: samples of 64 channels at 40 a second, noise before its origin and signal after it.
@@ -154,8 +183,39 @@ adj AS (SELECT a.event_id, a.channel, CASE WHEN sqrt(var_pop(a.x) * var_pop(b.x)
   FROM g a JOIN g b ON a.event_id = b.event_id AND a.sample = b.sample AND b.channel = a.channel + 1 WHERE a.t >= 0 GROUP BY 1, 2)
 """
 
-QUERIES = {f.__name__: f for f in (bandpass, welch_psd, multitaper, resample, interpolate, brune_fit, hard_negative_baseline, detection_summary, detection_blocks, event_spectra, waveform_pair_metrics, single_anchor_scoring)}
+QUERIES = {f.__name__: f for f in (bandpass, welch_psd, multitaper, resample, display_traces, interpolate, brune_fit, hard_negative_baseline, hard_negative_pairs, active_source_status, detection_summary, detection_blocks, event_spectra, waveform_pair_metrics, single_anchor_scoring)}
 SQL = {
+    "hard_negative_pairs": _DET + """, tr AS (SELECT event_id, channel, list(x ORDER BY sample) AS v FROM s WHERE t >= 0 GROUP BY 1, 2),
+pr AS (SELECT DISTINCT a.event_id AS first, a.event_id + 1 AS second FROM s a WHERE a.event_id + 1 IN (SELECT event_id FROM s)),
+ct AS (SELECT first, second, a.channel, len(a.v) AS na, len(b.v) AS nb, list_transform(a.v[:least(len(a.v), len(b.v))], lambda q: q - list_avg(a.v[:least(len(a.v), len(b.v))])) AS x,
+  list_transform(b.v[:least(len(a.v), len(b.v))], lambda q: q - list_avg(b.v[:least(len(a.v), len(b.v))])) AS y FROM pr JOIN tr a ON a.event_id = first JOIN tr b ON b.event_id = second AND b.channel = a.channel),
+pk AS (SELECT first, second, channel, max(list_dot_product(x[1 + greatest(k, 0):len(x) + least(k, 0)], y[1 + greatest(-k, 0):len(x) - greatest(k, 0)]) / sqrt(list_dot_product(x, x) * list_dot_product(y, y))) AS c
+  FROM ct, (SELECT unnest(range(-4, 5)) AS k) WHERE abs(k) < len(x) GROUP BY 1, 2, 3),
+al AS (SELECT first, second, count(c) AS channel_count, median(c) AS median, quantile_cont(c, 0.9) AS p90, quantile_cont(c, 0.95) AS p95, max(c) AS maximum, avg((c >= 0.3::DOUBLE)::INT::DOUBLE) AS fraction_above FROM pk GROUP BY 1, 2),
+lg AS (SELECT event_id, channel, log10(greatest(snr, 1e-6::DOUBLE)) AS s FROM chan),
+rk AS (SELECT first, second, rank() OVER (PARTITION BY first ORDER BY a.s) + (count(*) OVER (PARTITION BY first, a.s) - 1) / 2 AS ra, rank() OVER (PARTITION BY first ORDER BY b.s) + (count(*) OVER (PARTITION BY first, b.s) - 1) / 2 AS rb
+  FROM pr JOIN lg a ON a.event_id = first JOIN lg b ON b.event_id = second AND b.channel = a.channel),
+fp AS (SELECT first, second, corr(ra, rb) AS f FROM rk GROUP BY 1, 2)
+SELECT first, second, coalesce(channel_count, 0) AS channel_count, round(median, 6) AS median, round(p90, 6) AS p90, round(p95, 6) AS p95, round(maximum, 6) AS maximum, round(fraction_above, 6) AS fraction_above, round(f, 6) AS fingerprint_spearman
+FROM pr LEFT JOIN al USING (first, second) LEFT JOIN fp USING (first, second)""",
+    "active_source_status": _DET + f""", cs AS (SELECT event_id, median(snr) AS m FROM chan GROUP BY 1), bs AS (SELECT event_id, avg(detected::DOUBLE) AS f FROM blocks GROUP BY 1),
+sh AS (SELECT coalesce(peak_robust_z >= 1.5 AND f >= 0.5, false) AS found, m, peak_t, coalesce(usable_ranges, 0) AS n FROM ev LEFT JOIN z USING (event_id) LEFT JOIN cs USING (event_id) LEFT JOIN bs USING (event_id) LEFT JOIN use USING (event_id)),
+ct AS (SELECT count(*) FILTER (WHERE found) AS shots_time_domain_detected, count(*) FILTER (WHERE found AND m >= 0.99 AND peak_t >= 0 AND peak_t <= 0.8 AND n > 0) AS shots_calibration_usable, count(*) AS shots_total FROM sh)
+SELECT ct.*, CASE WHEN shots_calibration_usable >= 2 THEN 'PASS' ELSE 'STOP' END AS shot_detectability, CASE WHEN shots_calibration_usable >= 2 THEN 'PASS' ELSE 'CONDITIONAL' END AS channel_response, 'CONDITIONAL' AS absolute_timing,
+  '{gates.TIMING_REASON}' AS absolute_timing_reason, 'STOP' AS absolute_geometry, '{gates.GEOMETRY_REASON}' AS absolute_geometry_reason, '0123456789abcdef' AS config_sha256 FROM ct""",
+    "welch_psd": """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+g AS (SELECT vec_id, label, v[p + 1:p + 32] AS y FROM e, (SELECT unnest([0, 16, 32]) AS p)),
+t AS (SELECT vec_id, label, list_transform(y, lambda a, i: (a - list_avg(y)) * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / 32))) AS y FROM g),
+q AS (SELECT vec_id, label, bin, avg((list_sum(list_transform(y, lambda a, i: a * cos(2 * pi() * bin * (i - 1) / 32))) ** 2 + list_sum(list_transform(y, lambda a, i: a * sin(2 * pi() * bin * (i - 1) / 32))) ** 2) / (100 * 12)
+  * CASE WHEN bin IN (0, 16) THEN 1 ELSE 2 END) AS p FROM t, (SELECT unnest(range(0, 17)) AS bin) GROUP BY 1, 2, 3)
+SELECT label, bin::INT AS bin, any_value(bin * 100.0 / 32)::DOUBLE AS frequency_hz, round(median(p), 9) AS power FROM q GROUP BY 1, 2""",
+    "display_traces": """WITH s AS (SELECT vec_id // 96 AS event_id, vec_id % 96 AS sample, unnest(range(0, 64)) AS channel, unnest(embedding)::DOUBLE AS x FROM embeddings),
+tap AS (SELECT i, CASE WHEN i = 0 THEN 0.5 ELSE sin(pi() * i / 2) / (pi() * i) END * list_sum(list_transform(range(0, 60), lambda k: pow(2.5 * sqrt(1 - (i / 20.0) ** 2), 2 * k) / exp(2 * lgamma(k + 1)))) AS w FROM (SELECT unnest(range(-20, 21)) AS i)),
+nrm AS (SELECT i, w / sum(w) OVER () AS w FROM tap),
+sz AS (SELECT event_id, count(DISTINCT sample) AS n FROM s GROUP BY 1)
+SELECT o.event_id, o.channel::INT AS channel, 20.0::DOUBLE AS display_rate_hz, -1.2::DOUBLE AS first_t, (n - 49) / 40.0::DOUBLE AS last_t, o.k::INT AS k, round(sum(w * s.x), 6) + 0.0::DOUBLE AS x
+FROM (SELECT event_id, n, unnest(range(0, (n + 1) // 2)) AS k FROM sz) z JOIN LATERAL (SELECT z.event_id, z.k, unnest(range(0, 64)) AS channel) o ON true, nrm, s
+WHERE s.event_id = o.event_id AND s.channel = o.channel AND s.sample = 2 * o.k + i GROUP BY o.event_id, o.channel, o.k, n""",
     "detection_summary": _DET + """, cs AS (SELECT event_id, median(snr) AS m, quantile_cont(snr, 0.1) AS p10, count(*) AS n, min(channel)::INT AS c0, max(channel)::INT AS c1 FROM chan GROUP BY 1),
 bs AS (SELECT event_id, count(*) AS n, avg(detected::DOUBLE) AS f FROM blocks GROUP BY 1),
 as_ AS (SELECT event_id, median(c) AS m, median(abs(c)) AS a FROM adj GROUP BY 1)
@@ -169,7 +229,9 @@ FROM ev LEFT JOIN z USING (event_id) LEFT JOIN cs USING (event_id) LEFT JOIN bs
     "interpolate": "SELECT vec_id, k::INT AS k, round((embedding[k + 1]::DOUBLE + embedding[k + 2]::DOUBLE) / 2, 6) + 0.0::DOUBLE AS x FROM embeddings, (SELECT unnest(range(0, 32)) AS k)",
     "brune_fit": "SELECT p_partkey, round((p_partkey % 30 + 8)::DOUBLE, 3) AS corner_hz, 1.7::DOUBLE AS omega_ratio, 138 AS points, 'PASS' AS status FROM part",
     "hard_negative_baseline": """WITH z AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x - list_avg(embedding::DOUBLE[])) AS z FROM embeddings),
-p AS (SELECT z AS a, lead(z) OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) AS b, vec_id FROM z),
+r AS (SELECT vec_id, label IS DISTINCT FROM lag(label) OVER (ORDER BY vec_id) AS begins FROM embeddings),
+n AS (SELECT vec_id, min(CASE WHEN begins THEN vec_id END) OVER (ORDER BY vec_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS other FROM r),
+p AS (SELECT x.z AS a, y.z AS b, x.vec_id FROM n JOIN z x ON x.vec_id = n.vec_id JOIN z y ON y.vec_id = other),
 c AS (SELECT vec_id, max(list_dot_product(a[1 + greatest(k, 0):64 + least(k, 0)], b[1 + greatest(-k, 0):64 - greatest(k, 0)]) / sqrt(list_dot_product(a, a) * list_dot_product(b, b))) AS c
   FROM p, (SELECT unnest(range(-8, 9)) AS k) WHERE b IS NOT NULL GROUP BY 1)
 SELECT count(*) AS channel_count, round(median(c), 6) AS median, round(quantile_cont(c, 0.9), 6) AS p90, round(quantile_cont(c, 0.95), 6) AS p95, round(max(c), 6) AS maximum, round(avg((c >= 0.3::DOUBLE)::INT), 6) AS fraction_above FROM c""",

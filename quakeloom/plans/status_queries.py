@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeloom.functions import scalar
-from quakeloom.operators import catalogue, family, gates, intervals, pairs
+from quakeloom.operators import catalogue, crosswalk, family, gates, intervals, pairs
 from quakeloom.plans import catalogue_queries, family_queries
 
 
@@ -43,12 +43,12 @@ def log_snr(spark: SparkSession, d: str) -> DataFrame:
 
 
 def control_gate(spark: SparkSession, d: str) -> DataFrame:
-    """A target and a control pair for each of two controls: one far below the limit and one above it."""
-    e = spark.read.parquet(f"{d}/events.parquet").agg(F.count("*").alias("n"))
-    candidate = e.select(F.when(F.col("n") > 0, "family").alias("decision"))
-    control = lambda median: e.select(F.lit("not_family").alias("decision"), (F.lit(median) + F.col("n") * 0).alias("overall_median_correlation"))
-    low, high = (pairs.control_gate(candidate, control(x)).withColumn("control_median", F.lit(x)) for x in (0.2, 0.95))
-    return low.unionByName(high)
+    """Every label's pair as a candidate against every other's as its control."""
+    opts = pairs.PairOptions(min_components=3, min_stations=3, family_median=0.0, family_weakest_band=-0.06, control_median=0.0)
+    decisions = pairs.pair_decision(family_queries._metrics(spark, d), family_queries.BANDS, opts)
+    names = decisions.select("pair_name")
+    gate = names.toDF("candidate").join(names.toDF("control"), F.col("candidate") != F.col("control"))
+    return pairs.control_gate(decisions, gate, opts)
 
 
 def nearest_nominees(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +61,27 @@ def published_pair_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def network_status(spark: SparkSession, d: str) -> DataFrame:
-    return gates.network_status(family_queries.classification_summary(spark, d))
+    """The status with its families as text and its thresholds as columns."""
+    o = family_queries.OPTS
+    limits = {"maximum_anchors_per_family": o.max_anchors, "minimum_score": o.min_score, "minimum_margin": o.min_margin}
+    row = gates.network_status(family_queries.classification_summary(spark, d), family_queries.per_family_metrics(spark, d), limits, "0123456789abcdef")
+    shown = F.transform("per_family", lambda x: F.concat_ws(":", x["sequence_id"], *[x[c].cast("string") for c in ("true_positive", "false_positive", "false_negative_or_abstain")]))
+    return row.select("*", "thresholds.*").withColumn("per_family", F.array_join(shown, " ")).drop("thresholds")
+
+
+def waveform_availability(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as a population, vectors as their traces; a vector of label 7 could not be read."""
+    population = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("event_id"), F.coalesce("source", F.lit("")).alias("sequence_id"))
+    traces = spark.read.parquet(f"{d}/embeddings.parquet").select((F.col("vec_id") * 2).alias("event_id"), F.when(F.col("label") == 7, "bad trace").alias("error"))
+    return gates.waveform_availability(population, traces)
+
+
+def external_status(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = catalogue_queries._shortlist(spark, d)
+    walk = crosswalk.exact_id_crosswalk(docs, labels, "target", catalogue_queries.NEIGHBOURS)
+    population = crosswalk.validation_population(labels, walk, "target", catalogue_queries.NEIGHBOURS)
+    row = gates.external_status(walk, population, labels.select("sequence_id").distinct(), labels, "target", catalogue_queries.NEIGHBOURS, 27675, "0123456789abcdef")
+    return row.withColumn("hard_negative_sequence_ids", F.array_join("hard_negative_sequence_ids", ","))
 
 
 def catalogue_provenance(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +99,7 @@ def configured_events(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        membership_counts, coarse_file_filter, timeline, finite_medians, log_snr, control_gate, nearest_nominees, published_pair_counts, network_status, catalogue_provenance, configured_events,
+        membership_counts, coarse_file_filter, timeline, finite_medians, log_snr, control_gate, nearest_nominees, published_pair_counts, network_status, waveform_availability, external_status, catalogue_provenance, configured_events,
     )
 }
 SQL = {
@@ -90,13 +110,28 @@ FROM (SELECT event_id, epoch_us(ts) / 1e6 AS e, floor(epoch_us(ts) / 1e6 / 60) *
     "timeline": "SELECT o_orderstatus AS status, count(*) AS n, sum(CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey ELSE 1 END)::DOUBLE AS total FROM orders GROUP BY 1",
     "finite_medians": "SELECT event_type, count(v) AS n, round(median(v), 6) AS median, max(v) AS max FROM (SELECT event_type, CASE WHEN event_id % 11 > 1 THEN value END AS v FROM events) GROUP BY 1",
     "log_snr": "SELECT p_partkey, round(log10(greatest((p_partkey % 50 - 3) / 10.0::DOUBLE, 1e-6)), 6) AS log10_snr FROM part",
-    "control_gate": "SELECT 'PASS' AS status, 0.2::DOUBLE AS control_median UNION ALL SELECT 'STOP', 0.95::DOUBLE",
+    "control_gate": f"""WITH p AS ({family_queries.SQL["pair_decision"]}),
+q AS (SELECT pair_name, overall_median_correlation AS m, status = 'PASS' AND coalesce(overall_median_correlation >= 0.0 AND weakest_band_median_correlation >= -0.06, false) AS family, status = 'PASS' AS enough FROM p)
+SELECT a.pair_name AS candidate, b.pair_name AS control, CASE WHEN a.family AND b.enough AND NOT b.family AND b.m <= 0.0 THEN 'PASS' ELSE 'STOP' END AS status FROM q a JOIN q b ON a.pair_name <> b.pair_name""",
     "nearest_nominees": f"""WITH n AS ({catalogue_queries.SQL["nominate_candidates"]})
 SELECT * FROM n WHERE is_seed UNION ALL (SELECT * FROM n WHERE NOT is_seed ORDER BY distance_3d_m, origin_time LIMIT 37)""",
     "published_pair_counts": """SELECT a.label::VARCHAR AS reference_sequence_id, a.label = b.label AS same_published_family, count(*) AS n
 FROM embeddings a JOIN embeddings b ON a.vec_id::VARCHAR < b.vec_id::VARCHAR GROUP BY 1, 2""",
-    "network_status": f"""SELECT 'STOP' AS status, 'STOP' AS classification_gate, 'NOT_RUN' AS continuous_detection_status, *, labeled_events - waveform_available_events AS waveform_unavailable_events
-FROM ({family_queries.SQL["classification_summary"]})""",
+    "network_status": f"""SELECT 'STOP' AS status, 'STOP' AS classification_gate, 'NOT_RUN' AS continuous_detection_status, '{gates.NETWORK_REASON}' AS reason, '{gates.NETWORK_METHOD}' AS method, '{gates.NETWORK_SCOPE}' AS scope,
+  s.*, labeled_events - waveform_available_events AS waveform_unavailable_events, f.per_family, 3::INT AS maximum_anchors_per_family, 0.28::DOUBLE AS minimum_score, 0.02::DOUBLE AS minimum_margin, '0123456789abcdef' AS config_sha256
+FROM ({family_queries.SQL["classification_summary"]}) s,
+  (SELECT string_agg(sequence_id || ':' || true_positive || ':' || false_positive || ':' || false_negative_or_abstain, ' ' ORDER BY sequence_id) AS per_family FROM ({family_queries.SQL["per_family_metrics"]})) f""",
+    "waveform_availability": """WITH t AS (SELECT vec_id * 2 AS id, count(*) FILTER (WHERE label <> 7) AS n, min(CASE WHEN label = 7 THEN 'bad trace' END) AS e FROM embeddings GROUP BY 1)
+SELECT doc_id AS event_id, coalesce(source, '') AS sequence_id, CASE WHEN n > 0 THEN 'available' ELSE 'unavailable' END AS status, coalesce(n, 0) AS trace_count, CASE WHEN n > 0 THEN '' ELSE coalesce(e, 'no waveform') END AS error
+FROM documents LEFT JOIN t ON doc_id = id""",
+    "external_status": catalogue_queries._WALK + f""", c AS (SELECT count(*) AS frozen_shortlist_events, count(*) FILTER (WHERE external_match_type = 'exact_event_id') AS shortlist_exact_id_matches,
+  count(*) FILTER (WHERE external_role = 'published_target_positive') AS published_target_shortlist_overlap, count(*) FILTER (WHERE external_role = 'published_neighbor_family_negative') AS published_neighbor_shortlist_overlap,
+  count(*) FILTER (WHERE diagnostic_outcome = 'discordant_single_anchor_overmerge') AS discordant_single_anchor_overmerges FROM w),
+n AS (SELECT count(*) AS published_catalog_event_count, count(DISTINCT sequence_id) AS published_catalog_sequence_count, count(*) FILTER (WHERE sequence_id = 'target') AS published_target_population_events,
+  count(*) FILTER (WHERE sequence_id IN ('lang_de', 'lang_fr')) AS published_neighbor_population_events FROM l)
+SELECT CASE WHEN published_target_population_events >= 3 THEN 'PASS' ELSE 'STOP' END AS external_population_gate, c.*, n.*, 27675::BIGINT AS record_advertised_event_count, (27675 - published_catalog_event_count)::BIGINT AS record_minus_file_event_count,
+  2::BIGINT AS published_neighbor_family_count, 'STOP' AS single_anchor_catalog_claim, '{gates.SINGLE_ANCHOR_REASON}' AS single_anchor_catalog_reason, 'target' AS target_sequence_id, 'lang_de,lang_fr' AS hard_negative_sequence_ids,
+  '0123456789abcdef' AS config_sha256 FROM c, n""",
     "catalogue_provenance": """SELECT 'expected' AS expected_md5, 'observed' AS observed_md5, s AS sequence_count, e AS event_count, 7713::BIGINT AS record_advertised_sequence_count, 27675::BIGINT AS record_advertised_event_count,
   (27675 - e)::BIGINT AS record_minus_file_event_count FROM (SELECT (SELECT count(*) FROM customer) AS s, (SELECT count(*) FROM orders) AS e)""",
     "configured_events": """SELECT event_id::VARCHAR AS event_id, value * 2 AS magnitude, 'configured' AS origin FROM events WHERE event_id IN (SELECT min(event_id) FROM events UNION ALL SELECT max(event_id) FROM events)
