@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakeloom.llm._scale import materialise
+from quakeloom.operators.ordered import carry_forward, global_rank
 
 #: A line's quote marks: any number of ``>``, each with white space around it.
 MARKS = r"^[ \t]*(?:>[ \t]?)+"
@@ -94,26 +95,46 @@ def link_quotes(parsed: DataFrame) -> DataFrame:
     return best.select("key", "turn", "level", "b.origin", "b.weight")
 
 
+def reply_targets(links: DataFrame) -> DataFrame:
+    """(key, turn, origin): the message that a message replies to, from the links of all its levels.
+
+    The lowest level with an origin decides. At the first level that is the message quoted. Where only deeper
+    words are found, as when the first level was edited, the reply is to whoever quoted them one
+    level less: the latest such message before it, carried forward over the conversation's turns, else to
+    their author.
+    """
+    lowest = links.groupBy("key", "turn").agg(F.min(F.struct("level", "origin")).alias("l")).select("key", "turn", "l.level", "l.origin")
+    deep = lowest.filter("level > 1")
+    # at one turn who asks comes before who quotes, so only earlier turns are found
+    quoting = links.select("key", "origin", "level", "turn", F.lit(1).alias("quotes"), F.col("turn").alias("by"))
+    asking = deep.select("key", "origin", (F.col("level") - 1).alias("level"), "turn", F.lit(0).alias("quotes"), F.lit(None).cast("long").alias("by"))
+    needed = quoting.join(asking.select("key", "origin", "level").distinct(), ["key", "origin", "level"], "left_semi")
+    found = carry_forward(needed.unionByName(asking), ["key", "origin", "level"], ["turn", "quotes"], {"last": F.col("by")}).filter("quotes = 0")
+    answered = found.select("key", "turn", F.coalesce("last", "origin").alias("origin"))
+    return lowest.filter("level = 1").select("key", "turn", "origin").unionByName(answered)
+
+
 def format_chats(
     messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = 64
 ) -> DataFrame:
-    """Training text of conversations in reply order: conv_id, thread_turn, block, reply_to, n_messages, n_quotes, text.
+    """Training text of conversations in reply order: conv_id, thread_turn, block, piece, reply_to, n_messages, n_quotes, text.
 
     A message that quotes another than the one before it replies to the quoted one and begins a thread;
-    so does one whose turn before is missing. Other messages continue their thread. A row holds at most
+    so does one whose turn before is missing. See :func:`reply_targets` for nested quotations. Other messages continue their thread. A row holds at most
     ``block`` turns of a thread, in order, each as ``<|role|>`` and its own words; ``reply_to`` is the
     turn that the thread's first message replies to. Quoted lines and the line that introduces them
     are gone from the text, counted in ``n_quotes`` by passage.
 
     Null text is empty, a null role ``unknown``, a null turn -1; rows with a null conversation are one
     conversation; equal rows are one message; different messages of one turn stand in order of role and
-    text. A turn of more than ``block`` different messages (null turns, say) is dealt by the messages'
-    hashes over as many rows as hold ``block`` each on average, alike in conv_id, thread_turn and block.
+    text. Where a turn has more than ``block`` different messages (null turns, say), the messages of its
+    block are numbered in that order, across range partitions, and cut into pieces of ``block`` messages,
+    numbered from 0; elsewhere piece is 0.
     A conversation of any length is handled in parts of 1024 turns, never gathered.
     """
     # read three times below; parsing is most of the work
     parsed = materialise(parse_quotes(messages, conv_col, turn_col, role_col, text_col), "parsed")
-    links = link_quotes(parsed).filter("level = 1").select("key", "turn", "origin")
+    links = reply_targets(materialise(link_quotes(parsed), "links"))
     turns = parsed.groupBy("key", "turn").agg(F.count("*").alias("n"))
     before = turns.select("key", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("follows"))
     flow = turns.join(before, ["key", "turn"], "left").join(links, ["key", "turn"], "left")
@@ -129,8 +150,12 @@ def format_chats(
         .select("key", "turn", "n", "origin", F.coalesce("own_start", "carried").alias("thread_turn"))
     )
     rows = parsed.select("key", "conv_id", "turn", "role", "content", F.size("quoted").alias("quotes")).join(threads, ["key", "turn"])
-    piece = F.when(F.col("n") > block, F.pmod(F.xxhash64("role", "content"), F.ceil(F.col("n") / block))).otherwise(F.lit(0)).cast("long")
-    grouped = rows.groupBy("key", "thread_turn", F.floor((F.col("turn") - F.col("thread_turn")) / block).alias("block"), piece.alias("piece")).agg(
+    rows = rows.withColumn("block", F.floor((F.col("turn") - F.col("thread_turn")) / block))
+    place = ["key", "thread_turn", "block"]
+    crowded = materialise(threads.filter(F.col("n") > block).select("key", "thread_turn", F.floor((F.col("turn") - F.col("thread_turn")) / block).alias("block")).distinct(), "crowded")
+    ordered = global_rank(rows.join(crowded, place, "left_semi"), place, ["turn", "role", "content"], "rank").withColumn("piece", F.floor(F.col("rank") / block)).drop("rank")
+    rows = rows.join(crowded, place, "left_anti").withColumn("piece", F.lit(0).cast("long")).unionByName(ordered)
+    grouped = rows.groupBy(*place, "piece").agg(
         F.first("conv_id").alias("conv_id"),
         F.min(F.when(F.col("turn") == F.col("thread_turn"), F.col("origin"))).alias("reply_to"),
         F.count("*").alias("n_messages"),
@@ -138,4 +163,4 @@ def format_chats(
         F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("m"),
     )
     text = F.array_join(F.transform("m", lambda x: F.concat(F.lit("<|"), x["role"], F.lit("|>\n"), x["content"])), "\n")
-    return grouped.select("conv_id", "thread_turn", "block", "reply_to", "n_messages", "n_quotes", text.alias("text"))
+    return grouped.select("conv_id", "thread_turn", "block", "piece", "reply_to", "n_messages", "n_quotes", text.alias("text"))

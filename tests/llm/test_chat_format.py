@@ -35,23 +35,32 @@ def brute(rows, block=64):
         for t, _, content, _ in parsed:
             for x in {normal(content), *map(normal, content.split("\n"))} - {""}:
                 origin[x] = min(t, origin.get(x, t))
-        reply = {}
+        votes = defaultdict(lambda: defaultdict(int))
         for t, _, _, quoted in parsed:
-            votes = reply.setdefault(t, defaultdict(int))
             for k, b in quoted:
-                if k == 1:
-                    for x in {normal("\n".join(b)), *map(normal, b)} - {""}:
-                        if origin.get(x, t) < t:
-                            votes[origin[x]] += len(x)
-        reply = {t: max(v, key=lambda o: (v[o], o)) if v else None for t, v in reply.items()}
+                for x in {normal("\n".join(b)), *map(normal, b)} - {""}:
+                    if origin.get(x, t) < t:
+                        votes[t, k][origin[x]] += len(x)
+        linked = {tk: max(v, key=lambda o: (v[o], o)) for tk, v in votes.items()}
+        reply = {t: None for t, *_ in parsed}
+        for t in reply:
+            if levels := sorted(k for u, k in linked if u == t):
+                of = linked[t, levels[0]]
+                between = [u for (u, k), o in linked.items() if k == levels[0] - 1 and o == of and u < t]
+                reply[t] = max(between, default=of)
         thread, threads = None, defaultdict(list)
         for t in sorted(reply):
             if t - 1 not in reply or reply[t] not in (None, t - 1):
                 thread = t
             threads[thread, (t - thread) // block] += [m for m in parsed if m[0] == t]
         for (start, b), ms in threads.items():
-            text = "\n".join(f"<|{r}|>\n{x}" for _, r, x in sorted((t, r, x) for t, r, x, _ in ms))
-            out.append((c, start, b, reply[start] if b == 0 else None, len(ms), sum(len(q) for *_, q in ms), text))
+            ms.sort(key=lambda m: m[:3])
+            turns = [m[0] for m in ms]
+            cut = block if max(turns.count(t) for t in turns) > block else len(ms)
+            for piece, lo in enumerate(range(0, len(ms), cut)):
+                part = ms[lo : lo + cut]
+                text = "\n".join(f"<|{r}|>\n{x}" for _, r, x, _ in part)
+                out.append((c, start, b, piece, reply[start] if part[0][0] == start else None, len(part), sum(len(q) for *_, q in part), text))
     return out
 
 
@@ -98,8 +107,28 @@ def test_against_brute_force(spark):
 def test_crowded_turn_is_spread_over_rows(spark):
     rows = [(1, None, "user", f"message {i}") for i in range(200)] + [(1, 0, "user", "next"), (1, 1, "user", "last")]
     got = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), block=8).collect()
-    crowded = [x for x in got if "message" in x.text]
-    assert 15 < len(crowded) <= 25 and max(x.n_messages for x in crowded) < 32
-    said = [x for g in got for x in g.text.split("<|user|>\n") if x]
-    assert sorted(x.strip() for x in said) == sorted(x[3] for x in rows) and sum(g.n_messages for g in got) == len(rows)
-    assert {(x.conv_id, x.thread_turn, x.block) for x in crowded} == {(1, -1, 0)}
+    crowded = sorted((x.piece, x.n_messages) for x in got)
+    assert crowded == [(k, 8) for k in range(25)] + [(25, 2)] and {(x.conv_id, x.thread_turn, x.block) for x in got} == {(1, -1, 0)}
+    said = [x.strip() for g in sorted(got, key=lambda g: g.piece) for x in g.text.split("<|user|>\n") if x]
+    assert said == [*sorted(x[3] for x in rows[:200]), "next", "last"]
+    got = format_chats(spark.createDataFrame(rows * 2, "conv_id long, turn long, role string, text string"), block=8)
+    assert rows_of(got) == sorted(brute(rows, 8), key=KEY)
+
+
+def test_deeper_levels_decide_where_the_first_was_edited(spark):
+    rows = [
+        (1, 0, "a", "The first words of all."), (1, 1, "b", "> The first words of all.\nAn answer."), (1, 2, "c", "Something else."),
+        (1, 3, "a", "> An answer, edited.\n> > The first words of all.\nTo the answer."), (1, 4, "b", "> Not said.\n> > Nor this.\n> > > The first words of all.\nFar."),
+        (2, 0, "a", "Alone."), (2, 1, "b", "x"), (2, 2, "c", "> edited\n> > Alone.\nNobody quoted it."),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.thread_turn): r.reply_to for r in format_chats(df).collect()}
+    assert got == {(1, 0): None, (1, 3): 1, (2, 0): None, (2, 2): 0}
+    assert rows_of(format_chats(df)) == sorted(brute(rows), key=KEY)
+
+
+def test_very_long_messages(spark):
+    long = "word " * 200_000
+    rows = [(1, 0, "a", long + "\nline"), (1, 1, "b", "x"), (1, 2, "c", f"> {long}\n> line\nanswer")]
+    got = {r.thread_turn: r for r in format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[2].reply_to == 0 and got[2].text == "<|c|>\nanswer" and len(got[0].text) > len(long)
