@@ -182,12 +182,12 @@ class _Scorer:
 
 
 def rate_limit(
-    docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 600, chars_per_doc: int = 20_000, margin: float = 2.0
+    docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 600, chars_per_doc: int = 20_000, margin: float = 2.0, quantile: float = 0.99
 ) -> float:
     """Most bits a byte in the quieter windows of a text (see ``_Scorer.quiet``) in a language of ``model``.
 
     Learned from labelled rows that ``model`` was not fitted on, bounded as in :func:`train`: ``margin`` times
-    the highest; never above RAW, which also holds where there are none.
+    a high quantile, so that a few mislabelled texts do not lift it; never above RAW, which also holds where there are none.
     """
     if model is None:
         return RAW
@@ -201,7 +201,7 @@ def rate_limit(
                 yield pa.RecordBatch.from_arrays([pa.array(rate[~np.isnan(rate)])], names=["rate"])
 
     rates = _sample(docs, id_col, text_col, lang_col, docs_per_lang, chars_per_doc).mapInArrow(lean(run), "rate double")
-    top = rates.agg(F.max("rate")).first()[0]
+    top = rates.agg(F.percentile("rate", quantile)).first()[0]
     return RAW if top is None else min(RAW, margin * top)
 
 
