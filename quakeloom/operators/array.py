@@ -12,9 +12,10 @@ EPS32 = 1.1920929e-07
 EPS64 = 2.220446049250313e-16
 
 
-def explode_channels(rows: DataFrame, sample: str, values: str) -> DataFrame:
-    """(sample, channel, value) from one array of channels per sample."""
-    return rows.select(F.col(sample).alias("sample"), F.posexplode(values).alias("channel", "value")).select("sample", "channel", F.col("value").cast("double").alias("value"))
+def explode_channels(rows: DataFrame, sample: str, values: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, sample, channel, value) from one array of channels per sample."""
+    own = keys or []
+    return rows.select(*own, F.col(sample).alias("sample"), F.posexplode(values).alias("channel", "value")).select(*own, "sample", "channel", F.col("value").cast("double").alias("value"))
 
 
 def robust_scale(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

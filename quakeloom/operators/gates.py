@@ -154,6 +154,28 @@ def external_status(
     )
 
 
+# What is said of a classifier with one seed
+CLASSIFIER_REASON = "one-seed thresholding is only a similarity diagnostic; exact-ID external labels show cross-family overmerging"
+
+
+def shortlist_status(scored: DataFrame, gate: DataFrame, config_sha256: str) -> DataFrame:
+    """The single-anchor pilot's status as one row.
+
+    scored: decision and membership_status of every shortlisted event; gate: one row of
+    :func:`~quakeloom.operators.pairs.control_gate` with candidate_decision and control_decision.
+    """
+    count = lambda c: F.count(F.when(c, 1))
+    rows = scored.agg(
+        F.count("*").alias("events_in_frozen_shortlist"), count(F.col("membership_status").isin("unlabeled_deep_seed", "single_anchor_high_similarity")).alias("high_similarity_candidates_in_pilot"),
+        count(F.col("decision") == "insufficient_data").alias("provisional_events_in_pilot"), count(F.col("decision") == "download_or_data_error").alias("no_data_events_in_pilot"),
+    )
+    own = gate.select(F.col("status").alias("target_control_pair_gate"), F.col("candidate_decision").alias("candidate_pair_decision"), F.col("control_decision").alias("hard_control_decision"))
+    return rows.join(F.broadcast(own), F.lit(True)).select(
+        *own.columns, *rows.columns, F.lit(STOP).alias("single_anchor_catalog_claim"), F.lit(STOP).alias("classifier_claim"), F.lit(CLASSIFIER_REASON).alias("classifier_reason"),
+        F.lit(config_sha256).alias("config_sha256"),
+    )
+
+
 # Why timing and geometry stay open
 TIMING_REASON = "available shot log has nominal local times but no independent GPS/detonator trigger uncertainty"
 GEOMETRY_REASON = "deep locus-to-MD/TVD/XYZ trajectory unavailable"

@@ -229,11 +229,11 @@ def pair_decision(metrics: DataFrame, bands: list[str], opts: PairOptions = Pair
 
 
 def control_gate(decisions: DataFrame, gates: DataFrame, opts: PairOptions = PairOptions()) -> DataFrame:
-    """(candidate, control, status): PASS if the candidate pair is a family, its control is not and the control's median is low.
+    """(candidate, control, candidate_decision, control_decision, status): PASS if the candidate pair is a family, its control is not and the control's median is low.
 
     decisions: :func:`pair_decision`; gates: candidate, control, names of pairs. A pair without a decision passes nothing.
     """
     one = decisions.select(F.col("pair_name").alias("candidate"), F.col("decision").alias("found__"))
     two = decisions.select(F.col("pair_name").alias("control"), F.col("decision").alias("other__"), F.col("overall_median_correlation").alias("median__"))
     ok = (F.col("found__") == "family") & (F.col("other__") == "not_family") & (F.col("median__") <= opts.control_median)
-    return gates.join(one, "candidate", "left").join(two, "control", "left").select("candidate", "control", F.when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("STOP").alias("status"))
+    return gates.join(one, "candidate", "left").join(two, "control", "left").select("candidate", "control", F.col("found__").alias("candidate_decision"), F.col("other__").alias("control_decision"), F.when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("STOP").alias("status"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeloom.functions.scalar import brune_ratio
-from quakeloom.operators import compare, detection, gates, ordered, pairs, signal
+from quakeloom.operators import array, compare, detection, gates, ordered, pairs, signal
 from quakeloom.sources import caches
 from quakeloom.tables import written
 
@@ -92,8 +92,8 @@ DETECT = detection.DetectionOptions(noise=(-1.2, 0.0), signal=(0.0, 1.2), block=
 
 def _event_samples(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("vec_id")
-    rows = _traces(spark, d).select(F.floor(k / 96).cast("long").alias("event_id"), (k % 96).cast("long").alias("sample"), F.posexplode("v").alias("channel", "value"))
-    return rows.withColumn("t", (F.col("sample") - 48) / 40.0)
+    rows = _traces(spark, d).select(F.floor(k / 96).cast("long").alias("event_id"), (k % 96).cast("long").alias("at"), "v")
+    return array.explode_channels(rows, "at", "v", ["event_id"]).withColumn("t", (F.col("sample") - 48) / 40.0)
 
 
 def detection_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -48,7 +48,30 @@ def control_gate(spark: SparkSession, d: str) -> DataFrame:
     decisions = pairs.pair_decision(family_queries._metrics(spark, d), family_queries.BANDS, opts)
     names = decisions.select("pair_name")
     gate = names.toDF("candidate").join(names.toDF("control"), F.col("candidate") != F.col("control"))
-    return pairs.control_gate(decisions, gate, opts)
+    return pairs.control_gate(decisions, gate, opts).select("candidate", "control", "status")
+
+
+def shortlist_status(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as the scored shortlist, the pairs of labels 0 and 1 as target and control."""
+    opts = pairs.PairOptions(min_components=3, min_stations=3, family_median=0.0, family_weakest_band=-0.06, control_median=0.0)
+    decisions = pairs.pair_decision(family_queries._metrics(spark, d), family_queries.BANDS, opts)
+    gate = pairs.control_gate(decisions, spark.createDataFrame([("label_0", "label_1")], "candidate string, control string"), opts)
+    k = F.col("n_chars") % 5
+    decision = F.when(k == 0, "seed").when(k == 1, "family").when(k == 2, "not_family").when(k == 3, "insufficient_data").otherwise("download_or_data_error")
+    scored = spark.read.parquet(f"{d}/documents.parquet").select(decision.alias("decision"), gates.membership_status(decision).alias("membership_status"))
+    return gates.shortlist_status(scored, gate, "0123456789abcdef")
+
+
+def provenance_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Whether all orders have one hash: that of their status, and one that is the same for all."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.sha2(F.col("o_orderstatus"), 256).alias("h"), F.sha2(F.lit("one"), 256).alias("same"))
+    return gates.provenance_gate(o, "h").withColumn("kind", F.lit("mixed")).unionByName(gates.provenance_gate(o, "same").withColumn("kind", F.lit("one")))
+
+
+def missing_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Customers without an urgent order, as sequences without an event."""
+    o, c = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("orders", "customer"))
+    return crosswalk.missing_sequences(o.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("sequence_id")), c.select(F.col("c_custkey").alias("sequence_id")))
 
 
 def nearest_nominees(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +122,7 @@ def configured_events(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        membership_counts, coarse_file_filter, timeline, finite_medians, log_snr, control_gate, nearest_nominees, published_pair_counts, network_status, waveform_availability, external_status, catalogue_provenance, configured_events,
+        membership_counts, coarse_file_filter, timeline, finite_medians, log_snr, control_gate, nearest_nominees, published_pair_counts, network_status, waveform_availability, external_status, shortlist_status, provenance_gate, missing_sequences, catalogue_provenance, configured_events,
     )
 }
 SQL = {
@@ -121,6 +144,16 @@ FROM embeddings a JOIN embeddings b ON a.vec_id::VARCHAR < b.vec_id::VARCHAR GRO
   s.*, labeled_events - waveform_available_events AS waveform_unavailable_events, f.per_family, 3::INT AS maximum_anchors_per_family, 0.28::DOUBLE AS minimum_score, 0.02::DOUBLE AS minimum_margin, '0123456789abcdef' AS config_sha256
 FROM ({family_queries.SQL["classification_summary"]}) s,
   (SELECT string_agg(sequence_id || ':' || true_positive || ':' || false_positive || ':' || false_negative_or_abstain, ' ' ORDER BY sequence_id) AS per_family FROM ({family_queries.SQL["per_family_metrics"]})) f""",
+    "shortlist_status": f"""WITH p AS ({family_queries.SQL["pair_decision"]}),
+q AS (SELECT pair_name, overall_median_correlation AS m, CASE WHEN status <> 'PASS' THEN 'insufficient_data' WHEN overall_median_correlation >= 0.0 AND weakest_band_median_correlation >= -0.06 THEN 'family' ELSE 'not_family' END AS decision FROM p),
+g AS (SELECT a.decision AS candidate_pair_decision, b.decision AS hard_control_decision, CASE WHEN a.decision = 'family' AND b.decision = 'not_family' AND b.m <= 0.0 THEN 'PASS' ELSE 'STOP' END AS target_control_pair_gate
+  FROM (SELECT * FROM q WHERE pair_name = 'label_0') a, (SELECT * FROM q WHERE pair_name = 'label_1') b),
+s AS (SELECT count(*) AS events_in_frozen_shortlist, count(*) FILTER (WHERE n_chars % 5 < 2) AS high_similarity_candidates_in_pilot, count(*) FILTER (WHERE n_chars % 5 = 3) AS provisional_events_in_pilot,
+  count(*) FILTER (WHERE n_chars % 5 = 4) AS no_data_events_in_pilot FROM documents)
+SELECT g.*, s.*, 'STOP' AS single_anchor_catalog_claim, 'STOP' AS classifier_claim, '{gates.CLASSIFIER_REASON}' AS classifier_reason, '0123456789abcdef' AS config_sha256 FROM g, s""",
+    "provenance_gate": """SELECT count(DISTINCT o_orderstatus) AS hashes, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN 'PASS' ELSE 'STOP' END AS status, 'mixed' AS kind FROM orders
+UNION ALL SELECT least(count(*), 1), CASE WHEN count(*) > 0 THEN 'PASS' ELSE 'STOP' END, 'one' FROM orders""",
+    "missing_sequences": "SELECT c_custkey AS sequence_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "waveform_availability": """WITH t AS (SELECT vec_id * 2 AS id, count(*) FILTER (WHERE label <> 7) AS n, min(CASE WHEN label = 7 THEN 'bad trace' END) AS e FROM embeddings GROUP BY 1)
 SELECT doc_id AS event_id, coalesce(source, '') AS sequence_id, CASE WHEN n > 0 THEN 'available' ELSE 'unavailable' END AS status, coalesce(n, 0) AS trace_count, CASE WHEN n > 0 THEN '' ELSE coalesce(e, 'no waveform') END AS error
 FROM documents LEFT JOIN t ON doc_id = id""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quakeloom.functions.scalar import filename_epoch
@@ -38,6 +38,19 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HEADER_SCHEMA).parquet(path)
 
 
+def read_configuration(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON configuration as one row with ``config_path`` and ``config_sha256``, the digest of the file as it is."""
+    row = spark.read.option("multiLine", "true").json(path)
+    digest = checksums(spark, path).select(F.col("path").alias("config_path"), F.col("sha256").alias("config_sha256"))
+    return row.join(F.broadcast(digest), F.lit(True))
+
+
+def read_traces(spark: SparkSession, path: str) -> DataFrame:
+    """Landed traces (``TRACE_SCHEMA``), each with its place in its event's stream: by network, station, location, channel and start."""
+    order = Window.partitionBy("event_id").orderBy("network", "station", "location", "channel", "start_epoch_s", "npts")
+    return spark.read.schema(TRACE_SCHEMA).parquet(path).withColumn("stream_order", F.row_number().over(order) - 1)
+
+
 def read_status(spark: SparkSession, path: str) -> DataFrame:
     """A status document as one row."""
     return spark.read.option("multiLine", "true").json(path)

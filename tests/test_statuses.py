@@ -105,3 +105,34 @@ def test_hard_negatives_by_channel(spark):
         full = np.correlate(a, b, "full") / np.sqrt((a @ a) * (b @ b))
         peaks.append(full[len(a) - 1 - 4 : len(a) + 4].max())
     assert got[2].channel_count == 2 and got[2].maximum == pytest.approx(max(peaks)) and got[2].median == pytest.approx(np.mean(peaks)) and got[2].fraction_above == 0.5
+
+
+def test_shortlist_status(spark):
+    scored = spark.createDataFrame([("seed", "unlabeled_deep_seed"), ("family", "single_anchor_high_similarity"), ("insufficient_data", "insufficient_data"), ("download_or_data_error", "insufficient_data")], "decision string, membership_status string")
+    gate = spark.createDataFrame([("PASS", "family", "not_family")], "status string, candidate_decision string, control_decision string")
+    s = gates.shortlist_status(scored, gate, "h").collect()[0]
+    assert (s.events_in_frozen_shortlist, s.high_similarity_candidates_in_pilot, s.provisional_events_in_pilot, s.no_data_events_in_pilot) == (4, 2, 1, 1)
+    assert (s.target_control_pair_gate, s.candidate_pair_decision, s.classifier_claim) == ("PASS", "family", "STOP")
+
+
+def test_configuration_statuses_headers_and_traces(spark, tmp_path):
+    import hashlib
+
+    from quakeloom.sources import files, sinks
+
+    text = '{\n  "pilot": {"limit": 120.5},\n  "paths": ["a", "b"]\n}\n'
+    (tmp_path / "c.json").write_text(text)
+    c = files.read_configuration(spark, str(tmp_path / "c.json")).collect()[0]
+    assert c.pilot.limit == 120.5 and c.paths == ["a", "b"] and c.config_sha256 == hashlib.sha256(text.encode()).hexdigest() and c.config_path.endswith("c.json")
+    status = spark.createDataFrame([("PASS", 3, None)], "gate string, n int, reason string")
+    sinks.write_status(status, str(tmp_path / "s.json"))
+    s = files.read_status(spark, str(tmp_path / "s.json")).collect()[0]
+    assert (s.gate, s.n, s.reason) == ("PASS", 3, None)
+    spark.createDataFrame([("p", "error", "bad")], "path string, status string, error string").write.parquet(str(tmp_path / "h"))
+    h = files.read_headers(spark, str(tmp_path / "h")).collect()[0]
+    assert (h.path, h.status, h.error, h.sample_count) == ("p", "error", "bad", None)
+    rows = [("e", "N", "B", "", "Z", 100.0, 5.0, 1, 7, [1.0]), ("e", "N", "A", "", "Z", 100.0, 6.0, 1, 7, [2.0]), ("e", "N", "A", "", "Z", 100.0, 5.0, 1, 7, [3.0]), ("f", "N", "A", "", "Z", 100.0, 5.0, 1, 7, [4.0])]
+    spark.createDataFrame(rows, files.TRACE_SCHEMA).write.parquet(str(tmp_path / "t"))
+    assert {r.samples[0]: r.stream_order for r in files.read_traces(spark, str(tmp_path / "t")).collect()} == {3.0: 0, 2.0: 1, 1.0: 2, 4.0: 0}
+    same = spark.createDataFrame([("a",), ("a",), (None,)], "h string")
+    assert gates.provenance_gate(same, "h").collect()[0].status == "PASS" and gates.provenance_gate(same.unionByName(spark.createDataFrame([("b",)], "h string")), "h").collect()[0].status == "STOP"
