@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quakeloom.functions.scalar import log_snr
 from quakeloom.operators import array
 from quakeloom.operators.signal import lagged_peak, welch_rows
+from quakeloom.tables import written
 
 
 @dataclass(frozen=True)
@@ -138,7 +139,7 @@ def detect_events(samples: DataFrame, opts: DetectionOptions = DetectionOptions(
     samples: event_id, sample, t (seconds from the event's origin), channel, value, already filtered, and
     perhaps rate_hz; one value a sample and channel. Every step is keyed by event, so a thousand events are a
     thousand groups of the same few shuffles. Robust scales are of each event's, and each block's, own
-    noise. An event that fails a guard (rate, seconds of noise or signal, empty window) has status ERROR, its
+    noise. The events' windows, a row each, are written once, as every later step starts from them. An event that fails a guard (rate, seconds of noise or signal, empty window) has status ERROR, its
     error, and no figures; the others are not held up. A group is one event's envelope, channels or bins.
     """
     if not opts.search and not opts.signal:
@@ -146,7 +147,7 @@ def detect_events(samples: DataFrame, opts: DetectionOptions = DetectionOptions(
     if "rate_hz" not in samples.columns:
         samples = samples.withColumn("rate_hz", F.lit(float(opts.rate_hz)))
     env = samples.groupBy("event_id", "sample", "t", "rate_hz").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("value"))
-    windows = event_windows(env, opts)
+    windows = written(event_windows(env, opts), "windows")
     marked = mark_windows(samples, windows, opts)
     peaks = windows.filter("error is null").select("event_id", F.col("peak_value").alias("value"))
     z = _keyed_z(peaks, mark_windows(env, windows, opts).filter("n__").select("event_id", "value"), ["event_id"])
