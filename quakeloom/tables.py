@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which a cluster shares as well."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which a cluster shares as well.
+
+    With a local master there is one machine: then an unset folder is a temporary one, deleted when Python ends.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quakeloom-tables"
+    if path:
+        return path
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quakeloom-tables"
+    if context.applicationId not in _local:
+        _local[context.applicationId] = tempfile.mkdtemp(prefix="quakeloom-")
+        atexit.register(shutil.rmtree, _local[context.applicationId], ignore_errors=True)
+    return f"file://{_local[context.applicationId]}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
