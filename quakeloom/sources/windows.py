@@ -42,25 +42,23 @@ def _merge(times_us: Column) -> Column:
 
 
 def candidate_files(windows: DataFrame, files: DataFrame) -> DataFrame:
-    """Files whose name's time may hold samples of a window: (event_id, start_s, end_s) with the file's columns.
-
-    Only the small columns of files that can match are joined; names without a time match nothing.
-    """
-    f = files.filter("stamp_s is not null").withColumns({"near__": F.col("stamp_s") - LEAD_S, "far__": F.col("stamp_s") + TAIL_S})
+    """(event_id, start_s, end_s, path) of the files whose name's time may hold samples of a window; names without a time match nothing."""
+    f = files.filter("stamp_s is not null").select("path", "stamp_s", (F.col("stamp_s") - LEAD_S).alias("near__"), (F.col("stamp_s") + TAIL_S).alias("far__"))
     hits = overlap_join(windows.select("event_id", "start_s", "end_s"), f, ("start_s", "end_s", "near__", "far__"))
-    return hits.filter(coarse_file_filter(F.col("stamp_s"), F.col("start_s"), F.col("end_s"), LEAD_S, TAIL_S)).drop("near__", "far__")
+    return hits.filter(coarse_file_filter(F.col("stamp_s"), F.col("start_s"), F.col("end_s"), LEAD_S, TAIL_S)).select("event_id", "start_s", "end_s", "path")
 
 
 def used_files(windows: DataFrame, files: DataFrame, first: int = 0, last: int | None = None, stride: int = 1) -> DataFrame:
     """(event_id, path, file_order, from_sample, to_sample, times_us, settings, error) of the files with samples in a window.
 
     file_order is by name's time, then path. Error is the first of: an empty channel slice, or a sample
-    rate, columns, loci or unit other than those of the window's first file.
+    rate, columns, loci or unit other than those of the window's first file. Windows meet names and
+    times of files; only the files found bring their sample times, by path.
     """
     start, end = F.col("start_s"), F.col("end_s")
     seconds = lambda t: t * F.lit(1e-6)
     inside = F.filter("times_us", lambda t: (seconds(t) >= start) & (seconds(t) < end))
-    rows = candidate_files(windows, files).withColumn("from_sample", F.size(F.filter("times_us", lambda t: seconds(t) < start)))
+    rows = candidate_files(windows, files).join(files, "path").withColumn("from_sample", F.size(F.filter("times_us", lambda t: seconds(t) < start)))
     rows = rows.withColumn("times_us", inside).filter(F.size("times_us") > 0)
     stop = F.col("channel_count") if last is None else F.least("channel_count", F.lit(last))
     rows = rows.withColumns({
@@ -102,7 +100,7 @@ def read_windows(windows: DataFrame, files: DataFrame, traces: DataFrame, first:
         raise ValueError("the first channel must not be negative and a stride be positive")
     empty = windows.filter("end_s <= start_s").select("event_id").withColumn("error", F.lit("a window must end after its start"))
     ok = windows.filter("end_s > start_s")
-    named = candidate_files(ok, files.drop("times_us")).select("event_id").distinct().withColumn("named__", F.lit(True))
+    named = candidate_files(ok, files).select("event_id").distinct().withColumn("named__", F.lit(True))
     used = used_files(ok, files, first, last, stride)
     parts = F.array_sort(F.collect_list(F.struct("file_order", "error", "path", "times_us")))
     told = used.groupBy("event_id").agg(
