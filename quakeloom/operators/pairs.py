@@ -149,16 +149,16 @@ def top_anchor_scores(vectors: DataFrame, population: DataFrame, k: int, block:
     left = rows.groupBy("blk").agg(F.collect_list(F.struct("id", "v")).alias("x"))
     left = left.select(F.col("blk").alias("i"), "x", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("g"))
     right = rows.filter("anchor").groupBy("blk").agg(F.collect_list(F.struct("id", "v", "family")).alias("y"))
-    right = right.select((F.col("blk") / stripe).cast("int").alias("g"), "y", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("i"))
+    right = right.select((F.col("blk") / stripe).cast("int").alias("g"), F.col("blk").alias("j"), "y", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("i"))
     parts = min(2048, n_blocks * stripes)
-    cells = left.repartition(parts, "i", "g").hint("merge").join(right.repartition(parts, "i", "g"), ["i", "g"]).select("i", "g", "x", "y")
+    cells = left.repartition(parts, "i", "g").hint("merge").join(right.repartition(parts, "i", "g"), ["i", "g"]).select("i", "g", "j", "x", "y")
     kind = own.schema["family"].dataType
     family_type = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, best = None, None
         for batch in batches:
-            for i, g, x, y in zip(*batch.columns, strict=True):
+            for i, g, j, x, y in zip(*batch.columns, strict=True):
                 (ids_x, vx), (ids_y, vy) = _items(x), _items(y)
                 if key != (i.as_py(), g.as_py()):
                     if best is not None:
@@ -166,7 +166,9 @@ def top_anchor_scores(vectors: DataFrame, population: DataFrame, k: int, block:
                     key, best = (i.as_py(), g.as_py()), _Best(ids_x.tolist(), k)
                     ux = _unit(vx)
                 scores = ux @ _unit(vy).T
-                scores[np.isnan(scores) | (ids_x[:, None] == ids_y[None, :])] = -np.inf
+                scores[np.isnan(scores)] = -np.inf
+                if i.as_py() == j.as_py():  # an id's block is its hash, so only here it meets itself
+                    scores[ids_x[:, None] == ids_y[None, :]] = -np.inf
                 best.add(scores, y.values.field("family").to_pylist())
         if best is not None:
             yield best.batch(family_type)
