@@ -361,6 +361,7 @@ def jaccard_components(
     Links between different components are complete: none is lost by a cap. No group is gathered: all
     steps are joins and pre-aggregated groupings by shingle, node or group.
 
+    Ids are integers, or text of them; other text is an error.
     Null or wordless text has an empty set, no links, and its own id. Null ids never link. Rows that
     repeat an id are one document if their texts are equal; else each text is a node under that id, and
     what any of them is linked to is reached through it.

@@ -88,3 +88,11 @@ def test_opened_groups_hold_every_text_of_a_repeated_id(spark):
         apart = spark.createDataFrame([(small, large)], "small long, large long")
         got = {(min(r), max(r)) for r in map(tuple, _open(apart, grouped, docs, 4, 85).collect())}
         assert got == {(1, 2), (1, 3)}
+
+
+def test_ids_of_text_are_integers_or_an_error(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([("7", text), ("12", text)], "doc_id string, text string")
+    assert {r.doc_id for r in jaccard_components(df).collect()} == {7, 12}
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        jaccard_components(df.unionByName(spark.createDataFrame([("x", text)], df.schema))).collect()

@@ -66,3 +66,11 @@ def test_empty_and_one_document_twice(spark):
     t = " ".join(f"w{k}" for k in range(100))
     df = spark.createDataFrame([(1, t), (1, t)], "doc_id long, text string")
     assert repeated_passages(df).count() == 0 == repeated_passages(df.filter("false")).count()
+
+
+def test_ids_of_text_are_integers_or_an_error(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([("7", text), ("12", text)], "doc_id string, text string")
+    assert {r.doc_id for r in repeated_passages(df).collect()} == {7, 12}
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        repeated_passages(df.unionByName(spark.createDataFrame([("x", text)], df.schema))).collect()
