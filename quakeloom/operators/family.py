@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quakeloom.operators.ordered import running
+
 
 @dataclass(frozen=True)
 class FamilyOptions:
@@ -33,6 +35,27 @@ def published_pairs(pairs: DataFrame, population: DataFrame) -> DataFrame:
     return rows.withColumn("same_published_family", F.col("reference_sequence_id") == F.col("comparison_sequence_id"))
 
 
+def published_pair_counts(population: DataFrame) -> DataFrame:
+    """(reference_sequence_id, same_published_family, n): how many rows :func:`published_pairs` of all pairs of the population
+    (event_id, sequence_id) has, a < b as text, counted without making them.
+
+    The pairs of an event as a are the events behind it, so positions in the order of events say how many there are. A
+    pair with a null family has a null comparison; equal events are no pair.
+    """
+    rows = population.select(F.col("event_id").cast("string").alias("event_id"), F.col("sequence_id").alias("family")).filter("event_id is not null")
+    own = rows.groupBy("event_id", "family").agg(F.count("*").alias("c"))
+    ids = own.groupBy("event_id").agg(F.sum("c").alias("rows"), F.sum(F.when(F.col("family").isNotNull(), F.col("c")).otherwise(0)).alias("known"))
+    ids = running(ids, [], ["event_id"], {"rows_before": F.col("rows"), "known_before": F.col("known")})
+    total = rows.agg(F.count("*").alias("all_rows"), F.count("family").alias("all_known"))
+    behind = ids.join(F.broadcast(total), F.lit(True)).select("event_id", (F.col("all_rows") - F.col("rows_before") - F.col("rows")).alias("behind"), (F.col("all_known") - F.col("known_before") - F.col("known")).alias("known_behind"))
+    every = own.join(behind, "event_id").groupBy("family").agg(F.sum(F.col("c") * F.col("behind")).alias("every"), F.sum(F.col("c") * F.col("known_behind")).alias("known"))
+    inside = running(own.filter("family is not null"), ["family"], ["event_id"], {"before": F.col("c")}).groupBy("family").agg(F.sum(F.col("c") * F.col("before")).alias("same"))
+    known, same = F.when(F.col("family").isNotNull(), F.col("known")).otherwise(0), F.coalesce("same", F.lit(0))
+    kinds = F.array(*[F.struct(F.lit(k).cast("boolean").alias("same_published_family"), n.cast("long").alias("n")) for k, n in ((True, same), (False, known - same), (None, F.col("every") - known))])
+    out = every.join(inside, "family", "left").select(F.col("family").alias("reference_sequence_id"), F.explode(kinds).alias("k"))
+    return out.select("reference_sequence_id", "k.*").filter("n > 0")
+
+
 def family_scores(edges: DataFrame, population: DataFrame, opts: FamilyOptions = FamilyOptions()) -> DataFrame:
     """One row per event and family with an eligible anchor: the median of its best ``max_anchors`` pair scores.
 

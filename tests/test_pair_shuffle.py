@@ -1,9 +1,12 @@
 """What pair scores shuffle grows as their vectors do, though the pairs are quadratic."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from quakeloom.operators import pairs
+from quakeloom.operators import family, pairs
 
 
 def shuffled(spark, run) -> int:
@@ -39,3 +42,14 @@ def test_pairs_of_many_cells_and_repeated_ids(spark, monkeypatch):
     v = vectors(spark, 130).unionByName(vectors(spark, 3)).unionByName(spark.range(1).select(F.lit(None).cast("string").alias("id"), F.array_repeat(F.lit(1.0), 8).alias("v")))
     rows = [(r.a, r.b) for r in pairs.pair_correlation(v, 7).collect()]
     assert len(rows) == 133 * 132 // 2 and len(set(rows)) == 130 * 129 // 2 + 3 and all(a <= b for a, b in rows)
+
+
+def test_pair_counts_are_those_of_all_pairs_without_making_them(spark):
+    r = random.Random(3)
+    rows = [(str(r.randrange(40)), r.choice(["a", "b", "c", None])) for _ in range(90)] + [(None, "a"), ("x", "alone")]
+    got = {(x.reference_sequence_id, x.same_published_family): x.n for x in family.published_pair_counts(spark.createDataFrame(rows, "event_id string, sequence_id string")).collect()}
+    known = [x for x in rows if x[0] is not None]
+    assert got == Counter((f, None if f is None or g is None else f == g) for a, f in known for b, g in known if a < b)
+    n = 400_000  # 8e10 pairs
+    many = spark.range(n).select(F.lpad(F.col("id").cast("string"), 9, "0").alias("event_id"), F.lit("one").alias("sequence_id"))
+    assert [tuple(x) for x in family.published_pair_counts(many).collect()] == [("one", True, n * (n - 1) // 2)]
