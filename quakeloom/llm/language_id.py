@@ -18,6 +18,8 @@ from quakeloom.llm._text import LOWER, slabs
 ORDER = 4
 #: What a process keeps of code lengths it has worked out; beyond it the table starts anew.
 KEPT = 1 << 19
+#: Grams of a language that a model holds at most.
+MOST = 1 << 20
 #: Bits of a byte as it is.
 RAW = 8.0
 #: Bytes of the windows whose code lengths tell whether a text is language, and how many a text has at least.
@@ -93,33 +95,23 @@ class Model:
         return out
 
 
-def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int, chars_per_doc: int) -> DataFrame:
-    base = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull())
-    # in two levels, so that a frequent language is no one task's work: of each of 64 parts the least hashes, then of these
-    base = base.withColumn("h", F.xxhash64("i"))
-    for keys in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
-        w = Window.partitionBy(*keys).orderBy("h", "i")
-        base = base.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= docs_per_lang).drop("r")
-    chosen = base.select("i", "lang")
-    # at most docs_per_lang rows of each of the languages there are: small enough to send everywhere
-    return (
-        docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"))
-        .filter(F.length("text") > 0)
-        .join(F.broadcast(chosen), "i")
-        .select("lang", F.substring("text", 1, chars_per_doc).alias("text"))
-    )
-
-
-def train(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 600, chars_per_doc: int = 20_000
-) -> Model | None:
-    """Fit context trees on a bounded sample of labelled rows: of each language the ``docs_per_lang`` rows with the
-    least hash of their id, ``chars_per_doc`` characters of each at most. Rows without label, text or id are left out;
-    of rows that repeat an id, up to ``docs_per_lang`` count, each as often as the id is repeated.
-    None if nothing is left. What reaches the driver is bounded by the sample, not by ``docs``.
+def _labelled(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, text) of every row that has both."""
+    return docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & (F.length("text") > 0))
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = MOST) -> Model | None:
+    """Fit context trees on the whole text of every labelled row; rows without label or text are left out. None if nothing is left.
+
+    Spark counts; of each language the ``most`` grams that occur oftenest, which are all unless there are more kinds,
+    reach the driver, so the model's size is bounded.
     """
-    sample = _sample(docs, id_col, text_col, lang_col, docs_per_lang, chars_per_doc)
-    table = sample.mapInArrow(lean(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    table = _labelled(docs, text_col, lang_col).mapInArrow(lean(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # in two levels, so that a frequent language is no one task's work: of each of 64 parts the most frequent, then of these
+    for keys in (["lang", F.pmod(F.xxhash64("gram"), F.lit(64))], ["lang"]):
+        w = Window.partitionBy(*keys).orderBy(F.desc("n"), "gram")
+        table = table.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).drop("r")
+    table = table.toArrow()
     if not len(table):
         return None
     codes, langs = pd.factorize(table["lang"].to_numpy(zero_copy_only=False), sort=True)
@@ -181,13 +173,11 @@ class _Scorer:
         self.index, self.bits_of = pd.Index(grams), bits[first]
 
 
-def rate_limit(
-    docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 600, chars_per_doc: int = 20_000, margin: float = 2.0
-) -> float:
+def rate_limit(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col: str = "lang", margin: float = 2.0) -> float:
     """Most bits a byte in the quieter windows of a text (see ``_Scorer.quiet``) in a language of ``model``.
 
-    Learned from labelled rows that ``model`` was not fitted on, bounded as in :func:`train`: ``margin`` times
-    the highest; never above RAW, which also holds where there are none.
+    Learned from the whole text of every labelled row of ``docs``, which ``model`` was not fitted on: ``margin`` times the
+    highest; never above RAW, which also holds where there are none.
     """
     if model is None:
         return RAW
@@ -200,7 +190,7 @@ def rate_limit(
                 rate = scorer.quiet(buf, offs)[1]
                 yield pa.RecordBatch.from_arrays([pa.array(rate[~np.isnan(rate)])], names=["rate"])
 
-    rates = _sample(docs, id_col, text_col, lang_col, docs_per_lang, chars_per_doc).mapInArrow(lean(run), "rate double")
+    rates = _labelled(docs, text_col, lang_col).mapInArrow(lean(run), "rate double")
     top = rates.agg(F.max("rate")).first()[0]
     return RAW if top is None else min(RAW, margin * top)
 

@@ -124,3 +124,25 @@ def test_a_scope_owns_what_a_dropping_operator_keeps(spark):
         out = keep(drop_exact_copies(df), "mine")
     assert sorted(r.doc_id for r in out.collect()) == [1, 3]
     assert [x.rsplit("-", 1)[0] for x in _left(spark) - before] == ["mine"]
+
+
+def test_language_model_and_limit_rest_on_every_row_and_whole_texts(spark):
+    import numpy as np
+
+    from quakeloom.llm.language_id import _Scorer, rate_limit, train
+
+    # more rows than a sample held, and a text whose end lies beyond what was read of it
+    rows = [(k, f"ab{k:04d} the of and", "en") for k in range(900)] + [(900, "und der " * 3000 + "zzz qqq", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(docs)
+    english = [g for g, *_ in [t[model.langs.index("en")] for t in model.tables[-1:]]][0]
+    assert {int.from_bytes(f"b{k:04d}".encode(), "big") for k in range(900)} <= set(english.tolist())
+    german = model.tables[-1][model.langs.index("de")][0]
+    assert int.from_bytes(b"z qqq"[-5:], "big") in german.tolist()
+    clean = [(k, "the of and ab0001 the of and ab0002 the of and ab0003 the of and ab0004 the of and", "en") for k in range(2000)]
+    dear = "the of and xy the of bd the and fo thx of end the ob and the og anf dthe of anc the fo and the off and"
+    held = lambda xs: spark.createDataFrame(xs, docs.schema)
+    buf = np.frombuffer(dear.encode(), np.uint8)
+    rate = float(_Scorer(model).quiet(buf, np.array([0, len(buf)]))[1][0])
+    found = [rate_limit(held([*clean, (k, dear, "en")]), model) for k in (10_000, 10_001, 10_002)]
+    assert rate_limit(held(clean), model) < found[0] and all(abs(x - min(8.0, 2 * rate)) < 1e-4 for x in found)
