@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakeloom.operators.ordered import global_rank
+from quakeloom.operators.ordered import PART, ranged
 
 
 def configuration_census(headers: DataFrame, source: str, columns: list[str], numeric: bool = False, count: str = "record_count") -> DataFrame:
@@ -22,13 +22,23 @@ def configuration_census(headers: DataFrame, source: str, columns: list[str], nu
 
 def uniform_sample(rows: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
     """Up to ``k`` rows of each group, evenly spread over its order: those at round(i * (n - 1) / (k - 1)), half to even,
-    with the group's size as file_count. Ranks come from range partitions and their sizes, so no task orders a group."""
-    numbered = global_rank(rows, keys, order, "pos__")
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("file_count"))
-    i = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    spot = F.bround(F.col("i__") * (F.col("file_count") - 1) / max(1, k - 1)).cast("int")
-    wanted = sizes.select(*keys, "file_count", i.alias("i__")).select(*keys, "file_count", spot.alias("pos__")).distinct()
-    return numbered.join(wanted, [*keys, "pos__"]).drop("pos__")
+    with the group's size as file_count. Rows are dealt to many ranges; only ranges that hold a wanted row are put in order."""
+    total = rows.count()
+    # a range of few rows: then the rows in order are those of some k ranges a group, not all
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(2000, total // 50_000))
+    placed = ranged(rows, keys, order, n)
+    counts = placed.groupBy(*keys, PART).agg(F.count("*").alias("here__"))
+    before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*keys)
+    counts = counts.withColumns({"before__": F.coalesce(F.sum("here__").over(before), F.lit(0)), "file_count": F.sum("here__").over(group)})
+    i = F.sequence(F.lit(0), F.lit(k - 1))
+    spots = F.array_distinct(F.transform(i, lambda j: F.bround(j * (F.col("file_count") - 1) / max(1, k - 1)).cast("long") - F.col("before__")))
+    spots = F.filter(spots, lambda x: (x >= 0) & (x < F.col("here__")))
+    wanted = counts.select(*keys, PART, "file_count", spots.alias("spots__")).filter(F.size("spots__") > 0)
+    # at most k ranges a group
+    near = placed.join(F.broadcast(wanted), [*keys, PART])
+    place = F.row_number().over(Window.partitionBy(PART, *keys).orderBy(*order)) - 1
+    return near.withColumn("pos__", place.cast("long")).filter(F.array_contains("spots__", F.col("pos__"))).drop("pos__", "spots__", PART)
 
 
 def span(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

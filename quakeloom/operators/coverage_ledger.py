@@ -27,7 +27,9 @@ def array_root_summary(files: DataFrame, headers: DataFrame, sample: int) -> Dat
     spans = coverage.span(files.select("source_name", filename_epoch(F.col("path")).alias("stamp")), ["source_name"], "stamp")
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     picked = coverage.uniform_sample(files.select("source_name", "path"), ["source_name"], ["path"], sample).drop("file_count")
-    read = picked.join(headers.select("path", "status", "root_uuid", *HEADER_MODE), "path", "left")
+    # ``sample`` paths a source: headers of other paths do not leave their task
+    near = headers.select("path", "status", "root_uuid", *HEADER_MODE).join(F.broadcast(picked.select("path").distinct()), "path", "left_semi")
+    read = picked.join(near, "path", "left")
     good = read.filter(F.col("status") == "ok")
     counts = read.groupBy("source_name").agg(F.count("*").alias("headers_read"), F.count(F.when(F.col("status") == "ok", 1)).alias("ok"))
     repeats = coverage.duplicate_count(good, ["source_name"], "root_uuid")

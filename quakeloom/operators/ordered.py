@@ -18,12 +18,12 @@ from quakeloom.tables import written
 PART = "part__"
 
 
-def ranged(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def ranged(rows: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
     """``rows`` as a written table with the number of the range partition of (keys, order) in ``PART``.
 
     Rows equal in all of ``keys`` and ``order`` share a partition, so an order with few ties keeps partitions even.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(n, *keys, *order) if keys or order else rows.repartition(n)
     return written(placed.withColumn(PART, F.spark_partition_id()), "ranged")
 
