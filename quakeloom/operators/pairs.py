@@ -133,10 +133,15 @@ def pair_lagged_peak(vectors: DataFrame, max_lag: int, block: int = 256) -> Data
 
 
 class _Best:
-    """For the events of one task: by family of anchors, how many scores there were and the ``k`` greatest of them, the least first."""
+    """For the events of one task: by family of anchors, how many scores there were and the ``k`` greatest of them, the least first.
+
+    Scores in single precision say which events may have a greater one in a family, ``slack`` being more than these are off;
+    only for them it is worked out in double precision, and only that is kept.
+    """
 
     def __init__(self, ids: list, units: np.ndarray, k: int, block: int):
         self.ids, self.units, self.k, self.block, self.count, self.top = ids, units, k, block, {}, {}
+        self.single, self.slack = units.astype(np.float32), (units.shape[1] + 4) * 2.0**-23
         self.rows: dict = {}
         for row, name in enumerate(ids):
             self.rows.setdefault(name, []).append(row)
@@ -147,6 +152,7 @@ class _Best:
         codes = np.array([code.setdefault(f, len(code)) for f in families], np.int64)
         order = np.argsort(codes, kind="stable")
         units, starts = units[order], np.searchsorted(codes[order], np.arange(len(code)))
+        single = units.astype(np.float32).T
         ends = np.append(starts[1:], len(codes))
         own = [(row, at) for at, k in enumerate(order.tolist()) for row in self.rows.get(ids[k], ())]
         own_row, own_at = np.array(own, np.int64).reshape(-1, 2).T
@@ -158,15 +164,16 @@ class _Best:
             np.subtract.at(self.count[family], own_row[(own_at >= starts[c]) & (own_at < ends[c])], 1)
         for lo in range(0, len(self.ids), self.block):
             hi = min(len(self.ids), lo + self.block)
-            scores = self.units[lo:hi] @ units.T
+            scores = self.single[lo:hi] @ single
             here = (own_row >= lo) & (own_row < hi)
             scores[own_row[here] - lo, own_at[here]] = -np.inf
             found = np.maximum.reduceat(scores, starts, axis=1)
             for c, family in enumerate(code):
-                top = self.top[family]
-                rows = np.flatnonzero(found[:, c] > top[lo:hi, 0])  # only these may push a score out
+                top, inside = self.top[family], slice(starts[c], ends[c])
+                rows = np.flatnonzero(found[:, c] > top[lo:hi, 0] - self.slack)  # only these may push a score out
                 if len(rows):
-                    both = np.concatenate([top[rows + lo], scores[rows, starts[c] : ends[c]]], axis=1)
+                    exact = np.where(np.isneginf(scores[rows, inside]), -np.inf, self.units[rows + lo] @ units[inside].T)
+                    both = np.concatenate([top[rows + lo], exact], axis=1)
                     top[rows + lo] = np.sort(np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :], axis=1)
 
     def batches(self, family_type: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -181,20 +188,21 @@ class _Best:
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), names, pa.array(n[rows]), lists], names=["event_id", "scored_sequence_id", "n", "top"])
 
 
-def top_anchor_scores(vectors: DataFrame, population: DataFrame, k: int, block: int = 512, stripe: int = 64) -> DataFrame:
+def top_anchor_scores(vectors: DataFrame, population: DataFrame, k: int, block: int = 512, stripe: int | None = None) -> DataFrame:
     """(event_id, scored_sequence_id, eligible_anchor_count, top): per event and family of anchors the ``k`` greatest correlations, falling.
 
     vectors: id, v; population: event_id, sequence_id, available. Anchors are the available events of the
     population; an event is no anchor of its own, and pairs without a score do not count. A task holds its events,
-    ``stripe`` blocks and ``HELD`` bytes of them and their scores at most, and what :class:`_Best` keeps of the anchors that
-    pass by. Events are dealt to ``DEALT`` tasks until these hold more than that, so what is shuffled are so many
-    copies of the anchors; what leaves a task is bounded by events times families and not by pairs.
+    ``HELD`` bytes of them and their scores at most (and ``stripe`` blocks, if given), and what :class:`_Best` keeps of the
+    anchors that pass by. Events are dealt to ``DEALT`` tasks until these hold more than that, so what is shuffled are so
+    many copies of the anchors; what leaves a task is bounded by events times families and not by pairs.
     """
     own = population.select(F.col("event_id").cast("string").alias("id"), F.col("sequence_id").alias("family"), F.coalesce("available", F.lit(False)).alias("anchor"))
     vectors = vectors.select(F.col("id").cast("string").alias("id"), "v").filter("id is not null")
     total, width = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
     families = own.filter("anchor").agg(F.countDistinct("family")).first()[0] + 1
-    held = min(block * stripe, max(block, HELD // (8 * ((width or 1) + families * (k + 1)))))
+    held = max(block, HELD // (12 * (width or 1) + 8 * families * (k + 1)))
+    held = held if stripe is None else min(block * stripe, held)
     tasks = max(1, min(DEALT, -(-total // block)), -(-total // held))
     rows = vectors.join(own, "id", "left").fillna(False, ["anchor"])
     left = _dealt(rows.select("id", "v", F.lit(None).cast(own.schema["family"].dataType).alias("family")), 0, F.array(F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("int")))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,3 +30,18 @@ def test_kernel_gives_no_row_per_pair(spark):
     population = rows.select(F.col("id").alias("event_id"), (F.col("id").cast("int") % 4).alias("sequence_id"), F.lit(True).alias("available"))
     assert pairs.top_anchor_scores(rows, population, 2, 64, 4).count() == 599 * 4  # one vector has no energy
     assert pairs.top_anchor_scores(rows.filter("false"), population, 2).count() == 0 == pairs.top_anchor_scores(rows, population.filter("false"), 2).count()
+
+
+def test_scores_that_single_precision_cannot_tell_apart():
+    r = np.random.default_rng(5)
+    units = pairs._unit(r.normal(size=(1, 16)) + 1e-5 * r.normal(size=(300, 16)))
+    scores = units @ units.T
+    assert len(np.unique(scores.astype(np.float32))) < 100 < len(np.unique(scores)) // 100
+    np.fill_diagonal(scores, -np.inf)
+    ids = [str(k) for k in range(300)]
+    best = pairs._Best(ids, units, 3, 64)
+    for lo in range(0, 300, 50):
+        best.add(ids[lo : lo + 50], units[lo : lo + 50], [k % 4 for k in range(lo, lo + 50)])
+    for family in range(4):
+        want = np.sort(scores[:, family::4], axis=1)[:, -3:]
+        assert np.abs(best.top[family] - want).max() < 1e-15 and (best.count[family] == 75 - (np.arange(300) % 4 == family)).all()

@@ -37,6 +37,17 @@ def test_shuffle_grows_as_the_vectors(spark, name):
     assert large <= 1.3 * small
 
 
+def test_family_shuffle_stays_in_proportion_when_tasks_hold_many_blocks(spark):
+    def run(n):  # vectors without energy, so that only dealing them is work
+        v = vectors(spark, n).withColumn("v", F.array_repeat(F.lit(1.0), 8))
+        population = v.select(F.col("id").alias("event_id"), F.lit(0).alias("sequence_id"), F.lit(True).alias("available"))
+        return pairs.top_anchor_scores(v, population, 2, 4)
+
+    # when a task held 64 blocks at most, the greater size had 50 tasks for 24 and so twice the copies per vector
+    small, large = (shuffled(spark, lambda n=n: run(n).write.format("noop").mode("overwrite").save()) / n for n in (1600, 12_800))
+    assert large <= 1.1 * small
+
+
 def test_pairs_of_many_cells_and_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(pairs, "HELD", 20 * 8 * 8)
     v = vectors(spark, 130).unionByName(vectors(spark, 3)).unionByName(spark.range(1).select(F.lit(None).cast("string").alias("id"), F.array_repeat(F.lit(1.0), 8).alias("v")))
