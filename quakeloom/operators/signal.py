@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -73,15 +74,25 @@ def bandpass_rows(x: np.ndarray, low: float, high: float, fs: float, detrend: bo
     return y[:, pad:-pad]
 
 
+#: Equally long rows that are worked on at once, so that what a batch takes beyond its own rows does not grow with it.
+_ROWS = 1024
+
+
+def _equal_rows(sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, places of rows) of rows of one length, ``_ROWS`` at most; rows with a negative length are left out."""
+    for n in np.unique(sizes[sizes >= 0]):
+        rows = np.flatnonzero(sizes == n)
+        for lo in range(0, len(rows), _ROWS):
+            yield int(n), rows[lo : lo + _ROWS]
+
+
 def _by_length(values: pd.Series, f) -> list:
     """Apply ``f`` to equally long rows together; null rows stay null."""
     out: list = [None] * len(values)
-    sizes = values.map(lambda v: -1 if v is None else len(v))
-    for n in sizes.unique():
-        if n < 0:
-            continue
-        rows = np.flatnonzero((sizes == n).to_numpy())
-        for k, y in zip(rows, f(np.stack([np.asarray(values.iloc[r], np.float64) for r in rows])), strict=True):
+    arrays = list(values)
+    for _, rows in _equal_rows(np.array([-1 if v is None else len(v) for v in arrays], np.int64)):
+        # a copy, as a part of a greater array would keep all of it until the batch is done
+        for k, y in zip(rows, f(np.stack([np.asarray(arrays[r], np.float64) for r in rows])).copy(), strict=True):
             out[k] = y
     return out
 
@@ -193,30 +204,36 @@ def rms_snr(signal: Column, noise: Column) -> Column:
     return rms(signal) / (rms(noise) + 2.220446049250313e-16)
 
 
+def lagged_peak_rows(x: np.ndarray, y: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Greatest normalised correlation of each row of x with that of y and its lag in samples; NaN without energy."""
+    n = x.shape[1]
+    correlation, lag = np.full(len(x), np.nan), np.full(len(x), np.nan)
+    if not n:
+        return correlation, lag
+    x, y = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
+    norm = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+    good = np.flatnonzero(~(norm <= 0))
+    size, k = 1 << (2 * n - 1).bit_length(), min(reach, n - 1)
+    full = np.fft.irfft(np.fft.rfft(x[good], size, axis=1) * np.conj(np.fft.rfft(y[good], size, axis=1)), size, axis=1)
+    values = np.concatenate([full[:, size - k :], full[:, : k + 1]], axis=1) / norm[good, None]
+    at = values.argmax(axis=1)
+    correlation[good], lag[good] = values[np.arange(len(good)), at], at - k
+    return correlation, lag
+
+
 def lagged_peak(first: Column, second: Column, fs: float, max_lag_s: float) -> Column:
     """struct(correlation, lag_s): greatest normalised correlation of two arrays within the lag; null without energy."""
 
     @F.pandas_udf("struct<correlation double, lag_s double>")
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         reach = int(round(max_lag_s * fs))
-        out = []
-        for x, y in zip(a, b, strict=True):
-            if x is None or y is None:
-                out.append((None, None))
-                continue
-            n = min(len(x), len(y))
-            x, y = np.asarray(x[:n], float), np.asarray(y[:n], float)
-            x, y = x - x.mean(), y - y.mean()
-            norm = np.sqrt((x @ x) * (y @ y))
-            if norm <= 0:
-                out.append((None, None))
-                continue
-            size = 1 << (2 * n - 1).bit_length()
-            full = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(y, size)), size)
-            k = min(reach, n - 1)
-            values = np.concatenate([full[size - k :] if k else full[:0], full[: k + 1]]) / norm
-            at = int(values.argmax())
-            out.append((values[at], (at - k) / fs))
+        out = np.full((len(a), 2), np.nan)
+        a, b = list(a), list(b)
+        sizes = np.array([-1 if x is None or y is None else min(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
+        for n, rows in _equal_rows(sizes):
+            x, y = (np.stack([np.asarray(v[r][:n], np.float64) for r in rows]) for v in (a, b))
+            c, lag = lagged_peak_rows(x, y, reach)
+            out[rows, 0], out[rows, 1] = c, lag / fs
         return pd.DataFrame(out, columns=["correlation", "lag_s"])
 
     return run(first, second)
